@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstream.llm.decontaminate import decontaminate
+from siltstream.llm.mixing import mix
 from siltstream.llm.quality import quality_rules
+from siltstream.llm.sharding import shard_documents
 from siltstream.llm.simhash import simhash_components
 
 
@@ -27,9 +29,17 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read(spark, sf_dir, "documents"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_benchmark_decontamination, op4_quality_rules, op7_simhash_near_dedup)
+    for f in (op2_benchmark_decontamination, op4_quality_rules, op7_simhash_near_dedup, op8_sharding, op9_source_mixing)
 }
 
 #: DuckDB SQL where it can express the query.
