@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from siltstream.llm.rows import with_uid
+from siltstream.llm.rows import with_key, with_uid
 from siltstream.llm.words import letter_words
 from siltstream.plans.shared import small, stage
 
@@ -90,8 +90,8 @@ def matches(texts: DataFrame, queries: DataFrame) -> DataFrame:
     asked = asked.groupBy("uid").agg(F.collect_list(F.struct("start", F.size("words").alias("n"), "qid", "words")).alias("asked"))
     asked = stage(asked, "to-compare")
     d = texts.select("uid", letter_words(F.col("text")).alias("w")).join(small(asked, 20_000), "uid", "left")
-    same = lambda a: F.slice("w", a.start + 1, a.n) == a.words
-    d = d.select("uid", F.size("w").cast("long").alias("n_words"), F.filter("asked", same).alias("hits"))
+    equal = lambda a: F.slice("w", a.start + 1, a.n) == a.words
+    d = d.select("uid", F.size("w").cast("long").alias("n_words"), F.filter("asked", equal).alias("hits"))
     spans = F.transform("hits", lambda h: F.struct(h.start.alias("start"), h.n.alias("n")))
     d = d.select("uid", "n_words", spans.alias("spans"), F.array_distinct(F.transform("hits", lambda h: h.qid)).alias("qids"))
     return d.select("uid", "n_words", F.coalesce(_covered("spans"), F.lit(0)).cast("long").alias("n_hit"), "qids")
@@ -99,13 +99,13 @@ def matches(texts: DataFrame, queries: DataFrame) -> DataFrame:
 
 def near_matches(docs: DataFrame, items: DataFrame, slop: int = 2, length: int = LENGTH) -> DataFrame:
     """(doc_id, item): proximity matches, where the rare terms of a window of the item stand within ``slop`` of their places."""
-    texts = with_uid(docs)
+    texts, same = with_uid(docs)
     windows = phrases(items, length)
     queries = stage(windows.select("words").distinct().withColumn("qid", F.monotonically_increasing_id()), "queries")
     rare, postings = index_terms(texts, queries)
     found = phrase_candidates(rare, postings, slop).select("uid", "qid").distinct()
     named = windows.join(queries, "words").select("qid", "item")
-    return found.join(small(named), "qid").join(texts.select("uid", "doc_id"), "uid").select("doc_id", "item").distinct()
+    return with_key(found.join(small(named), "qid"), texts, same).select("doc_id", "item").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -115,14 +115,14 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     with a null item_id hit words but are not listed. Repeated rows and null doc_ids keep a row each.
     An empty benchmark leaves every document clean.
     """
-    texts = with_uid(docs)
+    texts, same = with_uid(docs)
     windows = stage(phrases(items), "windows")
     queries = stage(windows.select("words").distinct().withColumn("qid", F.monotonically_increasing_id()), "queries")
     found = stage(matches(texts.select("uid", "text"), queries), "matches")
     named = windows.where("item is not null").join(queries, "words").select("qid", "item")
     listed = found.where(F.size("qids") > 0).select("uid", F.explode("qids").alias("qid")).join(small(named), "qid")
     listed = listed.groupBy("uid").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    d = found.drop("qids").join(texts.select("uid", "doc_id"), "uid").join(small(listed), "uid", "left")
+    d = with_key(found.drop("qids").join(small(listed), "uid", "left"), texts, same)
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return d.select(
         "doc_id", "n_words", "n_hit", F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"),

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstream.llm.decontaminate import decontaminate
 from siltstream.llm.mixing import mix
 from siltstream.llm.quality import quality_rules
+from siltstream.llm.rlz import remove_repeated_passages
 from siltstream.llm.sharding import shard_documents
 from siltstream.llm.simhash import simhash_components
+from siltstream.llm.suffix_dedup import remove_repeated_bytes
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
@@ -37,9 +43,16 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_benchmark_decontamination, op4_quality_rules, op7_simhash_near_dedup, op8_sharding, op9_source_mixing)
+    for f in (
+        op2_benchmark_decontamination, op4_quality_rules, op6_suffix_dedup, op7_simhash_near_dedup,
+        op8_sharding, op9_source_mixing, op10_substring_dedup,
+    )
 }
 
 #: DuckDB SQL where it can express the query.

@@ -20,8 +20,8 @@ def narrow(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[n].alias(n) for n in names])
 
 
-def with_uid(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(uid, key, text), where uid is unique and orders rows by key.
+def with_uid(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
+    """(uid, key, text), where uid is unique and orders rows by key; and whether it is the key.
 
     Where the key is an integer, without nulls and unique, it is the uid itself. Otherwise
     rows are sorted by key (null first), then by text, over range partitions, and written
@@ -31,11 +31,18 @@ def with_uid(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     if dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint"):
         n, have, distinct = docs.agg(F.count(F.lit(1)), F.count(key), F.countDistinct(key)).first()
         if n == have == distinct:
-            return docs.select(F.col(key).cast("long").alias("uid"), key, text)
+            return docs.select(F.col(key).cast("long").alias("uid"), key, text), True
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64(text)
     ordered = docs.repartitionByRange(parts, F.col(key), tie, F.rand(7)).sortWithinPartitions(key, tie)
-    return stage(ordered.select(F.monotonically_increasing_id().alias("uid"), key, text), "uid")
+    return stage(ordered.select(F.monotonically_increasing_id().alias("uid"), key, text), "uid"), False
+
+
+def with_key(found: DataFrame, texts: DataFrame, same: bool, key: str = "doc_id") -> DataFrame:
+    """``found`` (uid, …) with the key of :func:`with_uid`'s result."""
+    if same:
+        return found.withColumn(key, F.col("uid").cast(dict(texts.dtypes)[key]))
+    return found.join(texts.select("uid", key), "uid")
 
 
 def text_block(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
