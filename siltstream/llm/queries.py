@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstream.llm.decontaminate import decontaminate
+from siltstream.llm.licenses import scan_licenses
 from siltstream.llm.mixing import mix
 from siltstream.llm.quality import quality_rules
 from siltstream.llm.rlz import remove_repeated_passages
@@ -27,6 +28,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(read(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_benchmark_decontamination, op4_quality_rules, op6_suffix_dedup, op7_simhash_near_dedup,
+        op2_benchmark_decontamination, op4_quality_rules, op5_license_scan, op6_suffix_dedup, op7_simhash_near_dedup,
         op8_sharding, op9_source_mixing, op10_substring_dedup,
     )
 }
