@@ -14,6 +14,7 @@ from siltstream.llm.rlz import remove_repeated_passages
 from siltstream.llm.sharding import shard_documents
 from siltstream.llm.simhash import simhash_components
 from siltstream.llm.suffix_dedup import remove_repeated_bytes
+from siltstream.llm.suffix_tree import score_documents
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -55,7 +60,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_benchmark_decontamination, op4_quality_rules, op5_license_scan, op6_suffix_dedup, op7_simhash_near_dedup,
+        op2_benchmark_decontamination, op3_lm_scoring, op4_quality_rules, op5_license_scan, op6_suffix_dedup, op7_simhash_near_dedup,
         op8_sharding, op9_source_mixing, op10_substring_dedup,
     )
 }
