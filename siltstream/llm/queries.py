@@ -15,12 +15,17 @@ from siltstream.llm.sharding import shard_documents
 from siltstream.llm.simhash import simhash_components
 from siltstream.llm.suffix_dedup import remove_repeated_bytes
 from siltstream.llm.suffix_tree import score_documents
+from siltstream.llm.warc import archive_round_trip
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(read(spark, sf_dir, "pages"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -60,8 +65,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_benchmark_decontamination, op3_lm_scoring, op4_quality_rules, op5_license_scan, op6_suffix_dedup, op7_simhash_near_dedup,
-        op8_sharding, op9_source_mixing, op10_substring_dedup,
+        op1_warc_capture_index, op2_benchmark_decontamination, op3_lm_scoring, op4_quality_rules, op5_license_scan,
+        op6_suffix_dedup, op7_simhash_near_dedup, op8_sharding, op9_source_mixing, op10_substring_dedup,
     )
 }
 
