@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from siltstream.llm.rows import LOWER, SPACED, blocks, narrow, word_spans
 from siltstream.operators.graph import connected_components
-from siltstream.plans.shared import stage
+from siltstream.plans.shared import small, stage
 
 SHINGLE, THRESHOLD = 4, 4
 #: (shift, radius plus threshold) of the halves.
@@ -244,11 +244,11 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, spark) -> DataFrame:
+def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` of which the doc_id is the smallest of its component.
 
     Rows that repeat the same doc_id all stay or all go, except copies of a null doc_id, which stay.
     """
     found = simhash_components(docs)
     gone = found.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    return docs.join(small(gone), docs.doc_id == F.col("_gone"), "left_anti")
