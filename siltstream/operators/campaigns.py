@@ -60,7 +60,8 @@ def session_features(tables: dict[str, DataFrame], fetches: DataFrame) -> DataFr
         _feature(lists, "credlist", digest16(F.to_json(F.transform("l", lambda x: F.struct(x.u.alias("u"), x.p.alias("p"))))), 4),
         _feature(pairs, "login", F.concat_ws(":", "u", "p"), 1.5),
     ]
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(["session_id", "key"])
+    # used several times on: kept as a table, not worked out again
+    return stage(reduce(DataFrame.unionByName, parts).dropDuplicates(["session_id", "key"]), "features")
 
 
 def link_edges(features: DataFrame, order: DataFrame, max_pairs: int | None = None) -> DataFrame:

@@ -138,7 +138,7 @@ def top_countries(sessions: DataFrame, geo: DataFrame, limit: int = 8) -> DataFr
 def hourly_activity(sessions: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     """(hour, sessions) of the last hours, the running one included, zeros too, oldest first."""
     spark = sessions.sparkSession
-    spine = spark.range(1).select(F.explode(F.sequence(F.date_trunc("hour", now) - F.make_interval(hours=F.lit(hours - 1)), F.date_trunc("hour", now), F.expr("interval 1 hour"))).cast("timestamp_ntz").alias("hour"))
+    spine = spark.range(1).select(F.explode(F.sequence(F.date_trunc("hour", now) - F.make_interval(hours=F.lit(hours - 1)), F.date_trunc("hour", now), F.expr("interval 1 hour"))).alias("hour")).select(F.col("hour").cast("timestamp_ntz"))
     counted = real(sessions).groupBy(F.date_trunc("hour", "start_time").cast("timestamp_ntz").alias("_hour")).agg(F.count(F.lit(1)).alias("n"))
     return spine.join(counted, F.col("hour") == F.col("_hour"), "left").select("hour", F.coalesce("n", F.lit(0)).alias("sessions")).orderBy("hour")
 
