@@ -140,7 +140,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it; texts without words as often as their source's whole rate."""
     names = docs.columns
     g = mix_counts(docs).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "m", "base", "extra")
     d = docs.withColumn("_size", F.size(spaced_words(F.col("text"))).cast("long"))
