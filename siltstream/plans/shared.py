@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which :func:`small` asks for a broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (as JSON) up to which :func:`small` asks for a broadcast; larger sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 24_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,12 +41,13 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count finds at most ``rows`` rows, else as it is.
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if an aggregation finds at most so many rows and bytes, else as it is.
 
     Without the hint Spark joins by a shuffle, splitting hot keys (adaptive skew join).
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def drop(spark: SparkSession, path: str) -> None:
