@@ -23,7 +23,8 @@ from siltstream.plans.shared import scratch, small
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     verdict = judge(docs, labels).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(verdict), docs.doc_id.eqNullSafe(F.col("_gone")), "left_anti")
+    verdict = small(verdict)
+    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_gone"]), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,12 +141,13 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; texts without words as often as their source's whole rate."""
-    names = docs.columns
     g = mix_counts(docs).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "m", "base", "extra")
-    d = docs.withColumn("_size", F.size(spaced_words(F.col("text"))).cast("long"))
-    d = d.join(g, d.doc_id.eqNullSafe(F.col("_d")) & d.source.eqNullSafe(F.col("_s")) & (d["_size"] == F.col("_n")))
+    # the row travels as one column, so its names can't clash with ours
+    d = docs.select(docs["doc_id"].alias("_doc"), docs["source"].alias("_src"), docs["text"].alias("_text"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    d = d.withColumn("_size", F.size(spaced_words(F.col("_text"))).cast("long"))
+    d = d.join(g, F.col("_doc").eqNullSafe(F.col("_d")) & F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
     one = d.where("m = 1").withColumn("_copies", F.col("base") + F.col("extra"))
-    rank = F.row_number().over(W.Window.partitionBy("_d", "_s", "_n").orderBy(F.xxhash64("text")))
+    rank = F.row_number().over(W.Window.partitionBy("_d", "_s", "_n").orderBy(F.xxhash64("_text")))
     many = d.where("m > 1").withColumn("_copies", F.col("base") + (rank <= F.col("extra")).cast("long"))
     both = reduce(DataFrame.unionByName, [x.where("_copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))) for x in (one, many)])
-    return both.select(*names)
+    return both.select("_row.*")

@@ -251,4 +251,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     found = simhash_components(docs)
     gone = found.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(gone), docs.doc_id == F.col("_gone"), "left_anti")
+    gone = small(gone)
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -7,8 +7,10 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from siltstream.llm.decontaminate import keep_clean
 from siltstream.llm.mixing import entropy_rates, mix, mixed, targets
 from siltstream.llm.sharding import rewrite_shards, shard_documents
+from siltstream.llm.simhash import keep_first
 from siltstream.llm.warc import archive_round_trip, build_index, open_index, surt, write_warc
 
 from . import brute
@@ -118,10 +120,17 @@ def test_mix(docs, odd, empty, texts):
         names = ["doc_id", "size", "source_size", "taken"]
         assert got(out, *names) == got(again, *names)
         # the stage repeats texts with words as often as the query says
-        assert mixed(df).where("text rlike '[^ \\t\\n]'").count() == sum(r.taken // r.size for r in out.collect() if r.size)
+        assert sum(bool(brute.spaced(r.text)) for r in mixed(df).collect()) == sum(r.taken // r.size for r in out.collect() if r.size)
     assert mix(empty).count() == 0
 
 
+def test_stages_odd(odd, empty, items):
+    """Clashing columns, nulls and repeats come through the stages."""
+    assert keep_first(odd[0]).columns == odd[0].columns and keep_clean(odd[0], items).columns == odd[0].columns
+    assert mixed(odd[0]).columns == odd[0].columns and keep_clean(odd[0], items).count() <= odd[0].count()
+    assert [f(empty).count() for f in (mixed, keep_first)] == [0, 0]
+
+
 def test_pipeline(spark, docs, items, texts, tmp_path):
     labels = spark.createDataFrame([(d, 1, 0) for d, _, _, _ in texts[0]], "doc_id bigint, quality int, toxic int")
     for name, df in (("documents", docs), ("benchmark", items), ("labels", labels)):
