@@ -122,6 +122,19 @@ def _marks(marks: np.ndarray, buckets: int) -> pa.RecordBatch:
     return _batch([(b, squeeze(marks[s].tobytes())) for b, s in _split(where, buckets)])
 
 
+def _gathered_marks(found: Iterator[np.ndarray], buckets: int, limit: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Marks of many buckets together, so that a task deals few, large blobs."""
+    held, n = [], 0
+    for marks in found:
+        held.append(marks)
+        n += len(marks)
+        if n > limit:
+            yield _marks(np.concatenate(held), buckets)
+            held, n = [], 0
+    if n:
+        yield _marks(np.concatenate(held), buckets)
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
     """The blobs of each bucket, from batches sorted by bucket."""
     held, blobs = None, []
@@ -200,10 +213,10 @@ def _runs_of(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
 def _compare(kind: Kind, doc_buckets: int):
     """Runs of an anchor to marks: repeats as a whole, and (open) runs to be taken apart."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for bucket, blobs in _groups(batches):
             if bucket < 0:
-                yield _marks(np.concatenate([np.frombuffer(expand(b), MARK) for b in blobs]), doc_buckets)
+                yield from (np.frombuffer(expand(b), MARK) for b in blobs)
                 continue
             gh, ctx, uid, start, n, more = _runs_of(blobs)
             order = np.lexsort((start, uid, ctx, gh))
@@ -223,11 +236,9 @@ def _compare(kind: Kind, doc_buckets: int):
             out = [_mark(uid[m], start[m], n[m], uid[ref[m]], start[ref[m]], o) for m, o in ((repeated, 0), (apart, 1))]
             if not kind.keep_first:
                 out[1]["open"] += repeated[apart]  # 2: known to be repeated, there for others to compare with
-            marks = np.concatenate(out)
-            if len(marks):
-                yield _marks(marks, doc_buckets)
+            yield np.concatenate(out)
 
-    return run
+    return lambda batches: _gathered_marks(found(batches), doc_buckets)
 
 
 def packed_texts(texts: DataFrame, buckets: int) -> DataFrame:
@@ -336,10 +347,12 @@ def _apart(kind: Kind, buckets: int, limit: int = 1_000_000):
 
 
 def _same_windows(kind: Kind, doc_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of a hash to marks."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for bucket, blobs in _groups(batches):
             if bucket < 0:
-                yield _marks(np.concatenate([np.frombuffer(expand(b), MARK) for b in blobs]), doc_buckets)
+                yield from (np.frombuffer(expand(b), MARK) for b in blobs)
                 continue
             parts = []
             for blob in blobs:
@@ -355,10 +368,9 @@ def _same_windows(kind: Kind, doc_buckets: int):
             own = np.repeat(first, size)
             repeated = ~head if kind.keep_first else np.repeat((size > 1) | np.logical_or.reduceat(more > 0, first), size)
             ref = np.where(head & np.repeat(size > 1, size), np.minimum(own + 1, len(own) - 1), own)
-            if repeated.any():
-                yield _marks(_mark(uid[repeated], start[repeated], 1, uid[ref[repeated]], start[ref[repeated]], 0), doc_buckets)
+            yield _mark(uid[repeated], start[repeated], 1, uid[ref[repeated]], start[ref[repeated]], 0)
 
-    return run
+    return lambda batches: _gathered_marks(found(batches), doc_buckets)
 
 
 def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[int, bytes, np.ndarray], tuple], schema: str) -> DataFrame:
@@ -368,7 +380,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[int, bytes,
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
+    buckets = 2 * parts
     blob = "bucket int, blob binary"
     dealt = lambda d: d.repartition(parts, "bucket").sortWithinPartitions("bucket")
     whole = stage(dealt(docs.select("uid", "text").mapInArrow(_find(kind, buckets), blob)).mapInArrow(_compare(kind, buckets), blob), "runs", "uncompressed")
