@@ -62,7 +62,7 @@ def bound_command(command: Column) -> Column:
 def printable(text: Column, limit: int | None = None) -> Column:
     r"""Control, format and other invisible characters as \xNN or \uNNNN, cut with …."""
     text = F.coalesce(text, F.lit(""))
-    point = lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("long")
+    point = F.ascii  # the code point, whatever it is
     code = lambda c: F.lower(F.hex(point(c)))
     shown = lambda c: F.when(point(c) < 256, F.concat(F.lit("\\x"), F.lpad(code(c), 2, "0"))).otherwise(F.concat(F.lit("\\u"), F.when(F.length(code(c)) < 4, F.lpad(code(c), 4, "0")).otherwise(code(c))))
     hidden = r"[\p{C}\x{2028}\x{2029}]"
