@@ -129,7 +129,7 @@ def classify_alerts(events: DataFrame, techniques: DataFrame, rules=None) -> Dat
 FREQUENCIES = [("failed_3_in_120", "login.failed", 3, 120), ("failed_10_in_300", "login.failed", 10, 300), ("discovery_4_in_60", "discovery", 4, 60)]
 
 
-def frequency_alerts(events: DataFrame, discovery_commands: DataFrame) -> DataFrame:
+def frequency_alerts(events: DataFrame, discovery_commands: DataFrame, frequencies=FREQUENCIES) -> DataFrame:
     """(src_ip, ts, ord, alert, n): events that complete a burst of their source within a trailing span.
 
     discovery_commands (input): commands that count for the third rule.
@@ -139,7 +139,7 @@ def frequency_alerts(events: DataFrame, discovery_commands: DataFrame) -> DataFr
     found = events.where("eventid = 'cowrie.command.input'").join(discovery_commands.select("input").distinct(), "input", "left_semi").select("src_ip", "ts", "ord", F.lit("discovery").alias("what"))
     both = failed.unionByName(found).where("src_ip is not null and ts is not null").withColumn("s", seconds)
     out = []
-    for name, what, least, span in FREQUENCIES:
+    for name, what, least, span in frequencies:
         trailing = W.Window.partitionBy("src_ip").orderBy("s").rangeBetween(-span, 0)
         out.append(both.where(F.col("what") == what).withColumn("n", F.count(F.lit(1)).over(trailing)).where(F.col("n") >= least).select("src_ip", "ts", "ord", F.lit(name).alias("alert"), "n"))
     return reduce(DataFrame.unionByName, out)

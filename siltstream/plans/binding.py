@@ -23,6 +23,10 @@ COMMANDS = [
 ]
 
 
+#: Local IPv4 networks as a pattern, for DuckDB.
+LOCAL = r"^(0|10|127)\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^192\.168\."
+
+
 def _fields(spark: bool) -> dict[str, str]:
     pick = (lambda xs, by: f"element_at(array({xs}), cast({by} as int) + 1)") if spark else (lambda xs, by: f"[{xs}][{by} + 1]")
     quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
@@ -96,7 +100,7 @@ def _cte() -> str:
     fields = _fields(False)
     eventid = fields.pop("eventid")
     own = ", ".join(f"{x} AS {n}" for n, x in fields.items())
-    local = "src_ip LIKE '10.%'"
+    local = f"regexp_matches(src_ip, '{LOCAL}')"
     kinds = {
         "logins": ("username, password, eventid = 'cowrie.login.success' AS success", "eventid IN ('cowrie.login.failed', 'cowrie.login.success')", 500, "username, password, success"),
         "commands": ("input AS command", "eventid = 'cowrie.command.input'", 2000, "command"),

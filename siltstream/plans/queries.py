@@ -16,7 +16,7 @@ from siltstream.operators import reports as P
 from siltstream.operators import retention as T
 from siltstream.operators import rules as R
 from siltstream.operators import sessions as S
-from siltstream.plans.binding import CTE, bound_events, bound_tables, geo, intel
+from siltstream.plans.binding import CTE, LOCAL, bound_events, bound_tables, geo, intel
 from siltstream.sources import sinks
 
 NOW = "2024-01-31 00:00:00"
@@ -245,13 +245,14 @@ _DISCOVERY = ", ".join(f"'{t}'" for t, _, x in R.CATALOG if x == "discovery")
 
 @query(over(MATCHES, f""", b AS (SELECT src_ip, ts, ord, 'f' AS w FROM ev WHERE eventid = 'cowrie.login.failed' AND src_ip IS NOT NULL UNION ALL SELECT src_ip, ts, ord, 'd' FROM ev WHERE src_ip IS NOT NULL AND input IN (SELECT command FROM hits WHERE technique IN ({_DISCOVERY}))),
  x AS (SELECT *, cast(floor(epoch(ts)) AS bigint) s FROM b),
- y AS (SELECT *, count(*) OVER (PARTITION BY src_ip, w ORDER BY s RANGE BETWEEN 120 PRECEDING AND CURRENT ROW) a, count(*) OVER (PARTITION BY src_ip, w ORDER BY s RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) c, count(*) OVER (PARTITION BY src_ip, w ORDER BY s RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) e FROM x)
- SELECT src_ip, ts, ord, 'failed_3_in_120' AS alert, a AS n FROM y WHERE w = 'f' AND a >= 3 UNION ALL SELECT src_ip, ts, ord, 'failed_10_in_300', c FROM y WHERE w = 'f' AND c >= 10 UNION ALL SELECT src_ip, ts, ord, 'discovery_4_in_60', e FROM y WHERE w = 'd' AND e >= 4"""))
+ y AS (SELECT *, count(*) OVER (PARTITION BY src_ip, w ORDER BY s RANGE BETWEEN 43200 PRECEDING AND CURRENT ROW) a, count(*) OVER (PARTITION BY src_ip, w ORDER BY s RANGE BETWEEN 172800 PRECEDING AND CURRENT ROW) c, count(*) OVER (PARTITION BY src_ip, w ORDER BY s RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW) e FROM x)
+ SELECT src_ip, ts, ord, 'failed_3_in_43200' AS alert, a AS n FROM y WHERE w = 'f' AND a >= 3 UNION ALL SELECT src_ip, ts, ord, 'failed_10_in_172800', c FROM y WHERE w = 'f' AND c >= 10 UNION ALL SELECT src_ip, ts, ord, 'discovery_4_in_21600', e FROM y WHERE w = 'd' AND e >= 4"""))
 def frequency_alerts(log):
+    """The derived log is sparse, so its spans are hours."""
     found = D.map_distinct_commands(log.tables["commands"])
     plain = [t for t, _, x in R.CATALOG if x == "discovery"]
     commands = found.where(F.exists("matches", lambda m: m.technique.isin(plain))).select(F.col("command").alias("input"))
-    return D.frequency_alerts(log.events, commands)
+    return D.frequency_alerts(log.events, commands, [("failed_3_in_43200", "login.failed", 3, 43200), ("failed_10_in_172800", "login.failed", 10, 172800), ("discovery_4_in_21600", "discovery", 4, 21600)])
 
 
 # --- reports
@@ -558,7 +559,7 @@ def page_hosts(log):
     return p.select("page_id", host.alias("host"), urls.is_common_host(host).alias("common"), urls.clean_url(F.col("url")).alias("clean"))
 
 
-@query(over(CTE, "SELECT DISTINCT src_ip, cast(string_split(src_ip, '.')[1] AS bigint) * 16777216 + cast(string_split(src_ip, '.')[2] AS bigint) * 65536 + cast(string_split(src_ip, '.')[3] AS bigint) * 256 + cast(string_split(src_ip, '.')[4] AS bigint) AS number, src_ip LIKE '10.%' AS internal FROM ev WHERE src_ip IS NOT NULL"))
+@query(over(CTE, "SELECT DISTINCT src_ip, cast(string_split(src_ip, '.')[1] AS bigint) * 16777216 + cast(string_split(src_ip, '.')[2] AS bigint) * 65536 + cast(string_split(src_ip, '.')[3] AS bigint) * 256 + cast(string_split(src_ip, '.')[4] AS bigint) AS number, regexp_matches(src_ip, '@LOCAL') AS internal FROM ev WHERE src_ip IS NOT NULL".replace("@LOCAL", LOCAL)))
 def address_numbers(log):
     ips = log.events.select("src_ip").where("src_ip is not null").distinct()
     return ips.select("src_ip", net.ipv4_number(F.col("src_ip")).alias("number"), net.is_internal(F.col("src_ip")).alias("internal"))
