@@ -1,4 +1,4 @@
-"""The operators applied to whole tables; the columns are those of the queries' contracts."""
+"""The operators applied to whole tables; the columns are those of the queries' contracts. ORACLES has SQL for some."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstream.llm.decontaminate import decontaminate
 from siltstream.llm.licenses import scan_licenses
 from siltstream.llm.mixing import mix
+from siltstream.llm.oracles import ORACLES
 from siltstream.llm.quality import quality_rules
 from siltstream.llm.rlz import remove_repeated_passages
 from siltstream.llm.sharding import shard_documents
@@ -17,6 +18,8 @@ from siltstream.llm.suffix_dedup import remove_repeated_bytes
 from siltstream.llm.suffix_tree import score_documents
 from siltstream.llm.warc import archive_round_trip
 
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -69,6 +72,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_suffix_dedup, op7_simhash_near_dedup, op8_sharding, op9_source_mixing, op10_substring_dedup,
     )
 }
-
-#: DuckDB SQL where it can express the query.
-ORACLES: dict[str, str] = {}
