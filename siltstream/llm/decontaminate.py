@@ -3,7 +3,7 @@
 Built-in functions only. Postings (text, place) of the rarest terms of each benchmark window are
 stored as a table. A window's candidates come from its rarest term's list; lists of the next rarest
 terms, moved by their offsets, are intersected with it one after the other, and what is left is
-compared word by word. Only counts of benchmark terms and postings of their rare ones are shuffled;
+compared by the 64-bit hash of all its words. Only counts of benchmark terms and postings of their rare ones are shuffled;
 texts move only where the places to compare are too many to broadcast.
 """
 
@@ -86,11 +86,11 @@ def matches(texts: DataFrame, queries: DataFrame) -> DataFrame:
     """(uid, n_words, n_hit, qids) for every text: exact occurrences of the queries' phrases."""
     rare, postings = index_terms(texts, queries)
     candidates = stage(phrase_candidates(rare, postings), "candidates")
-    asked = candidates.join(small(queries.select("qid", "words")), "qid")
-    asked = asked.groupBy("uid").agg(F.collect_list(F.struct("start", F.size("words").alias("n"), "qid", "words")).alias("asked"))
-    asked = stage(asked, "to-compare")
-    d = texts.select("uid", letter_words(F.col("text")).alias("w")).join(small(asked, 20_000), "uid", "left")
-    equal = lambda a: F.slice("w", a.start + 1, a.n) == a.words
+    asked = candidates.join(small(queries.select("qid", F.size("words").alias("n"))), "qid")
+    asked = stage(asked.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "qid")).alias("asked")), "to-compare")
+    d = texts.select("uid", letter_words(F.col("text")).alias("w")).join(small(asked), "uid", "left")
+    # the rarest terms stand where they should; a query's id is the hash of all its words
+    equal = lambda a: F.xxhash64(F.slice("w", a.start + 1, a.n)) == a.qid
     d = d.select("uid", F.size("w").cast("long").alias("n_words"), F.filter("asked", equal).alias("hits"))
     spans = F.transform("hits", lambda h: F.struct(h.start.alias("start"), h.n.alias("n")))
     d = d.select("uid", "n_words", spans.alias("spans"), F.array_distinct(F.transform("hits", lambda h: h.qid)).alias("qids"))
@@ -101,7 +101,7 @@ def near_matches(docs: DataFrame, items: DataFrame, slop: int = 2, length: int =
     """(doc_id, item): proximity matches, where the rare terms of a window of the item stand within ``slop`` of their places."""
     texts, same = with_uid(docs)
     windows = phrases(items, length)
-    queries = stage(windows.select("words").distinct().withColumn("qid", F.monotonically_increasing_id()), "queries")
+    queries = stage(windows.select("words").distinct().withColumn("qid", F.xxhash64("words")), "queries")
     rare, postings = index_terms(texts, queries)
     found = phrase_candidates(rare, postings, slop).select("uid", "qid").distinct()
     named = windows.join(queries, "words").select("qid", "item")
@@ -117,7 +117,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     texts, same = with_uid(docs)
     windows = stage(phrases(items), "windows")
-    queries = stage(windows.select("words").distinct().withColumn("qid", F.monotonically_increasing_id()), "queries")
+    queries = stage(windows.select("words").distinct().withColumn("qid", F.xxhash64("words")), "queries")
     found = stage(matches(texts.select("uid", "text"), queries), "matches")
     named = windows.where("item is not null").join(queries, "words").select("qid", "item")
     listed = found.where(F.size("qids") > 0).select("uid", F.explode("qids").alias("qid")).join(small(named), "qid")
@@ -133,4 +133,5 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated; rows of one doc_id share the strictest verdict."""
     bad = decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(small(bad), docs.doc_id.eqNullSafe(F.col("_bad")), "left_anti")
+    bad = small(bad)
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
