@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from siltstream.operators import rules as R
+from siltstream.plans.shared import stage
 
 # The rules that mean a visitor looks for a honeypot.
 PROBE_RULES = ["discovery-virtualization", "discovery-ssh-version"]
@@ -187,10 +188,12 @@ def session_page(flags: DataFrame, matches: DataFrame, geo: DataFrame, intel: Da
     s = starting_with(s, prefix) if prefix else s
     s = with_technique(s, matches, technique) if technique else s
     s = from_country(s, geo, country) if country else s
+    # flags are dear, and both the count and the page need them
+    s = stage(s.select("id", "src_ip", "start_time", "logins", F.col("n_commands").alias("commands")), "page")
     total = s.count()
     pages = max(1, -(-total // size))
     page = min(max(page, 1), pages)
-    own = s.select("id", "src_ip", "start_time", "logins", F.col("n_commands").alias("commands")).orderBy(F.desc_nulls_last("start_time"), "id").offset((page - 1) * size).limit(size)
+    own = s.orderBy(F.desc_nulls_last("start_time"), "id").offset((page - 1) * size).limit(size)
     own = F.broadcast(own)  # at most a page
     place = geo.select(F.col("ip").alias("_g"), F.col("country_code").alias("country"))
     seen = intel.groupBy(F.col("ip").alias("_i")).pivot("provider", ["abuseipdb", "tor"]).agg(F.first("score").alias("score"), F.first("flagged").alias("flagged"))
