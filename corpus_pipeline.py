@@ -2,7 +2,8 @@
 
 Quality rules drop what they reject, SimHash keeps one document of each group, decontamination drops
 contaminated documents, mixing repeats or drops documents to reach its targets, and sharding adds
-each row's shard and slot. All but the last return the columns of documents.
+each row's shard and slot. All but the last return the columns of documents. What a stage decides
+concerns single rows, also where doc_ids are null or repeated.
 """
 
 from __future__ import annotations
@@ -10,21 +11,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siltstream.llm.decontaminate import keep_clean
 from siltstream.llm.mixing import mixed
 from siltstream.llm.quality import judge
+from siltstream.llm.rows import with_row, without
 from siltstream.llm.sharding import shard_documents
 from siltstream.llm.simhash import keep_first
-from siltstream.plans.shared import scratch, small
+from siltstream.plans.shared import scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    verdict = judge(docs, labels).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    verdict = small(verdict)
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_gone"]), "left_anti")
+    rows = with_row(docs, "doc_id", "text", *[c for c in docs.columns if c == "lang"])
+    return without(rows, judge(rows.drop("_row"), labels, "uid").where("not kept").select("uid"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from siltstream.llm.rows import with_key, with_uid
+from siltstream.llm.rows import with_key, with_row, with_uid, without
 from siltstream.llm.words import letter_words
 from siltstream.plans.shared import small, stage
 
@@ -131,7 +131,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated; rows of one doc_id share the strictest verdict."""
-    bad = decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    bad = small(bad)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` that are not contaminated; each has a verdict of its own, whatever its doc_id."""
+    rows = with_row(docs, "text")
+    bad = decontaminate(rows.select(F.col("uid").alias("doc_id"), "text"), items).where("contaminated")
+    return without(rows, bad.select(F.col("doc_id").alias("uid")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstream.plans.shared import stage
+from siltstream.plans.shared import small, stage
 
 #: Bytes of text that a task handles at once; one longer text makes a block of its own.
 BLOCK_BYTES = 2_000_000
@@ -20,6 +20,39 @@ def narrow(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[n].alias(n) for n in names])
 
 
+def _identifies(docs: DataFrame, key: str) -> bool:
+    """Whether the key is an integer, without nulls and unique."""
+    if dict(docs.dtypes)[key] not in ("bigint", "int", "smallint", "tinyint"):
+        return False
+    n, have, distinct = docs.agg(F.count(F.lit(1)), F.count(docs[key]), F.countDistinct(docs[key])).first()
+    return n == have == distinct
+
+
+def with_row(docs: DataFrame, *names: str, key: str = "doc_id") -> DataFrame:
+    """(uid, names, _row): whole rows as one column, with a number that tells rows apart and orders them by key.
+
+    Where the key tells rows apart, it is the uid. Otherwise rows are sorted by key (null last), then
+    by a hash of the row, and written once to the shared folder, so that verdicts on a uid
+    concern one row, whatever its key is.
+    """
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    if _identifies(docs, key):
+        rows = docs.select(docs[key].cast("long").alias("uid"), row)
+    else:
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tie = F.xxhash64(*[F.col("_row")[c] for c, kind in docs.dtypes if "map<" not in kind])
+        order = [F.col("_row")[key].asc_nulls_last(), tie]
+        ordered = docs.select(row).repartitionByRange(parts, *order, F.rand(7)).sortWithinPartitions(*order)
+        rows = stage(ordered.select(F.monotonically_increasing_id().alias("uid"), "_row"), "rows")
+    return rows.select("uid", *[F.col("_row")[n].alias(n) for n in names], "_row")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of :func:`with_row` as they were, less those of which the uid is in ``gone`` (uid)."""
+    gone = small(gone.select(F.col("uid").alias("_gone")))
+    return rows.join(gone, rows["uid"] == gone["_gone"], "left_anti").select("_row.*")
+
+
 def with_uid(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
     """(uid, key, text), where uid is unique and orders rows by key; and whether it is the key.
 
@@ -28,10 +61,8 @@ def with_uid(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
     once to the shared folder with generated increasing numbers; equal rows get different ones.
     """
     docs = docs.select(docs[key].alias(key), docs[text].alias(text))
-    if dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint"):
-        n, have, distinct = docs.agg(F.count(F.lit(1)), F.count(key), F.countDistinct(key)).first()
-        if n == have == distinct:
-            return docs.select(F.col(key).cast("long").alias("uid"), key, text), True
+    if _identifies(docs, key):
+        return docs.select(F.col(key).cast("long").alias("uid"), key, text), True
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64(text)
     ordered = docs.repartitionByRange(parts, F.col(key), tie, F.rand(7)).sortWithinPartitions(key, tie)

@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstream.llm.rows import LOWER, SPACED, blocks, narrow, word_spans
+from siltstream.llm.rows import LOWER, SPACED, blocks, narrow, with_row, without, word_spans
 from siltstream.operators.graph import connected_components
-from siltstream.plans.shared import small, stage
+from siltstream.plans.shared import stage
 
 SHINGLE, THRESHOLD = 4, 4
 #: (shift, radius plus threshold) of the halves.
@@ -245,11 +245,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` of which the doc_id is the smallest of its component.
+    """The first row of each component of ``docs``: that of the smallest doc_id, null last.
 
-    Rows that repeat the same doc_id all stay or all go, except copies of a null doc_id, which stay.
+    Of rows that share this doc_id, or have none, one stays too.
     """
-    found = simhash_components(docs)
-    gone = found.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = small(gone)
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows = with_row(docs, "text")
+    found = simhash_components(rows.select(F.col("uid").alias("doc_id"), "text"))
+    return without(rows, found.where("doc_id > component_id").select(F.col("doc_id").alias("uid")))

@@ -131,6 +131,22 @@ def test_stages_odd(odd, empty, items):
     assert [f(empty).count() for f in (mixed, keep_first)] == [0, 0]
 
 
+def test_stages_by_row(spark, items, texts, tmp_path):
+    """Verdicts concern rows: a bad text takes no other of its doc_id, or of none, with it, and of copies one stays."""
+    text = [" ".join(f"t{i}w{j}" for j in range(30)) for i in range(8)]
+    leak = texts[1][1][1]
+    rows = [(None, text[0]), (None, text[0]), (None, "too short"), (None, f"{text[1]} {leak}"), (None, text[2]), (None, text[3])]
+    rows += [(7, text[2]), (7, "short too"), (8, text[4]), (8, f"{text[5]} {leak}"), (9, text[6]), (9, text[6]), (10, text[7])]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id bigint, text string, lang string").repartition(3)
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    own = lambda d: got(d, "doc_id", "text")
+    assert own(corpus_pipeline.quality(spark, df, str(tmp_path))) == want([r for r in rows if "short" not in r[1]])
+    once = {r: None for r in rows if r != (None, text[2])}
+    assert own(corpus_pipeline.near_duplicates(spark, df, str(tmp_path))) == want(once)
+    assert own(corpus_pipeline.decontamination(spark, df, str(tmp_path))) == want([r for r in rows if leak not in r[1]])
+
+
 def test_pipeline(spark, docs, items, texts, tmp_path):
     labels = spark.createDataFrame([(d, 1, 0) for d, _, _, _ in texts[0]], "doc_id bigint, quality int, toxic int")
     for name, df in (("documents", docs), ("benchmark", items), ("labels", labels)):
