@@ -3,12 +3,14 @@
 One automaton holds the word sequences of all templates. Texts stream through it: at each word it
 gives the longest suffix that some template contains (matching statistics). Maximal matches of at
 least three words are placed in the templates that have them and chained, in rising order of both
-text and template; a template of which chains cover enough is a label. Base phrases are found by
-the same walk, as suffixes of the current match.
+text and template; a template of which a chain covers enough is a label, and each such chain that
+overlaps no better one is a span. Base phrases are found by the same walk, as suffixes of the
+current match, and count as wholes.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,6 +38,10 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 LONG, ENOUGH = 3, 0.6
+#: Words from which a base phrase is chained as templates are; shorter ones count where they stand as a whole.
+WHOLE = 8
+#: Covered words that a word between the matches of a chain counts for.
+GAP = 0.25
 
 
 class Automaton:
@@ -160,41 +166,72 @@ class Scanner:
             found.append((before[0], at + len(tokens) - before[1], before[1]))
         return base, found
 
-    def chains(self, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
-        """(template, covered words, first word, end) of the best chain in each template.
+    def chains(self, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """For each template the words that its best chain covers, and (first word, end) of all chains that cover enough.
 
-        A chain starts anew where the text moves on by more than two template lengths.
+        A template's spans don't overlap. They are taken best first, first as chains of which gaps are
+        counted against what they cover, so that none runs from one notice into the next, then
+        without that. A chain starts anew where the text moves on by more than two template lengths.
+        Base phrases of fewer than ``WHOLE`` words aren't chained, as parts of them say nothing.
         """
         placed: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for state, at, n in found:
             for k, end in self.automaton.ends[state]:
-                if end + 1 >= n:
+                if end + 1 >= n and (k >= len(self.phrases) or self.sizes[k] >= WHOLE):
                     placed[k].append((at, end + 1 - n, n))
         for k, matches in placed.items():
             matches.sort()
-            best: tuple[int, int, int] = (0, 0, 0)
-            window: list[tuple[int, int, int, int, int]] = []  # text end, template end, covered, first, text start
-            for at, place, n in matches:
-                window = [w for w in window if at - w[0] <= 2 * self.sizes[k]]
-                covered, first = n, at
-                for text_end, template_end, sum_, begin, _ in window:
-                    if text_end <= at and template_end <= place and sum_ + n > covered:
-                        covered, first = sum_ + n, begin
-                window.append((at + n, place + n, covered, first, at))
-                best = max(best, (covered, -first, at + n))
-            yield k, best[0], -best[1], best[2]
+            best = max(covered for _, covered, _, _ in self._ends(matches, k, 0))
+            spans: list[tuple[int, int]] = []
+            for price in (GAP, 0) if best / self.sizes[k] >= ENOUGH else ():
+                parts, more = _between(matches, spans), True
+                while more:
+                    more = False
+                    ranked = sorted((-value, first, end) for part in parts for value, covered, first, end in self._ends(part, k, price) if covered / self.sizes[k] >= ENOUGH)
+                    for _, first, end in ranked:
+                        if _free(spans, first, end):
+                            insort(spans, (first, end))
+                            more = True
+                    # what lies between the spans may hold more of them
+                    parts = [rest for part in parts for rest in _between(part, spans)]
+            yield k, best, spans
+
+    def _ends(self, matches: list[tuple[int, int, int]], k: int, price: float) -> Iterator[tuple[float, int, int, int]]:
+        """(value, covered, first word, end) of the best chain that ends with each of the sorted matches; a word between matches costs ``price``."""
+        window: list[tuple[int, int, float, int, int]] = []  # text end, template end, value, covered, first
+        for at, place, n in matches:
+            window = [w for w in window if at - w[0] <= 2 * self.sizes[k]]
+            value, first, covered = float(n), at, n
+            for text_end, template_end, before, sum_, begin in window:
+                if text_end <= at and template_end <= place:
+                    value, first, covered = max((value, first, covered), (before + n - price * (at - text_end), begin, sum_ + n))
+            window.append((at + n, place + n, value, covered, first))
+            yield value, covered, first, at + n
+
+
+def _free(spans: list[tuple[int, int]], first: int, end: int) -> bool:
+    """Whether (first, end) overlaps none of the sorted spans, which don't overlap."""
+    i = bisect_left(spans, (first + 1,))
+    return (i == 0 or spans[i - 1][1] <= first) and (i == len(spans) or end <= spans[i][0])
+
+
+def _between(matches: list[tuple[int, int, int]], spans: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
+    """The sorted matches that lie outside the sorted spans, by the gap that they stand in."""
+    gaps: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for m in matches:
+        if _free(spans, m[0], m[0] + m[2]):
+            gaps[bisect_left(spans, m[:1])].append(m)
+    return list(gaps.values())
 
 
 def _result(scanner: Scanner, base: list[tuple[int, int]], found: list[tuple[int, int, int]]) -> tuple:
     starts = [at for _, at in base]
     base_labels = {scanner.labels[k] for k, _ in base}
     labels, score, spans = set(base_labels), 1.0 if base else 0.0, []
-    for k, covered, first, end in scanner.chains(found):
-        share = covered / scanner.sizes[k]
-        score = max(score, share)
-        if share >= ENOUGH:
-            labels.add(scanner.labels[k])
-            spans.append((first, end, scanner.labels[k]))
+    for k, covered, own in scanner.chains(found):
+        score = max(score, covered / scanner.sizes[k])
+        labels |= {scanner.labels[k]} if own else set()
+        spans += [(first, end, scanner.labels[k]) for first, end in own]
     said = ";".join(f"{a},{b},{x}" for a, b, x in sorted(spans))
     return len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), min(score, 1.0), said
 

@@ -3,7 +3,7 @@
 import pytest
 
 from siltstream.llm.decontaminate import decontaminate, keep_clean, near_matches
-from siltstream.llm.licenses import PHRASES, Automaton, scan_licenses
+from siltstream.llm.licenses import PHRASES, TEMPLATES, Automaton, scan_licenses
 from siltstream.llm.quality import at_most, judge, quality_rules
 from siltstream.llm.rlz import remove_repeated_passages
 from siltstream.llm.simhash import keep_first, simhash_components
@@ -90,6 +90,31 @@ def test_license_templates(spark):
     assert row.labels == "bsd-3-clause" and row.base_labels == "" and row.score == 18 / 21 and row.spans.startswith("0,")
 
 
+def test_parts_of_base_phrases(spark):
+    """Three of a phrase's four words name no license."""
+    texts = ["GNU General Public License, version 2", "the Mozilla Public License Version 2.0", "not under the MIT one", "Apache License, Version 2"]
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == ["", "", "", "apache-2"]
+    assert all(r.score < 0.3 for r in rows[:3]) and rows[3].score == 1
+
+
+def test_every_notice(spark):
+    """Each notice has a span of its own, changed words or not, and no chain runs from one into the next."""
+    words = dict(TEMPLATES)["bsd-3-clause"].split()
+    changed = [*words[:9], "xx", *words[10:]]
+    part = words[:5]
+    text = [*changed, *changed, "and", *words, *part, *changed, *["yy"] * 50, *words, *words]
+    spans = scan_licenses(spark.createDataFrame([(1, " ".join(text))], "doc_id bigint, text string"), spans=True).first().spans
+    n = len(words)
+    starts = [0, n, 2 * n + 1, 3 * n + 6, 4 * n + 56, 5 * n + 56]
+    assert spans == ";".join(f"{a},{a + n},bsd-3-clause" for a in starts)
+    # parts of both would cover more than either
+    late, early = [*words[:15], "xx", *words[16:18], "xx", *words[19:]], ["xx", "xx", *words[2:16], "xx", *words[17:]]
+    text = " ".join([*late, *early])
+    row = scan_licenses(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spans=True).first()
+    assert row.score == (15 + 4) / n and row.spans == f"0,15,bsd-3-clause;{n + 2},{2 * n},bsd-3-clause"
+
+
 def test_matching_statistics():
     sequences = [[1, 2, 3, 1, 2], [2, 3, 4], [1, 1]]
     a = Automaton(sequences)
