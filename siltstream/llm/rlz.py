@@ -3,8 +3,8 @@
 The corpus is the reference. Its blocks are indexed by anchors (see ``repeats``), and every document is
 parsed against all of them: a run of windows that stands elsewhere as a whole is a piece of a factor,
 pieces that continue one another in the same reference are one factor, greedily from the left. Where
-a factor ends inside a run, the windows across that boundary are looked up one by one. Factors of at
-least a window's words become duplicate spans.
+a factor ends inside a run, the windows across that boundary are looked up one by one. The windows found
+so decide which words go; factors are joined from them only as a description.
 """
 
 from __future__ import annotations
