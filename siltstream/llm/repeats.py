@@ -1,23 +1,24 @@
-"""Exact repeats of fixed-length windows across a corpus, without moving every window.
+"""Where passages repeat across a corpus: which places have to be compared, and bringing them together.
 
-Texts are sequences of units (bytes or words). Of the grams of half a window's length that a window
-holds, the one with the smallest hash is its anchor, so equal windows have equal anchors at equal
-places, and a run of consecutive windows shares an anchor. What travels is a row for each run: a hash
-of the anchor, a hash of all units that the run's windows touch, and the run's place.
+Texts are sequences of units (bytes or words); a window is a fixed number of them. Of the grams of
+half a window's length that a window holds, the one with the smallest hash is its anchor, so equal
+windows have equal anchors at equal places, and a run of consecutive windows shares one.
 
-1. Runs meet by anchor. Runs alike in both hashes are repeats of one another as a whole.
-2. Where an anchor has runs that differ, the first run of each kind is taken apart into windows,
-   and these meet by their hashes. This happens at the edges of repeated passages.
+1. Anchors meet by their hash. A run whose anchor stands nowhere else can't repeat and is done with.
+2. The other runs are cut out of their texts with all units that their windows touch: contexts.
+   Contexts meet by anchor, and there the operator compares what they really hold
+   (``Kind.classes``, ``Kind.windows``): operator 6 by a suffix sort, operator 10 by factors.
+3. Where an anchor has more than ``CROWD`` different contexts, these go on as single windows that
+   meet by the hash of their contents, so no anchor, however frequent, is one task's load.
 
-Equal runs or windows of one block of texts are merged before they travel, so a group's rows at
-one task number at most those of the blocks, however many copies there are. Hashes that decide
-across tasks have 96 bits or more.
+Equal contexts of a batch of texts are merged before they travel, and those that meet are merged as
+they arrive. Work is dealt in buckets, of which the number follows from measured bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -28,32 +29,107 @@ from pyspark.sql import functions as F
 from siltstream.llm.rows import blocks, mix, prefix_hash, span_hash
 from siltstream.plans.shared import stage
 
-#: Bits of a place within a block, below the hash bits that choose the anchor.
-PLACE = np.uint64((1 << 28) - 1)
-MARK = np.dtype([("uid", "<i8"), ("start", "<i4"), ("n", "<i4"), ("ref", "<i8"), ("at", "<i4"), ("open", "u1")])
+#: Bits of a place among ``SLICE`` units, below the hash bits that choose the anchor.
+PLACE = np.uint64((1 << 24) - 1)
+#: Units of one text that are hashed at once; longer texts are cut, with a window's overlap.
+SLICE = 4_000_000
+#: Text that a bucket holds; bytes of contexts that a bucket holds, and that a task compares at once.
+DOCUMENT_BYTES, CONTEXT_BYTES, BATCH_BYTES = 16_000_000, 6_000_000, 3_000_000
+#: Runs that a bucket of anchors holds.
+ANCHOR_ROWS = 500_000
+#: Different contexts of an anchor beyond which they go on as windows; windows that are sorted at once.
+CROWD, WINDOWS_AT_ONCE = 20_000, 500_000
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Texts as units: unit i is data[edge[i] : edge[i + 1] - gap], and row r has the units off[r] to off[r + 1]."""
+
+    data: np.ndarray
+    off: np.ndarray
+    edge: np.ndarray | None = None  # None: units are bytes
+    gap: int = 0
+
+    def span(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the units from a up to b, of which there are some."""
+        return (a, b) if self.edge is None else (self.edge[a], self.edge[b] - self.gap)
+
+
+@dataclass(frozen=True)
+class Contexts:
+    """Runs of windows with what they touch. ``left``: units from the first window's start to the anchor."""
+
+    key: np.ndarray
+    uid: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
+    left: np.ndarray
+    told: np.ndarray  # known to be repeated, and marked so
+    raw: np.ndarray  # all bytes
+    off: np.ndarray
+
+    def take(self, i: np.ndarray) -> Contexts:
+        return Contexts(*(getattr(self, f.name)[i] for f in fields(self)[:6]), *cut(self.raw, self.off[i], self.off[i + 1]))
+
+    def __add__(self, other: Contexts) -> Contexts:
+        columns = [np.concatenate((getattr(self, f.name), getattr(other, f.name))) for f in fields(self)[:7]]
+        return Contexts(*columns, np.concatenate((self.off, other.off[1:] + self.off[-1])))
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+
+MARK = np.dtype([("uid", "<i8"), ("start", "<i4"), ("n", "<i4"), ("ref", "<i8"), ("at", "<i4")])
+RUN = np.dtype([("uid", "<i8"), ("start", "<i4"), ("n", "<u2"), ("left", "<u2"), ("key", "<u8")])
 
 
 @dataclass(frozen=True)
 class Kind:
-    """How texts become units, and which of a group of equal windows are repeats."""
+    """How texts become units, and how contexts are compared."""
 
     window: int
     gram: int
-    #: (bytes, offsets) -> (a hash for each unit, offsets in units)
-    units: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-    #: True: all but the first of a group. False: all of a group of two or more.
-    keep_first: bool
-    #: Merges equal windows of a block before they travel: (units, starts, uids, places) -> order and heads
-    merge: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None
+    #: (bytes, offsets) -> Layout
+    layout: Callable[[np.ndarray, np.ndarray], Layout]
+    #: (Layout, from, to) -> a hash for each of these units
+    values: Callable[[Layout, int, int], np.ndarray]
+    #: Contexts -> (marks of those equal to another one, one context of each class)
+    classes: Callable[[Contexts], tuple[np.ndarray, Contexts]]
+    #: Contexts that differ -> marks of what their windows share; they come in full groups by key
+    windows: Callable[[Contexts], np.ndarray]
+
+
+def cut(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes from each a up to b, one after the other, and their offsets."""
+    off = np.concatenate(([0], np.cumsum(b - a))).astype(np.int64)
+    return raw[np.repeat(a - off[:-1], b - a) + np.arange(off[-1])], off
+
+
+def heads(*columns: np.ndarray) -> np.ndarray:
+    """Of sorted columns: True where any differs from the row before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
 
+def inner(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n, one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
-def runs(values: np.ndarray, off: np.ndarray, kind: Kind) -> dict[str, np.ndarray]:
-    """The runs of windows with one anchor: row, first window, number, anchor hash and run hash."""
+
+def make_marks(uid, start, n, ref, at) -> np.ndarray:
+    out = np.zeros(len(uid), MARK)
+    out["uid"], out["start"], out["n"], out["ref"], out["at"] = uid, start, n, ref, at
+    return out
+
+
+def _runs(values: np.ndarray, off: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
+    """Row, first window, number of windows, anchor less first window, and anchor hash of each run."""
     size, gram = kind.window, kind.gram
-    none = {"row": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "gh": np.zeros(0, np.uint64), "ctx": np.zeros(0, np.uint64)}
     counts = np.maximum(np.diff(off) - size + 1, 0)
     if not counts.sum():
-        return none
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     prefix = prefix_hash(values)
     at = np.arange(len(values) - gram + 1)
     grams = mix(span_hash(prefix, at, at + gram))
@@ -64,14 +140,28 @@ def runs(values: np.ndarray, off: np.ndarray, kind: Kind) -> dict[str, np.ndarra
         step = min(have, width - have)
         low = np.minimum(low[:-step], low[step:])
         have += step
-    first = np.repeat(off[:-1], counts) + np.arange(counts.sum()) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
+    first = np.repeat(off[:-1], counts) + inner(counts)
     anchor = (PLACE - (low[first] & PLACE)).astype(np.int64)
-    head = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    row = np.repeat(np.arange(len(counts)), counts)
+    head = np.flatnonzero(heads(anchor, row))
     n = np.diff(np.concatenate((head, [len(anchor)])))
-    start, p = first[head], anchor[head]
-    ctx = span_hash(prefix, start, start + n - 1 + size) + ((p - start) * 1000003 + n).astype(np.uint64)
-    row = np.searchsorted(off, start, side="right") - 1
-    return {"row": row, "start": start - off[row], "n": n, "gh": grams[p], "ctx": mix(ctx)}
+    start, row, anchor = first[head], row[head], anchor[head]
+    return row, start - off[row], n, anchor - start, grams[anchor]
+
+
+def runs(layout: Layout, kind: Kind) -> tuple[np.ndarray, ...]:
+    """As :func:`_runs`; a text of more than ``SLICE`` units is taken in pieces that overlap by a window less one."""
+    off = layout.off
+    if off[-1] <= SLICE:
+        return _runs(kind.values(layout, 0, int(off[-1])), off, kind)
+    parts = []
+    for r in range(len(off) - 1):
+        for a in range(int(off[r]), int(off[r + 1]), SLICE):
+            b = min(a + SLICE + kind.window - 1, int(off[r + 1]))
+            _, *rest = _runs(kind.values(layout, a, b), np.array([0, b - a]), kind)
+            rest[0] = rest[0] + (a - int(off[r]))
+            parts.append((np.full(len(rest[0]), r), *rest))
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(5))
 
 
 _tools: list = []
@@ -89,324 +179,377 @@ def expand(data: bytes) -> bytes:
     return _tools[1].decompress(data)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays one after the other; hashes stay as they are, the rest is compressed."""
-    body = b"".join(x.tobytes() for x in arrays)
-    return squeeze(body)
-
+# ---- blobs dealt by bucket -----------------------------------------------------------------------------------------
 
-def _split(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Of sorted bucket numbers: each with its rows."""
-    edge = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edge)):
-        yield int(b), slice(edge[b], edge[b + 1])
+#: what: 0 runs or contexts, 1 marks. weight: bytes of the contexts that marks of step 1 lead to.
+BLOB = "bucket int, what int, weight bigint, blob binary"
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _doc_bucket(uid: np.ndarray, buckets: int) -> np.ndarray:
     return _bucket(mix(uid.astype(np.int64).view(np.uint64)), buckets)
 
 
-def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
+def _split(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Of sorted bucket numbers: each with its rows."""
+    edge = np.flatnonzero(heads(bucket))
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)], strict=True):
+        yield int(bucket[a]), slice(a, b)
+
+
+def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "what", "weight", "blob"])
 
 
-def _marks(marks: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Marks dealt by document."""
-    where = _doc_bucket(marks["uid"], buckets)
-    order = np.lexsort((marks["start"], marks["uid"], where))
-    marks, where = marks[order], where[order]
-    return _batch([(b, squeeze(marks[s].tobytes())) for b, s in _split(where, buckets)])
+def _dealt(found: np.ndarray, buckets: int, extra: int = 0) -> list[tuple[int, int, int, bytes]]:
+    """Marks (or runs to be cut out) by document."""
+    if not len(found):
+        return []
+    where = _doc_bucket(found["uid"], buckets)
+    order = np.lexsort((found["start"], found["uid"], where))
+    found, where = found[order], where[order]
+    return [(b, 1, int((found["n"][s].astype(np.int64) + extra).sum()), squeeze(found[s].tobytes())) for b, s in _split(where, buckets)]
 
 
-def _gathered_marks(found: Iterator[np.ndarray], buckets: int, limit: int = 500_000) -> Iterator[pa.RecordBatch]:
+class Gather:
     """Marks of many buckets together, so that a task deals few, large blobs."""
-    held, n = [], 0
-    for marks in found:
-        held.append(marks)
-        n += len(marks)
-        if n > limit:
-            yield _marks(np.concatenate(held), buckets)
-            held, n = [], 0
-    if n:
-        yield _marks(np.concatenate(held), buckets)
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """The blobs of each bucket, from batches sorted by bucket."""
-    held, blobs = None, []
-    for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if bucket != held:
-                if blobs:
-                    yield held, blobs
-                held, blobs = bucket, []
-            blobs.append(blob)
-    if blobs:
-        yield held, blobs
 
+    def __init__(self, buckets: int, extra: int = 0, limit: int = 300_000):
+        self.buckets, self.extra, self.limit, self.held, self.n = buckets, extra, limit, [], 0
 
-RUN = np.dtype([("uid", "<i8"), ("start", "<i4"), ("n", "<i4"), ("more", "u1")])
+    def add(self, marks: np.ndarray) -> list:
+        self.held.append(marks)
+        self.n += len(marks)
+        return self.flush() if self.n > self.limit else []
 
+    def flush(self) -> list:
+        found, self.held, self.n = self.held, [], 0
+        return _dealt(np.concatenate(found), self.buckets, self.extra) if found else []
 
-def _mark(uid, start, n, ref, at, open_) -> np.ndarray:
-    out = np.zeros(len(uid), MARK)
-    out["uid"], out["start"], out["n"], out["ref"], out["at"], out["open"] = uid, start, n, ref, at, open_
-    return out
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[bytes]]]:
+    """The blobs of each bucket, one at a time, from batches sorted by bucket; each bucket has to be read to its end."""
+    rows = ((int(bucket), blob) for batch in batches for bucket, blob in zip(batch.column("bucket").to_numpy().tolist(), batch.column("blob"), strict=True))
+    ahead = next(rows, None)
 
-def _heads(*columns: np.ndarray) -> np.ndarray:
-    """Of sorted columns: True where any differs from the row before."""
-    out = np.ones(len(columns[0]), bool)
-    if len(out):
-        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    return out
+    def own(bucket: int) -> Iterator[bytes]:
+        nonlocal ahead
+        while ahead is not None and ahead[0] == bucket:
+            blob, ahead = ahead[1].as_py(), next(rows, None)
+            yield blob
 
+    while ahead is not None:
+        yield ahead[0], own(ahead[0])
 
-def _find(kind: Kind, buckets: int):
-    """Texts to runs dealt by anchor (bucket >= 0) and marks of runs repeated within a block (bucket < 0)."""
+
+# ---- step 1: anchors that stand twice ----------------------------------------------------------------------------------
+
+
+def _find(kind: Kind, buckets: int, doc_buckets: int):
+    """Texts to runs dealt by anchor, and (of anchors that stand twice in a block) runs to be cut out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = Gather(doc_buckets, kind.window)
         for rows, raw, off in blocks(batches):
-            values, uoff = kind.units(raw, off)
-            r = runs(values, uoff, kind)
-            if not len(r["row"]):
+            row, start, n, left, key = runs(kind.layout(raw, off), kind)
+            if not len(row):
                 continue
-            uid = rows.column("uid").to_numpy(zero_copy_only=False)[r["row"]]
-            bucket = _bucket(r["gh"], buckets)
-            order = np.lexsort((r["start"], uid, r["ctx"], r["gh"], bucket))
-            uid, bucket, start, n, gh, ctx = (x[order] for x in (uid, bucket, r["start"], r["n"], r["gh"], r["ctx"]))
-            head = _heads(bucket, gh, ctx)
-            first = np.flatnonzero(head)
-            own = np.repeat(first, np.diff(np.concatenate((first, [len(head)]))))
-            more = np.diff(np.concatenate((first, [len(head)]))) > 1
-            marks = _mark(uid[~head], start[~head], n[~head], uid[own[~head]], start[own[~head]], 0)
-            kept = np.zeros(len(first), RUN)
-            kept["uid"], kept["start"], kept["n"], kept["more"] = uid[first], start[first], n[first], more
-            out = []
-            for b, s in _split(bucket[first], buckets):
-                body = kept[s]
-                hashes = (gh[first][s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + ctx[first][s].tobytes()
-                rest = _pack(body["uid"], body["start"], body["n"].astype(np.uint16), body["more"])
-                out.append((b, np.uint32(len(body)).tobytes() + hashes + rest))
-            if len(marks):
-                out.append((-1 - int(uid[0] % buckets), squeeze(marks.tobytes())))
+            found = np.zeros(len(row), RUN)
+            found["uid"] = rows.column("uid").to_numpy(zero_copy_only=False)[row]
+            found["start"], found["n"], found["left"], found["key"] = start, n, left, key
+            bucket = _bucket(key, buckets)
+            order = np.lexsort((key, bucket))
+            found, bucket = found[order], bucket[order]
+            head = heads(found["key"])
+            more = np.diff(np.concatenate((np.flatnonzero(head), [len(head)]))) > 1
+            out = twice.add(found[~head])
+            found, bucket = found[head], bucket[head]
+            for b, s in _split(bucket, buckets):
+                own = found[s]
+                rest = squeeze(b"".join(own[c].tobytes() for c in ("uid", "start", "n", "left")) + more[s].tobytes())
+                out.append((b, 0, 0, np.uint32(len(own)).tobytes() + own["key"].tobytes() + rest))
+            yield _batch(out)
+        if out := twice.flush():
             yield _batch(out)
 
     return run
 
 
-def _runs_of(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    parts = []
-    for blob in blobs:
-        n = int(np.frombuffer(blob, np.uint32, 1)[0])
-        gh, ctx = np.frombuffer(blob, np.uint32, n, 4), np.frombuffer(blob, np.uint64, n, 4 + 4 * n)
-        rest = expand(blob[4 + 12 * n :])
-        uid, start = np.frombuffer(rest, np.int64, n), np.frombuffer(rest, np.int32, n, 8 * n)
-        parts.append((gh, ctx, uid, start, np.frombuffer(rest, np.uint16, n, 12 * n), np.frombuffer(rest, np.uint8, n, 14 * n)))
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(6))
-
-
-def _compare(kind: Kind, doc_buckets: int):
-    """Runs of an anchor to marks: repeats as a whole, and (open) runs to be taken apart."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for bucket, blobs in _groups(batches):
-            if bucket < 0:
-                yield from (np.frombuffer(expand(b), MARK) for b in blobs)
-                continue
-            gh, ctx, uid, start, n, more = _runs_of(blobs)
-            order = np.lexsort((start, uid, ctx, gh))
-            gh, ctx, uid, start, n, more = (x[order] for x in (gh, ctx, uid, start, n, more))
-            head, group = _heads(gh, ctx), _heads(gh)
-            first = np.flatnonzero(head)
-            size = np.diff(np.concatenate((first, [len(head)])))
-            own = np.repeat(first, size)
-            repeated = ~head
-            if not kind.keep_first:
-                repeated = np.repeat((size > 1) | np.logical_or.reduceat(more, first), size)
-            # a run that is its own reference points at the next of its kind, if that is here
-            ref = np.where(head & np.repeat(size > 1, size), np.minimum(own + 1, len(own) - 1), own)
-            kinds = np.add.reduceat(head.astype(np.int64), np.flatnonzero(group))
-            several = np.repeat(kinds > 1, np.diff(np.concatenate((np.flatnonzero(group), [len(group)]))))
-            apart = head & several
-            out = [_mark(uid[m], start[m], n[m], uid[ref[m]], start[ref[m]], o) for m, o in ((repeated, 0), (apart, 1))]
-            if not kind.keep_first:
-                out[1]["open"] += repeated[apart]  # 2: known to be repeated, there for others to compare with
-            yield np.concatenate(out)
-
-    return lambda batches: _gathered_marks(found(batches), doc_buckets)
+def _run_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, np.uint32, 1)[0])
+    found, at, rest = np.zeros(n, RUN), 0, expand(blob[4 + 8 * n :])
+    found["key"] = np.frombuffer(blob, np.uint64, n, 4)
+    for c in ("uid", "start", "n", "left"):
+        found[c] = np.frombuffer(rest, RUN[c], n, at)
+        at += n * RUN[c].itemsize
+    return found, np.frombuffer(rest, bool, n, at)
+
+
+def _twice(kind: Kind, doc_buckets: int):
+    """Runs that meet at an anchor to runs to be cut out. Of an anchor only the first run is kept while others arrive."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = Gather(doc_buckets, kind.window)
+        for _, blobs in _groups(batches):
+            held, more, parts, n = np.zeros(0, RUN), np.zeros(0, bool), [], 0
+            told = np.zeros(0, bool)
+
+            def fold(parts, held, more, told):
+                found = np.concatenate([held, *(p[0] for p in parts)])
+                more = np.concatenate([more, *(p[1] for p in parts)])
+                told = np.concatenate([told, np.zeros(len(found) - len(told), bool)])
+                order = np.argsort(found["key"], kind="stable")
+                found, more, told = found[order], more[order], told[order]
+                first = np.flatnonzero(heads(found["key"]))
+                size = np.diff(np.concatenate((first, [len(found)])))
+                again = (size > 1) | np.logical_or.reduceat(more | told, first)
+                out = found[np.repeat(again, size) & ~told]
+                return out, found[first], more[first], again
+
+            for blob in blobs:
+                parts.append(_run_blob(blob))
+                n += len(parts[-1][0])
+                if n > 2 * ANCHOR_ROWS:
+                    out, held, more, told = fold(parts, held, more, told)
+                    parts, n = [], 0
+                    if rows := twice.add(out):
+                        yield _batch(rows)
+            if parts:
+                out, *_ = fold(parts, held, more, told)
+                if rows := twice.add(out):
+                    yield _batch(rows)
+        if rows := twice.flush():
+            yield _batch(rows)
+
+    return run
+
+
+# ---- texts and what is known about them --------------------------------------------------------------------------------
 
 
 def packed_texts(texts: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, kind, uid, blob): texts, compressed one by one, dealt by uid."""
+    """(bucket, what, uid, blob): texts, compressed one by one, dealt by uid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, off in blocks(batches):
-            data, uid = raw.tobytes(), rows.column("uid").to_numpy(zero_copy_only=False)
-            blobs = [squeeze(data[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(_doc_bucket(uid, buckets).astype(np.int32)), pa.array(np.ones(len(blobs), np.int32)), pa.array(uid), pa.array(blobs, pa.binary())], ["bucket", "kind", "uid", "blob"])
+            uid = rows.column("uid").to_numpy(zero_copy_only=False)
+            blobs = [squeeze(raw[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(_doc_bucket(uid, buckets).astype(np.int32)), pa.array(np.full(len(blobs), 2, np.int32)), pa.array(uid), pa.array(blobs, pa.binary())], ["bucket", "what", "uid", "blob"])
 
-    return texts.select("uid", "text").mapInArrow(run, "bucket int, kind int, uid bigint, blob binary")
+    return texts.select("uid", "text").mapInArrow(run, "bucket int, what int, uid bigint, blob binary")
 
 
 def _together(marks: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """Marks, then texts, of each bucket: one shuffle of both, sorted within partitions."""
-    marks = marks.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("uid"), "blob")
-    return marks.unionByName(texts).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    marks = marks.where("what = 1").select("bucket", "what", F.lit(0).cast("long").alias("uid"), "blob")
+    return marks.unionByName(texts).repartition(parts, "bucket").sortWithinPartitions("bucket", "what")
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """(uid, text, its marks) from what :func:`_together` made."""
+def _documents(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[int, Callable[[], bytes], np.ndarray]]:
+    """(uid, its text when asked for, its marks) from what :func:`_together` made."""
     held, blobs, marks = None, [], None
     for batch in batches:
-        columns = (c.to_pylist() for c in batch.columns)
-        for bucket, kind, uid, blob in zip(*columns, strict=True):
-            if bucket != held:
-                held, blobs, marks = bucket, [], None
-            if not kind:
-                blobs.append(blob)
+        bucket, what, uid = (batch.column(c).to_numpy().tolist() for c in ("bucket", "what", "uid"))
+        for i in range(batch.num_rows):
+            if bucket[i] != held:
+                held, blobs, marks = bucket[i], [], None
+            if what[i] == 1:
+                blobs.append(batch.column("blob")[i].as_py())
                 continue
             if marks is None:
-                marks = np.concatenate([np.zeros(0, MARK), *(np.frombuffer(expand(b), MARK) for b in blobs)])
+                marks = np.concatenate([np.zeros(0, kind), *(np.frombuffer(expand(b), kind) for b in blobs)])
                 marks = marks[np.argsort(marks["uid"], kind="stable")]
                 blobs = []
-            lo, hi = np.searchsorted(marks["uid"], uid), np.searchsorted(marks["uid"], uid, side="right")
-            yield uid, expand(blob), marks[lo:hi]
+            lo, hi = np.searchsorted(marks["uid"], uid[i]), np.searchsorted(marks["uid"], uid[i], side="right")
+            yield uid[i], lambda b=batch, i=i: expand(b.column("blob")[i].as_py()), marks[lo:hi]
+
+
+# ---- step 2: contexts --------------------------------------------------------------------------------------------------
+
+
+def _context_rows(c: Contexts, buckets: int) -> list[tuple[int, int, int, bytes]]:
+    """Contexts dealt by key."""
+    bucket = _bucket(c.key, buckets)
+    c, out = c.take(np.argsort(bucket, kind="stable")), []
+    for b, s in _split(np.sort(bucket), buckets):
+        own = b"".join(np.ascontiguousarray(x[s]).tobytes() for x in (c.uid, c.start, c.n, c.left, c.told, np.diff(c.off)))
+        body = squeeze(own + c.raw[c.off[s.start] : c.off[s.stop]].tobytes())
+        out.append((b, 0, 0, np.uint32(s.stop - s.start).tobytes() + c.key[s].tobytes() + body))
+    return out
+
 
+def _context_blob(blob: bytes) -> Contexts:
+    n = int(np.frombuffer(blob, np.uint32, 1)[0])
+    rest, at, columns = expand(blob[4 + 8 * n :]), 0, []
+    for t in (np.int64, np.int64, np.int64, np.int64, np.bool_, np.int64):
+        columns.append(np.frombuffer(rest, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return Contexts(np.frombuffer(blob, np.uint64, n, 4), *columns[:5], np.frombuffer(rest, np.uint8, offset=at), np.concatenate(([0], np.cumsum(columns[5]))))
 
-WINDOW_ROW = 8 + 4 + 8 + 4 + 1
 
+def contexts(layout: Layout, uids: np.ndarray, row: np.ndarray, found: np.ndarray, window: int) -> Contexts:
+    """Runs cut out of their texts. Equal keys stand together, then by place."""
+    order = np.lexsort((found["start"], found["uid"], found["key"]))
+    found, row = found[order], row[order]
+    n = found["n"].astype(np.int64)
+    a = layout.off[row] + found["start"].astype(np.int64)
+    lo, hi = layout.span(a, a + n - 1 + window)
+    columns = (found["key"], uids[row], found["start"].astype(np.int64), n, found["left"].astype(np.int64), np.zeros(len(n), bool))
+    return Contexts(*columns, *cut(layout.data, lo, hi))
 
-def _apart(kind: Kind, buckets: int, limit: int = 1_000_000):
-    """Windows of open runs, dealt by their hashes; equal ones of a block are merged first."""
+
+def _cut_out(kind: Kind, buckets: int, doc_buckets: int):
+    """Texts and their runs to contexts dealt by anchor; equal ones of a batch of texts are merged first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(texts, uids, marks):
-            raw = np.frombuffer(b"".join(texts), np.uint8)
+        gather = Gather(doc_buckets)
+
+        def done(texts, uids, found):
             off = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-            values, uoff = kind.units(raw, off)
-            sizes = [len(m) for m in marks]
-            all_ = np.concatenate(marks)
-            row = np.repeat(np.arange(len(texts)), sizes)
-            n = all_["n"].astype(np.int64)
-            inner = np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-            start = np.repeat(all_["start"].astype(np.int64), n) + inner
-            known = np.repeat(all_["open"] == 2, n).astype(np.uint8)
-            row = np.repeat(row, n)
-            place = uoff[row] + start
-            uid = np.array(uids, np.int64)[row]
-            prefix, second = prefix_hash(values), prefix_hash(mix(values))
-            wh = mix(span_hash(prefix, place, place + kind.window))
-            check = (mix(span_hash(second, place, place + kind.window)) >> np.uint64(32)).astype(np.uint32)
-            del second
-            order = np.lexsort((start, uid))
-            order = order[np.argsort(wh[order], kind="stable")]
-            if kind.merge is not None:
-                head = kind.merge(values, prefix, wh[order], place[order])
-            else:
-                head = _heads(wh[order], check[order])
-            first = np.flatnonzero(head)
-            size = np.diff(np.concatenate((first, [len(head)])))
-            own = np.repeat(order[first], size)
-            rest = order[~head]
-            marks_ = _mark(uid[rest], start[rest], 1, uid[own[~head]], start[own[~head]], 0)
-            lead = order[first]
-            more = ((size > 1) | (known[lead] > 0)).astype(np.uint8)
-            out = []
-            bucket = _bucket(wh[lead], buckets)
-            by = np.argsort(bucket, kind="stable")
-            lead, more, bucket = lead[by], more[by], bucket[by]
-            for b, s in _split(bucket, buckets):
-                x = lead[s]
-                body = wh[x].tobytes() + check[x].tobytes()
-                out.append((b, np.uint32(len(x)).tobytes() + body + _pack(uid[x], start[x].astype(np.int32), more[s])))
-            if len(marks_):
-                out.append((-1 - int(uid[0] % buckets), squeeze(marks_.tobytes())))
-            return _batch(out)
-
-        texts, uids, marks, held = [], [], [], 0
-        for uid, text, own in _documents(batches):
-            own = own[own["open"] > 0]
+            layout = kind.layout(np.frombuffer(b"".join(texts), np.uint8), off)
+            row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+            every = np.concatenate(found)
+            step = max(1, int(BATCH_BYTES / (2 * kind.window)))  # one very long text may have very many runs
+            for at in range(0, len(every), step):
+                c = contexts(layout, np.array(uids, np.int64), row[at : at + step], every[at : at + step], kind.window)
+                marks, firsts = kind.classes(c)
+                yield _batch(gather.add(marks) + _context_rows(firsts, buckets))
+
+        texts, uids, found, held = [], [], [], 0
+        for uid, text, own in _documents(batches, RUN):
             if not len(own):
                 continue
-            texts.append(text)
+            texts.append(text())
             uids.append(uid)
-            marks.append(own)
-            held += len(text) + 50 * int(own["n"].sum())
-            if held > 8 * limit:
-                yield done(texts, uids, marks)
-                texts, uids, marks, held = [], [], [], 0
+            found.append(own)
+            held += len(texts[-1]) + 2 * kind.window * len(own)
+            if held > BATCH_BYTES:
+                yield from done(texts, uids, found)
+                texts, uids, found, held = [], [], [], 0
         if texts:
-            yield done(texts, uids, marks)
+            yield from done(texts, uids, found)
+        if rows := gather.flush():
+            yield _batch(rows)
 
     return run
 
 
-def _same_windows(kind: Kind, doc_buckets: int):
-    """Windows of a hash to marks."""
+# ---- step 3: contexts meet ---------------------------------------------------------------------------------------------
+
+
+def _single_windows(c: Contexts, kind: Kind) -> Contexts:
+    """Every window of the contexts as a context of its own, with a key from its contents."""
+    layout = kind.layout(c.raw, c.off)
+    k = inner(c.n)
+    row = np.repeat(np.arange(len(c)), c.n)
+    at = layout.off[:-1][row] + k
+    prefix = prefix_hash(kind.values(layout, 0, int(layout.off[-1])))
+    key = mix(span_hash(prefix, at, at + kind.window) ^ np.uint64(0x5DEECE66D))
+    one = np.ones(len(k), np.int64)
+    return Contexts(key, c.uid[row], c.start[row] + k, one, 0 * one, np.zeros(len(k), bool), *cut(layout.data, *layout.span(at, at + kind.window)))
+
+
+def _meet(kind: Kind, buckets: int, doc_buckets: int, last: bool):
+    """Contexts to marks (what = 1); those of crowded anchors to single windows (what = 0), unless it is the ``last`` step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gather = Gather(doc_buckets)
+        for _, blobs in _groups(batches):
+            held, parts, size = None, [], 0
+
+            def fold(held, parts):
+                every = parts[0] if held is None else held + parts[0]
+                for p in parts[1:]:
+                    every = every + p
+                every = every.take(np.lexsort((every.start, every.uid, every.key)))
+                marks, firsts = kind.classes(every)
+                rows = gather.add(marks)
+                return firsts.take(np.argsort(firsts.key, kind="stable")), rows
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for bucket, blobs in _groups(batches):
-            if bucket < 0:
-                yield from (np.frombuffer(expand(b), MARK) for b in blobs)
-                continue
-            parts = []
             for blob in blobs:
-                n = int(np.frombuffer(blob, np.uint32, 1)[0])
-                rest = expand(blob[4 + 12 * n :])
-                parts.append((np.frombuffer(blob, np.uint64, n, 4), np.frombuffer(blob, np.uint32, n, 4 + 8 * n), np.frombuffer(rest, np.int64, n), np.frombuffer(rest, np.int32, n, 8 * n), np.frombuffer(rest, np.uint8, n, 12 * n)))
-            wh, check, uid, start, more = (np.concatenate([p[i] for p in parts]) for i in range(5))
-            order = np.lexsort((start, uid, check, wh))
-            wh, check, uid, start, more = (x[order] for x in (wh, check, uid, start, more))
-            head = _heads(wh, check)
-            first = np.flatnonzero(head)
-            size = np.diff(np.concatenate((first, [len(head)])))
-            own = np.repeat(first, size)
-            repeated = ~head if kind.keep_first else np.repeat((size > 1) | np.logical_or.reduceat(more > 0, first), size)
-            ref = np.where(head & np.repeat(size > 1, size), np.minimum(own + 1, len(own) - 1), own)
-            yield _mark(uid[repeated], start[repeated], 1, uid[ref[repeated]], start[ref[repeated]], 0)
-
-    return lambda batches: _gathered_marks(found(batches), doc_buckets)
+                parts.append(_context_blob(blob))
+                size += len(parts[-1].raw)
+                if size > BATCH_BYTES:
+                    held, rows = fold(held, parts)
+                    parts, size = [], 0
+                    if rows:
+                        yield _batch(rows)
+            if parts:
+                held, rows = fold(held, parts)
+                if rows:
+                    yield _batch(rows)
+            if held is None:
+                continue
+            # anchors with contexts that differ
+            first = np.flatnonzero(heads(held.key))
+            many = np.diff(np.concatenate((first, [len(held)])))
+            rank = np.repeat(many, many)
+            crowded = np.flatnonzero((rank > CROWD) & (not last))
+            for at in range(0, len(crowded), 2000):
+                yield _batch(_context_rows(_single_windows(held.take(crowded[at : at + 2000]), kind), buckets))
+            open_ = held.take(np.flatnonzero((rank > 1) & ((rank <= CROWD) | last)))
+            # whole anchors, so many that their windows number some hundred thousands
+            edge = np.flatnonzero(np.append(heads(open_.key), True)) if len(open_) else np.zeros(1, np.int64)
+            total = np.concatenate(([0], np.cumsum(open_.n)))
+            at = 0
+            while at < len(edge) - 1:
+                to = max(at + 1, int(np.searchsorted(total[edge], total[edge[at]] + WINDOWS_AT_ONCE, side="right")) - 1)
+                if rows := gather.add(kind.windows(open_.take(np.arange(edge[at], edge[to])))):
+                    yield _batch(rows)
+                at = to
+        if rows := gather.flush():
+            yield _batch(rows)
+
+    return run
+
+
+def _buckets(amount: int, each: int, parts: int) -> int:
+    """So many that each holds about ``each``, a multiple of the number of partitions."""
+    return parts * max(1, -(-amount // (each * parts)))
 
 
 def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[int, bytes, np.ndarray], tuple], schema: str) -> DataFrame:
-    """(uid, …) for every row of ``docs`` (uid, text): ``finish`` gets uid, text and marks of repeated runs.
+    """(uid, …) for every row of ``docs`` (uid, text): ``finish`` gets uid, text and the marks of what repeats.
 
     finish returns the values of ``schema``, which begins with the uid.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * parts
-    blob = "bucket int, blob binary"
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    doc_buckets = _buckets(size, DOCUMENT_BYTES, parts)
+    anchor_buckets = _buckets(size * 2 // (kind.window - kind.gram), ANCHOR_ROWS, parts)
     dealt = lambda d: d.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    whole = stage(dealt(docs.select("uid", "text").mapInArrow(_find(kind, buckets), blob)).mapInArrow(_compare(kind, buckets), blob), "runs", "uncompressed")
-    texts = packed_texts(docs, buckets)
-    windows = _together(whole, texts, parts).mapInArrow(_apart(kind, buckets), blob)
-    edges = stage(dealt(windows).mapInArrow(_same_windows(kind, buckets), blob), "windows", "uncompressed")
+    save = lambda d, name: stage(d, name, "uncompressed")
+
+    found = save(docs.select("uid", "text").mapInArrow(_find(kind, anchor_buckets, doc_buckets), BLOB), "anchors")
+    twice = save(dealt(found.where("what = 0")).mapInArrow(_twice(kind, doc_buckets), BLOB), "runs")
+    candidates = found.where("what = 1").unionByName(twice)
+    units = candidates.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    buckets = _buckets(units * (1 if kind.window > 50 else 7), CONTEXT_BYTES, parts)
+
+    texts = packed_texts(docs, doc_buckets)
+    cut_out = save(_together(candidates, texts, parts).mapInArrow(_cut_out(kind, buckets, doc_buckets), BLOB), "contexts")
+    met = save(dealt(cut_out.where("what = 0")).mapInArrow(_meet(kind, buckets, doc_buckets, False), BLOB), "met")
+    apart = save(dealt(met.where("what = 0")).mapInArrow(_meet(kind, buckets, doc_buckets, True), BLOB), "apart")
+    marks = cut_out.unionByName(met).unionByName(apart)
+
     arrow = [pa.field(f.split()[0], {"bigint": pa.int64(), "string": pa.string()}[f.split()[1]]) for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], [f.name for f in arrow])
+
         held = []
-        for uid, text, marks in _documents(batches):
-            held.append(finish(uid, text, marks[marks["open"] == 0]))
+        for uid, text, own in _documents(batches, MARK):
+            held.append(finish(uid, text(), own))
             if len(held) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], [f.name for f in arrow])
+                yield done(held)
                 held = []
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], [f.name for f in arrow])
-
-    return _together(whole.unionByName(edges), texts, parts).mapInArrow(run, schema)
-
-
-def covered(marks: np.ndarray, window: int, length: int) -> np.ndarray:
-    """True for each unit of a text that a marked window covers."""
-    step = np.zeros(length + 1, np.int64)
-    np.add.at(step, marks["start"], 1)
-    np.add.at(step, marks["start"] + marks["n"] - 1 + window, -1)
-    return np.cumsum(step[:-1]) > 0
-
+            yield done(held)
 
+    return _together(marks, texts, parts).mapInArrow(run, schema)

@@ -1,9 +1,10 @@
 """Byte-level removal of repeats by a hash-compared suffix sort (operator 6).
 
-Suffixes are sampled at anchors (see ``repeats``) and sorted by hashes; where runs of suffixes agree
-only in part, those of a block are mergesorted: two suffixes are compared by a binary search over
-polynomial prefix hashes for their common extension, in a number of steps that grows with the
-logarithm of the window, and neighbours that the hashes call equal are compared byte by byte.
+Suffixes of the texts that begin at equal anchors (see ``repeats``) are brought together and sorted:
+mergesort, in which two suffixes are compared by a binary search over polynomial prefix hashes for
+their common extension (see ``suffix_sort``). Neighbours with a common extension of a whole window are
+repeats, after their bytes have been compared. First whole contexts are sorted, then, where those of
+an anchor differ, the suffixes at each of their windows.
 """
 
 from __future__ import annotations
@@ -13,117 +14,81 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from siltstream.llm.repeats import Kind, covered, repeated_windows
-from siltstream.llm.rows import BYTE, span_hash, with_key, with_uid
+from siltstream.llm.repeats import Contexts, Kind, Layout, heads, inner, make_marks, repeated_windows
+from siltstream.llm.rows import BYTE, prefix_hash, with_key, with_uid
+from siltstream.llm.suffix_sort import sorted_suffixes
 
 WINDOW, GRAM = 100, 50
 
 
-def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Units, up to ``limit``, that the suffixes at a and b have in common, by binary search over prefix hashes."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), limit, np.int64)
-    whole = span_hash(prefix, a, a + limit) == span_hash(prefix, b, b + limit)
-    low[whole] = limit
-    while (open_ := np.flatnonzero(low < high)).size:
-        mid = (low[open_] + high[open_] + 1) // 2
-        x, y = a[open_], b[open_]
-        same = span_hash(prefix, x, x + mid) == span_hash(prefix, y, y + mid)
-        low[open_] = np.where(same, mid, low[open_])
-        high[open_] = np.where(same, high[open_], mid - 1)
-    return low
+def _layout(raw: np.ndarray, off: np.ndarray) -> Layout:
+    return Layout(raw, off)
 
 
-def _less(values: np.ndarray, prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Whether the suffix at a sorts before the one at b, looking at ``limit`` units; equal ones don't."""
-    n = common_extension(prefix, a, b, limit)
-    end = np.minimum(n, limit - 1)
-    return (n < limit) & (values[a + end] < values[b + end])
+def _values(layout: Layout, a: int, b: int) -> np.ndarray:
+    return BYTE[layout.data[a:b]]
 
 
-def merge_sort(values: np.ndarray, prefix: np.ndarray, places: np.ndarray, group: np.ndarray, limit: int) -> np.ndarray:
-    """A stable order of ``places`` (sorted by group) in which each group's suffixes are sorted.
+def equal_suffixes(raw: np.ndarray, places: np.ndarray, group: np.ndarray, limit: np.ndarray, sort=sorted_suffixes) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): suffixes sorted within their groups, and for each in that order the first of those equal to it.
 
-    Bottom-up: runs of 1, 2, 4 ... merge in pairs, all pairs of all groups at once. An element's
-    place in the merged run is its own rank plus its rank in the partner run, by binary search.
+    Groups of one are left as they are. Equal suffixes keep the order in which they came.
     """
     order = np.arange(len(places))
-    begin = np.searchsorted(group, group)
-    end = np.searchsorted(group, group, side="right")
-    width = 1
-    active = np.flatnonzero(end - begin > 1)
-    while active.size:
-        rank = active - begin[active]
-        run = rank // width
-        mine = begin[active] + run * width
-        other = begin[active] + (run ^ 1) * width
-        stop = np.minimum(other + width, end[active])
-        has = other < end[active]
-        low, high = other.copy(), np.where(has, stop, other)
-        left = run % 2 == 0  # ties: the left run's first
-        mine_at = places[order[active]]
-        while (open_ := np.flatnonzero(low < high)).size:
-            mid = (low[open_] + high[open_]) // 2
-            theirs = places[order[mid]]
-            before = np.where(left[open_], _less(values, prefix, theirs, mine_at[open_], limit), ~_less(values, prefix, mine_at[open_], theirs, limit))
-            low[open_] = np.where(before, mid + 1, low[open_])
-            high[open_] = np.where(before, high[open_], mid)
-        to = np.minimum(mine, np.where(has, other, mine)) + (active - mine) + (low - other)
-        new = order.copy()
-        new[to] = order[active]
-        order = new
-        width *= 2
-        active = active[end[active] - begin[active] > width]
-    return order
-
-
-def merge_windows(values: np.ndarray, prefix: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """True for the first of each class of equal windows; windows come sorted by hash, then by place.
-
-    Windows of one hash are suffix-sorted, so equal ones are neighbours even if the hash has
-    brought different ones together; neighbours are then verified unit by unit.
-    """
-    head = np.ones(len(places), bool)
-    if len(places) < 2:
-        return head
-    same = np.concatenate(([False], hashes[1:] == hashes[:-1]))
-    group = np.cumsum(~same)
-    sizes = np.bincount(group)
-    own = np.flatnonzero(sizes[group] > 1)
-    if not len(own):
-        return head
-    order = merge_sort(values, prefix, places[own], group[own], WINDOW)
-    sorted_ = own[order]
-    pair = np.flatnonzero(group[sorted_][1:] == group[sorted_][:-1])
-    for at in range(0, len(pair), 100_000):
-        p = pair[at : at + 100_000]
-        a, b = places[sorted_[p]], places[sorted_[p + 1]]
-        equal = np.ones(len(p), bool)
-        for k in range(WINDOW):
-            equal &= values[a + k] == values[b + k]
-        head[sorted_[p + 1]] = ~equal
-    # mergesort is stable and equal windows came in order of place: the head of a class is its first
-    return head if (sorted_ == own).all() else _by_class(head, own, sorted_)
-
-
-def _by_class(head: np.ndarray, own: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    """Windows of one hash that differ: those after the first class are left as classes of their own."""
-    moved = sorted_ != own
-    head[sorted_[moved]] = True
-    head[own[moved]] = True
-    return head
-
-
-def _units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return BYTE[raw], off
-
-
-KIND = Kind(WINDOW, GRAM, _units, keep_first=True, merge=merge_windows)
+    first = order.copy()
+    size = np.bincount(group, minlength=1)
+    own = np.flatnonzero(size[group] > 1)
+    if len(own):
+        values = BYTE[raw]
+        data = raw.tobytes()
+        found, common = sort(values, prefix_hash(values), places[own], group[own], limit[own], lambda p, n: data[p : p + n])
+        order[own] = own[found]
+        same = common >= limit[own][found]
+        at = np.maximum.accumulate(np.where(same, 0, np.arange(len(own))))
+        first[own] = order[own][at]
+    return order, first
+
+
+def classes(c: Contexts) -> tuple[np.ndarray, Contexts]:
+    """Marks of the contexts that equal an earlier one, and the first of each class. They come sorted by key and place."""
+    by = np.lexsort((c.start, c.uid, c.n, c.left, c.key))
+    group = np.cumsum(heads(c.key[by], c.left[by], c.n[by])) - 1
+    order, first = equal_suffixes(c.raw, c.off[:-1][by], group, c.n[by] + WINDOW - 1)
+    own, ref = by[order], by[first]
+    again = own != ref
+    marks = make_marks(c.uid[own[again]], c.start[own[again]], c.n[own[again]], c.uid[ref[again]], c.start[ref[again]])
+    return marks, c.take(np.sort(own[~again]))
+
+
+def windows(c: Contexts) -> np.ndarray:
+    """Marks of the windows that equal an earlier one among contexts of one anchor."""
+    k = inner(c.n)
+    row = np.repeat(np.arange(len(c)), c.n)
+    key, side, uid, start, place = c.key[row], c.left[row] - k, c.uid[row], c.start[row] + k, c.off[:-1][row] + k
+    by = np.lexsort((start, uid, side, key))
+    group = np.cumsum(heads(key[by], side[by])) - 1
+    order, first = equal_suffixes(c.raw, place[by], group, np.full(len(by), WINDOW))
+    own, ref = by[order], by[first]
+    again = own != ref
+    own, ref = own[again], ref[again]
+    return make_marks(uid[own], start[own], np.ones(len(own)), uid[ref], start[ref])
+
+
+KIND = Kind(WINDOW, GRAM, _layout, _values, classes, windows)
+
+
+def covered(marks: np.ndarray, length: int) -> np.ndarray:
+    """True for each byte of a text that a marked window covers."""
+    step = np.zeros(length + 1, np.int64)
+    np.add.at(step, marks["start"], 1)
+    np.add.at(step, marks["start"] + marks["n"] - 1 + WINDOW, -1)
+    return np.cumsum(step[:-1]) > 0
 
 
 def _finish(uid: int, text: bytes, marks: np.ndarray) -> tuple:
     if not len(marks):
         return uid, len(text), 0, 0, hashlib.sha256(text).hexdigest(), ""
-    gone = covered(marks, WINDOW, len(text))
+    gone = covered(marks, len(text))
     spans = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
     starts, ends = np.flatnonzero(spans > 0), np.flatnonzero(spans < 0)
     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from siltstream.llm import simhash, suffix_dedup
+from siltstream.llm import simhash, suffix_sort
 from siltstream.llm.rows import BYTE, prefix_hash
 from siltstream.llm.sharding import equal_capacities, min_cost_flow
 from siltstream.llm.suffix_tree import Tree
@@ -18,7 +18,7 @@ def test_common_extension_and_sort():
     prefix = prefix_hash(values)
     places = np.array(r.sample(range(300), 120))
     group = np.sort(np.array([r.randrange(7) for _ in places]))
-    order = suffix_dedup.merge_sort(values, prefix, places, group, 100)
+    order = suffix_sort.merge_sort(values, prefix, places, group, np.full(120, 100))
     assert sorted(order.tolist()) == list(range(len(places)))
     rank = {int(v): i for i, v in enumerate(sorted(set(values.tolist())))}
     text = lambda p: [rank[int(v)] for v in values[p : p + 100]]
@@ -26,7 +26,7 @@ def test_common_extension_and_sort():
         own = [text(places[i]) for i in order[group[order] == g]]
         assert own == sorted(own)
     a, b = places[:60], places[60:]
-    for x, y, n in zip(a, b, suffix_dedup.common_extension(prefix, a, b, 100), strict=True):
+    for x, y, n in zip(a, b, suffix_sort.common_extension(prefix, a, b, np.full(60, 100)), strict=True):
         assert n == next((i for i in range(100) if raw[x + i] != raw[y + i]), 100)
 
 
