@@ -351,7 +351,7 @@ def _together(marks: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
 
 def _documents(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[int, Callable[[], bytes], np.ndarray]]:
     """(uid, its text when asked for, its marks) from what :func:`_together` made."""
-    held, blobs, marks = None, [], None
+    held, blobs, marks, known = None, [], None, None
     for batch in batches:
         bucket, what, uid = (batch.column(c).to_numpy().tolist() for c in ("bucket", "what", "uid"))
         for i in range(batch.num_rows):
@@ -363,8 +363,9 @@ def _documents(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tu
             if marks is None:
                 marks = np.concatenate([np.zeros(0, kind), *(np.frombuffer(expand(b), kind) for b in blobs)])
                 marks = marks[np.argsort(marks["uid"], kind="stable")]
+                known = np.ascontiguousarray(marks["uid"])  # a field of the marks would be copied by every search
                 blobs = []
-            lo, hi = np.searchsorted(marks["uid"], uid[i]), np.searchsorted(marks["uid"], uid[i], side="right")
+            lo, hi = np.searchsorted(known, uid[i]), np.searchsorted(known, uid[i], side="right")
             yield uid[i], lambda b=batch, i=i: expand(b.column("blob")[i].as_py()), marks[lo:hi]
 
 
