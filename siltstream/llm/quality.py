@@ -1,18 +1,20 @@
 """Quality rules with risk-controlled thresholds (operator 4); built-in functions only.
 
 A base rule rejects short texts and texts that repeat themselves. Further rules compare a measure
-of the text with a cutoff for its stratum (the language). Cutoffs come from labelled documents:
-along a fixed sequence, from lenient to strict, an exact binomial test asks at each cutoff whether
-the share of good documents that it rejects is at most ``risk``, and the sequence ends with the first
-test that doesn't show it. A sequence needs no correction within itself; over the rules and strata
-the level is divided by their number (Bonferroni). So with probability 1 - ``level`` no rule rejects
-more than ``risk`` of any stratum's good documents; all rules together reject at most the sum.
+of the text with a cutoff for its stratum (the language). Candidate cutoffs are upper quantiles of the
+measure over documents without labels. A third of the labelled documents puts the candidates of a
+stratum into an order: those that reject fewest good documents first. Along that path, on which rules
+join one after the other, the other labelled documents (the holdout) are asked by an exact binomial
+test whether all rules together reject at most ``risk`` of the good documents that pass the base
+rule. A stratum's path ends before the first test that doesn't show it. A fixed sequence needs no
+correction within itself; over the strata the level is divided by their number (Bonferroni). So
+with probability 1 - ``level`` there is no stratum of which the rules reject more than ``risk``.
+Good is what is labelled good and not toxic.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,15 +23,13 @@ from pyspark.sql import window as W
 from siltstream.llm.words import SPACE, spaced_words
 from siltstream.plans.shared import small, stage
 
-#: Of each measure (larger is worse) the cutoffs in the order of the tests.
-CUTOFFS: dict[str, list[float]] = {
-    "symbols_per_word": [2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1],
-    "dup_line_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2],
-    "repeat_share": [0.2, 0.18, 0.16, 0.14, 0.12, 0.1, 0.08, 0.06, 0.05],
-    "word_length": [40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0],
-    "word_shortness": [-1.5, -2.0, -2.5, -3.0, -3.5],
-}
-RISK, LEVEL = 0.004, 0.05
+#: The rules: measures of which large values are bad.
+RULES = ["symbols_per_word", "dup_line_share", "repeat_share", "word_length", "word_shortness"]
+#: Shares of a stratum's documents without labels that a candidate cutoff leaves above it.
+SHARES = [0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1]
+RISK, LEVEL = 0.01, 0.05
+#: Of so many labelled documents one orders the candidates, the others test them.
+SPLIT = 3
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 5, 10, 20
 
 
@@ -65,15 +65,17 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def scored() -> dict[str, Column]:
-    """The measures that have cutoffs, from the columns of :func:`measures`."""
+    """The measures that have cutoffs, to three significant digits (downwards), from the columns of :func:`measures`."""
     words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
-    return {
+    exact = {
         "symbols_per_word": F.col("n_symbols") / words,
         "dup_line_share": F.col("n_dup_lines") / lines,
         "repeat_share": F.col("n_repeat_words") / words,
         "word_length": F.col("word_chars") / words,
         "word_shortness": -F.col("word_chars") / words,
     }
+    unit = lambda x: F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 2)
+    return {r: F.when(x == 0, F.lit(0.0)).otherwise(F.floor(x / unit(x)) * unit(x)) for r, x in exact.items()}
 
 
 def base_failed() -> Column:
@@ -94,44 +96,86 @@ def at_most(k: Column, n: Column, p: float) -> Column:
     return F.when((n == 0) | (k >= n * p), F.lit(1.0)).when(k == 0, F.exp(first)).otherwise(total)
 
 
+def _by_rule(measured: DataFrame, *keep: str) -> DataFrame:
+    """(kept columns, stratum, rule, score): a row for each document and rule."""
+    x = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), c.alias("score")) for r, c in scored().items()])).alias("x")
+    return measured.select(*keep, "stratum", x).select(*keep, "stratum", "x.rule", "x.score")
+
+
+def candidates(unlabelled: DataFrame) -> DataFrame:
+    """(stratum, rule, cutoff): the least scores that leave no more than each of ``SHARES`` above them."""
+    n = _by_rule(unlabelled).groupBy("stratum", "rule", "score").count()
+    upwards = W.Window.partitionBy("stratum", "rule").orderBy("score")
+    n = n.withColumn("below", F.sum("count").over(upwards)).withColumn("all", F.sum("count").over(W.Window.partitionBy("stratum", "rule")))
+    fits = F.explode(F.filter(F.array(*[F.lit(x) for x in SHARES]), lambda q: F.col("all") - F.col("below") <= q * F.col("all"))).alias("share")
+    return n.select("stratum", "rule", "score", fits).groupBy("stratum", "rule", "share").agg(F.min("score").alias("cutoff")).select("stratum", "rule", "cutoff").distinct()
+
+
+def _verdicts(labels: DataFrame) -> DataFrame:
+    """(doc_id, good, orders): each labelled document once, and whether it helps to order candidates or to test them."""
+    toxic = F.coalesce(labels["toxic"], F.lit(0)) if "toxic" in labels.columns else F.lit(0)
+    known = labels.where(labels["doc_id"].isNotNull() & labels["quality"].isNotNull())
+    known = known.groupBy(labels["doc_id"].alias("doc_id")).agg(F.min((labels["quality"] == 1).cast("int")).alias("q"), F.max(toxic).alias("t"))
+    half = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(SPLIT)) == 0
+    return known.select(F.col("doc_id").alias("_id"), F.when(F.col("q") == 0, False).when(F.col("t") == 0, True).alias("good"), half.alias("orders"))
+
+
+def certificates(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """(stratum, step, rule, cutoff, n, k, p, certified): every step of each stratum's path.
+
+    Step s adds its rule's cutoff to those before it. n: good documents of the holdout; k: those that
+    the cutoffs up to the step reject; p: the chance of so few if ``risk`` were exceeded. A
+    stratum without labelled documents has no path; one with too few good ones
+    (under log(level / strata) / log(1 - risk)) has no certified step.
+    """
+    passing = measured.where(~base_failed())
+    joined = stage(passing.join(_verdicts(labels), F.col("doc_id") == F.col("_id"), "left").drop("_id", "doc_id"), "labelled")
+    known = joined.where("orders is not null and good is not null")
+    asked = small(stage(candidates(joined.where("orders is null")), "candidates"))
+    over = lambda d, *keep: _by_rule(d, *keep).join(asked, ["stratum", "rule"]).where("score > cutoff")
+    count = lambda good: F.sum((F.col("good") == F.lit(good)).cast("long"))
+    hit = over(known.where("orders"), "good").groupBy("stratum", "rule", "cutoff").agg(count(True).alias("lost"), count(False).alias("found"))
+    ranked = asked.join(hit, ["stratum", "rule", "cutoff"], "left").select("stratum", "rule", "cutoff", F.coalesce("lost", F.lit(0)).alias("lost"), F.coalesce("found", F.lit(0)).alias("found"))
+    path = W.Window.partitionBy("stratum").orderBy("lost", F.desc("found"), "rule", F.desc("cutoff"))
+    ranked = stage(ranked.withColumn("step", F.row_number().over(path)).select("stratum", "step", "rule", "cutoff"), "path")
+    # the holdout's good documents by the first step that rejects them
+    test = known.where("good and not orders")
+    limits = ranked.groupBy("stratum").agg(F.collect_list(F.struct("step", "rule", "cutoff")).alias("steps"))
+    values = F.create_map(*[x for r, c in scored().items() for x in (F.lit(r), c)])
+    rejecting = F.array_min(F.transform(F.filter("steps", lambda s: F.element_at(F.col("values"), s.rule) > s.cutoff), lambda s: s.step))
+    first = test.select("stratum", values.alias("values")).join(small(limits), "stratum", "left").select("stratum", rejecting.alias("step"))
+    n = first.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    k = first.where("step is not null").groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("hits"))
+    steps = ranked.join(n, "stratum").join(k, ["stratum", "step"], "left")
+    up = W.Window.partitionBy("stratum").orderBy("step")
+    steps = steps.withColumn("k", F.sum(F.coalesce("hits", F.lit(0))).over(up)).drop("hits")
+    strata = ranked.agg(F.countDistinct("stratum").alias("strata"))
+    steps = steps.join(F.broadcast(strata)).withColumn("p", at_most(F.col("k"), F.col("n"), risk))
+    steps = steps.withColumn("certified", F.min((F.col("p") <= level / F.col("strata")).cast("int")).over(up) == 1)
+    return steps.select("stratum", "step", "rule", "cutoff", "n", "k", "p", "certified")
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """(stratum, rule, cutoff): the strictest certified cutoffs; a rule without one doesn't appear.
 
     Labels without a doc_id or quality don't count; a document labelled more than once is good
-    only if all its labels say so.
+    only if all its labels say so, and toxic if one does.
     """
-    good = labels.where(labels["doc_id"].isNotNull() & labels["quality"].isNotNull()).groupBy(labels["doc_id"].alias("doc_id")).agg(F.min(labels["quality"]).alias("q")).where("q = 1").select("doc_id")
-    held = measured.where(~base_failed()).join(good, "doc_id", "left_semi")
-    score = scored()
-    failing = lambda rule: reduce(lambda a, b: a + b, [(score[rule] > c).cast("int") for c in CUTOFFS[rule]])
-    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), failing(r).alias("failed")) for r in CUTOFFS])).alias("x")
-    counted = held.select("stratum", rules).select("stratum", "x.rule", "x.failed").groupBy("stratum", "rule", "failed").count()
-    # failing f cutoffs of an ordered list is failing its first f
-    steps = F.explode(F.sequence(F.lit(1), F.element_at(F.create_map(*[F.lit(x) for r, c in CUTOFFS.items() for x in (r, len(c))]), F.col("rule"))))
-    totals = counted.groupBy("stratum", "rule").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("failed", "count"))).alias("by"))
-    tested = totals.select("stratum", "rule", "n", "by", steps.alias("step"))
-    k = F.aggregate(F.map_keys("by"), F.lit(0).cast("long"), lambda s, f: s + F.when(f >= F.col("step"), F.element_at("by", f)).otherwise(0))
-    tested = tested.withColumn("k", k).drop("by")
-    share = totals.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
-    tested = tested.join(F.broadcast(share)).withColumn("ok", at_most(F.col("k"), F.col("n"), risk) <= level / (F.col("strata") * len(CUTOFFS)))
-    run = W.Window.partitionBy("stratum", "rule").orderBy("step")
-    passed = tested.withColumn("all_ok", F.min(F.col("ok").cast("int")).over(run)).where("all_ok = 1")
-    value = F.element_at(F.create_map(*[x for r, c in CUTOFFS.items() for x in (F.lit(r), F.array(*[F.lit(v) for v in c]))]), F.col("rule"))
-    return passed.groupBy("stratum", "rule").agg(F.max("step").alias("step")).select("stratum", "rule", F.element_at(value, F.col("step")).alias("cutoff"))
-
-
-def judge(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
+    return certificates(measured, labels, risk, level).where("certified").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, *keep: str, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """The kept columns and the columns of :func:`quality_rules`, a row for each row of ``docs``."""
     names = [n for n in dict.fromkeys(("doc_id", *keep)) if n != "text"]
     stratum = F.coalesce(docs["lang"].cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     measured = stage(measures(docs.select(*[docs[n].alias(n) for n in names], docs["text"].alias("text"), stratum.alias("stratum")), *names, "stratum"), "measures")
-    found = cutoffs(measured, labels)
-    wide = stage(found.groupBy("stratum").pivot("rule", list(CUTOFFS)).agg(F.first("cutoff")), "cutoffs")
+    found = cutoffs(measured, labels, risk, level)
+    wide = stage(found.groupBy("stratum").pivot("rule", RULES).agg(F.first("cutoff")), "cutoffs")
     score = scored()
-    limit = {r: F.col(f"_cut_{r}") for r in CUTOFFS}
-    wide = wide.select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"_cut_{r}") for r in CUTOFFS])
+    limit = {r: F.col(f"_cut_{r}") for r in RULES}
+    wide = wide.select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"_cut_{r}") for r in RULES])
     d = measured.join(small(wide), measured.stratum == F.col("_stratum"), "left")
-    over = F.array_compact(F.array(*[F.when(score[r] > limit[r], F.lit(r)) for r in CUTOFFS]))
+    over = F.array_compact(F.array(*[F.when(score[r] > limit[r], F.lit(r)) for r in RULES]))
     d = d.withColumn("base_failed", base_failed()).withColumn("rejected_by", over)
     d = d.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
     return d.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "rejected_by").alias("rejected_by"))

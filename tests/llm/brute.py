@@ -120,3 +120,48 @@ def components(fps):
         ids = [x for x in (least.get(r), d) if x is not None]
         least[r] = min(ids) if ids else None
     return [(d, f, least[find(i)]) for i, (d, f) in enumerate(fps)]
+
+
+def quality_measures(docs):
+    """doc_id -> the five measures to three significant digits, for documents that pass the base rule."""
+    out = {}
+    for (d, t), (_, n, chars, symbols, dup, repeat, failed) in zip(docs, quality(docs), strict=True):
+        if not failed:
+            lines = max(1, len([x for x in (t or "").split("\n") if spaced(x)]))
+            exact = {"symbols_per_word": symbols / n, "dup_line_share": dup / lines, "repeat_share": repeat / n, "word_length": chars / n, "word_shortness": -chars / n}
+            unit = {r: 10.0 ** (math.floor(math.log10(abs(x))) - 2) if x else 1.0 for r, x in exact.items()}
+            out[d] = {r: math.floor(x / unit[r]) * unit[r] for r, x in exact.items()}
+    return out
+
+
+def kept(docs, strata, labels, shares, risk, level):
+    """doc_ids that pass the base rule and the certified cutoffs. strata: doc_id -> stratum; labels: (doc_id, quality, toxic)."""
+    scores = quality_measures(docs)
+    label = {d: (q, t) for d, q, t in labels}
+    limits = {}
+    names = sorted({strata[d] for d in scores})
+    for s in names:
+        own = [d for d in scores if strata[d] == s]
+        plain = [d for d in own if d not in label]
+        cands = set()
+        for r in next(iter(scores.values())):
+            xs = [scores[d][r] for d in plain]
+            for q in shares:
+                fits = [x for x in set(xs) if sum(y > x for y in xs) <= q * len(xs)]
+                cands |= {(r, min(fits))} if fits else set()
+        half = lambda d: zlib.crc32(str(d).encode()) % 3 == 0
+        good = [d for d in own if label.get(d) == (1, 0)]
+        bad = [d for d in own if d in label and label[d][0] == 0]
+        lost = lambda r, c: sum(half(d) and scores[d][r] > c for d in good)
+        found = lambda r, c: sum(half(d) and scores[d][r] > c for d in bad)
+        test = [d for d in good if not half(d)]
+        chosen = []
+        for r, c in sorted(cands, key=lambda x: (lost(*x), -found(*x), x[0], -x[1])):
+            k = sum(any(scores[d][r2] > c2 for r2, c2 in [*chosen, (r, c)]) for d in test)
+            n = len(test)
+            p = sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1)) if n and k < n * risk else 1.0
+            if p > level / len(names):
+                break
+            chosen.append((r, c))
+        limits[s] = chosen
+    return {d for d, x in scores.items() if not any(x[r] > c for r, c in limits[strata[d]])}

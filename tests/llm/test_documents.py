@@ -1,10 +1,12 @@
 """Operators 2 to 7 and 10 against plain loops, on ordinary and on odd tables."""
 
+import random
+
 import pytest
 
 from siltstream.llm.decontaminate import decontaminate, keep_clean, near_matches
 from siltstream.llm.licenses import PHRASES, TEMPLATES, Automaton, scan_licenses
-from siltstream.llm.quality import at_most, judge, quality_rules
+from siltstream.llm.quality import SHARES, at_most, judge, quality_rules
 from siltstream.llm.rlz import remove_repeated_passages
 from siltstream.llm.simhash import keep_first, simhash_components
 from siltstream.llm.suffix_dedup import remove_repeated_bytes
@@ -59,13 +61,30 @@ def test_quality(docs, odd, texts, empty, spark):
 
 
 def test_certified_cutoffs(spark):
-    """Enough labels certify a cutoff that separates; the share of good documents rejected stays within the risk."""
-    good = [(i, " ".join(f"w{j}" for j in range(20)), "en", "s") for i in range(6000)]
-    bad = [(10_000 + i, " ".join("###" for _ in range(3)) + " " + " ".join(f"w{j}" for j in range(20)), "en", "s") for i in range(300)]
-    docs = spark.createDataFrame(good + bad, "doc_id bigint, text string, lang string, source string")
-    labels = spark.createDataFrame([(r[0], int(r[0] < 10_000)) for r in good + bad], "doc_id bigint, quality int")
-    out = {r.doc_id: r.kept for r in judge(docs, labels).collect()}
-    assert all(out[r[0]] for r in good) and not any(out[r[0]] for r in bad)
+    """The whole procedure against plain loops; and a stratum with too few labels has no cutoff."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7))) for _ in range(500)]
+    rows, labels = [], []
+    for i in range(1500):
+        lang = ["en", "en", "fr", None][i % 4]
+        bad = r.random() < 0.25
+        text = " ".join(r.choice(words) for _ in range(r.randint(12, 40)))
+        if bad:
+            text += " ###" * r.randint(1, 9) if r.random() < 0.5 else " " + " ".join("x" * r.randint(20, 60) for _ in range(9))
+        elif r.random() < 0.01:
+            text += " #"
+        rows.append((i, text, lang, "s"))
+        if i % 3 and lang != "fr":
+            labels.append((i, int(not bad), int(r.random() < 0.05)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(4)
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    out = judge(docs, table, risk=0.05, level=0.1).collect()
+    expected = brute.kept([(d, t) for d, t, _, _ in rows], {d: x or "" for d, _, x, _ in rows}, labels, SHARES, 0.05, 0.1)
+    assert {x.doc_id for x in out if x.kept} == expected
+    base = {x.doc_id for x in out if not x.base_failed}
+    by_lang = {x: sum(rows[d][2] == x for d in base - expected) for x in ("en", "fr", None)}
+    assert by_lang["en"] > 60 and by_lang["fr"] == 0
+    assert {x.rejected_by for x in out} >= {"symbols_per_word", "word_length"}
 
 
 def test_binomial(spark):
