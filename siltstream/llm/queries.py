@@ -12,7 +12,7 @@ from siltstream.llm.mixing import mix
 from siltstream.llm.oracles import ORACLES
 from siltstream.llm.quality import quality_rules
 from siltstream.llm.rlz import remove_repeated_passages
-from siltstream.llm.sharding import shard_documents
+from siltstream.llm.sharding import reshard
 from siltstream.llm.simhash import simhash_components
 from siltstream.llm.suffix_dedup import remove_repeated_bytes
 from siltstream.llm.suffix_tree import score_documents
@@ -54,7 +54,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(read(spark, sf_dir, "documents"))
+    return reshard(read(spark, sf_dir, "documents"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,20 @@ def with_row(docs: DataFrame, *names: str, key: str = "doc_id") -> DataFrame:
     return rows.select("uid", *[F.col("_row")[n].alias(n) for n in names], "_row")
 
 
+def repeated(d: DataFrame, times: str, name: str, most: int = 10_000) -> DataFrame:
+    """Each row as often as its column ``times`` says, with ``name`` counting from 0.
+
+    Rows that come more than ``most`` times are dealt in pieces first, so none makes one long array or one task's output.
+    """
+    zero = F.lit(0).cast("long")
+    few = d.where(F.col(times).between(1, most)).withColumn(name, F.explode(F.sequence(zero, F.col(times) - 1)))
+    pieces = d.where(F.col(times) > most).withColumn("_piece", F.explode(F.sequence(zero, F.floor((F.col(times) - 1) / most))))
+    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    upto = F.least(F.col(times), (F.col("_piece") + 1) * most) - 1
+    many = pieces.repartition(parts, "_piece").withColumn(name, F.explode(F.sequence(F.col("_piece") * most, upto))).drop("_piece")
+    return few.unionByName(many)
+
+
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of :func:`with_row` as they were, less those of which the uid is in ``gone`` (uid)."""
     gone = small(gone.select(F.col("uid").alias("_gone")))

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from siltstream.plans.shared import small, stage
+from siltstream.llm.rows import with_row
+from siltstream.plans.shared import scratch, small, stage
 
 SHARDS = 16
 #: Groups of equal rows that one block of the running sums holds on average.
@@ -77,30 +79,29 @@ def _running(d: DataFrame, by: list[str], order: list, value: str, name: str) ->
     return out.drop("_b", "_before", *[f"_k{i}" for i in range(len(by))])
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(docs["text"], F.lit(""))
-    return docs.select(docs["doc_id"].alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+def _described(docs: DataFrame, old: str | None, old_shards: int, keep_row: bool) -> DataFrame:
+    """(uid, doc_id, size, text_crc32, old_shard and, if it is asked for, the row)."""
+    rows = with_row(docs, "doc_id", "text", *([old] if old else []))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    home = F.col(old) if old else F.pmod(F.xxhash64("doc_id"), F.lit(old_shards))
+    own = rows.select("uid", "doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), home.cast("int").alias("old_shard"), *(["_row"] if keep_row else []))
+    return own
 
 
-def plan_shards(rows: DataFrame, shards: int = SHARDS, old_shards: int = SHARDS) -> tuple[DataFrame, list[list[int]]]:
-    """(runs, flow) for rows (doc_id, size, text_crc32).
-
-    runs: (doc_id, size, text_crc32, old_shard, shard, slot, m): m rows alike, of which the first has
-    ``slot``. The old shard of a row is that of its doc_id's hash.
-    """
-    groups = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("m"))
-    groups = stage(groups.withColumn("old_shard", F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)).cast("int")).withColumn("_bytes", F.col("size") * F.col("m")), "rows")
-    n, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
-    held = {r[0]: int(r[1]) for r in groups.groupBy("old_shard").agg(F.sum("_bytes")).collect()}
-    supply = [held.get(i, 0) for i in range(old_shards)]
-    flow = min_cost_flow(supply, equal_capacities(int(total), shards), [[int(i != j) for j in range(shards)] for i in range(old_shards)])
+def _plan(rows: DataFrame, shards: int, old_shards: int) -> tuple[DataFrame, list[list[int]]]:
+    """(uid, doc_id, size, text_crc32, old_shard, shard, slot) and the flow, for what :func:`_described` says."""
+    rows = stage(rows.select("uid", "doc_id", "size", "text_crc32", "old_shard"), "sizes")
+    held = {r[0]: (int(r[1]), int(r[2])) for r in rows.groupBy("old_shard").agg(F.sum("size"), F.count(F.lit(1))).collect()}
+    supply = [held.get(i, (0, 0))[0] for i in range(old_shards)]
+    n, total = sum(k for _, k in held.values()), sum(supply)
+    flow = min_cost_flow(supply, equal_capacities(total, shards), [[int(i != j) for j in range(shards)] for i in range(old_shards)])
     # blocks: powers of two of the size, largest first, dealt further by a hash
     parts = max(1, n // (BLOCK_ROWS * old_shards))
-    hashed = F.xxhash64("doc_id", "text_crc32", "size")
+    hashed = F.xxhash64("doc_id", "text_crc32", "size", "uid")
     octave = 63 - F.floor(F.log2(F.col("size").cast("double")))
-    g = groups.withColumn("_h", hashed).withColumn("_block", octave * parts + F.pmod(hashed, F.lit(parts)))
-    order = [F.desc("size"), "_h", "doc_id", "text_crc32"]
-    g = _running(g, ["old_shard"], order, "_bytes", "_start")
+    g = rows.withColumn("_h", hashed).withColumn("_block", octave * parts + F.pmod(hashed, F.lit(parts)))
+    order = [F.desc("size"), "_h", "uid"]
+    g = _running(g, ["old_shard"], order, "size", "_start")
     cuts = []
     for i, row in enumerate(flow):
         at = 0
@@ -108,48 +109,85 @@ def plan_shards(rows: DataFrame, shards: int = SHARDS, old_shards: int = SHARDS)
             if row[j]:
                 cuts.append((i, j, at, at + row[j]))
                 at += row[j]
-    spark = rows.sparkSession
-    runs = spark.createDataFrame(cuts, "_o int, shard int, _from long, _to long")
-    # a row goes where its middle lies: k rows of a group have theirs before a cut
-    upto = lambda cut: F.greatest(F.lit(0).cast("long"), F.least(F.col("m"), F.ceil((F.col(cut) - F.col("_start")) / F.col("size") - 0.5)))
-    g = g.join(F.broadcast(runs), (F.col("old_shard") == F.col("_o")) & (F.col("_from") < F.col("_start") + F.col("_bytes")) & (F.col("_to") > F.col("_start")))
-    g = g.withColumn("m", F.when(F.col("_to") >= F.col("_start") + F.col("_bytes"), F.col("m")).otherwise(upto("_to")) - F.when(F.col("_from") <= F.col("_start"), F.lit(0).cast("long")).otherwise(upto("_from"))).where("m > 0")
-    g = stage(g.drop("_o", "_from", "_to", "_bytes"), "cut")
-    g = _running(g.withColumn("_block", F.col("_block") * old_shards + F.col("old_shard")), ["shard"], order, "m", "slot")
-    return g.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot", "m"), flow
+    runs = rows.sparkSession.createDataFrame(cuts, "_o int, shard int, _from long, _to long")
+    # a row goes where its middle lies
+    middle = F.col("_start") + F.col("size") / 2
+    g = g.join(F.broadcast(runs), (F.col("old_shard") == F.col("_o")) & (F.col("_from") <= middle) & (middle < F.col("_to")))
+    g = stage(g.drop("_o", "_from", "_to", "_start").withColumn("_one", F.lit(1)), "cut")
+    g = _running(g.withColumn("_block", F.col("_block") * old_shards + F.col("old_shard")), ["shard"], order, "_one", "slot")
+    return g.select("uid", "doc_id", "size", "text_crc32", "old_shard", "shard", "slot"), flow
+
+
+def plan_shards(docs: DataFrame, shards: int = SHARDS, old_shards: int = SHARDS, old: str | None = None) -> tuple[DataFrame, list[list[int]]]:
+    """(doc_id, size, text_crc32, old_shard, shard, slot for every row, bytes from each old to each new shard).
+
+    ``old`` names the column with the shard (0 to old_shards - 1) that a row is in; without it that is the hash of the doc_id.
+    """
+    plan, flow = _plan(_described(docs, old, old_shards, False), shards, old_shards)
+    return plan.drop("uid"), flow
+
+
+_OUT = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard"]
+
+
+def _as_contract(d: DataFrame) -> DataFrame:
+    return d.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard: one row per row of ``docs``.
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard: one row per row of ``docs``, nothing moved yet.
 
     The law is ``bytes``: shards' sizes differ by little more than a small document. Null texts have
     size 1 and checksum 0; null doc_ids share an old shard, from which the flow moves what is too much.
     Equal rows are interchangeable and may part. An empty table gives an empty result. Doc_ids, sizes
-    and checksums alone decide, so reruns agree.
+    and checksums alone decide, so reruns agree but for equal rows.
     """
-    runs, _ = plan_shards(_described(docs), shards)
-    d = runs.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("slot") + F.col("_i")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    return _as_contract(plan_shards(docs, shards)[0]).select(*_OUT)
 
 
-def rewrite_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> list[int]:
-    """Write the shards that give or take rows below ``path`` as shard=N, ordered by slot; their numbers.
+def rewrite_shards(docs: DataFrame, path: str, shards: int = SHARDS, old_shards: int = SHARDS, old: str | None = None) -> tuple[list[int], DataFrame]:
+    """Write the shards that give or take rows below ``path``; (their numbers, the plan for all rows).
 
+    Files are partitioned by shard and ordered by slot, and have the columns uid, doc_id, size, text_crc32,
+    old_shard, slot and ``row``, which holds the columns of ``docs``, so none of them can clash.
     Shards that the flow leaves alone are not written: their old files hold.
     """
-    rows = shard_documents(docs, shards)
-    rows = stage(rows, "assigned")
-    moved = rows.where("shard <> old_shard")
-    touched = sorted(r[0] for r in moved.select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct().collect() if r[0] < shards)
-    keys = ["doc_id", "size", "text_crc32"]
-    number = F.row_number().over(W.Window.partitionBy(*keys).orderBy("shard", "slot"))
-    # the row travels as one column, so its names can't clash with ours
-    own = [docs[c] for c in docs.columns if c not in ("shard", "slot")]
-    text = F.coalesce(docs["text"], F.lit(""))
-    d = docs.select(docs["doc_id"].alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.struct(*own).alias("_row"))
-    d = d.withColumn("_n", F.row_number().over(W.Window.partitionBy(*keys).orderBy(F.lit(1))))
-    r = rows.where(F.col("shard").isin(touched)).select(*[F.col(k).alias(f"_{k}") for k in keys], "shard", "slot", number.alias("_m"))
-    same = (d["_n"] == r["_m"]) & d["size"].eqNullSafe(r["_size"]) & d["doc_id"].eqNullSafe(r["_doc_id"]) & (d["text_crc32"] == r["_text_crc32"])
-    out = d.join(r, same).select("_row.*", "shard", "slot")
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return touched
+    rows = _described(docs, old, old_shards, True)
+    plan, flow = _plan(rows, shards, old_shards)
+    plan = stage(plan, "plan")
+    touched = sorted({s for i, r in enumerate(flow) for j, n in enumerate(r) if n and i != j for s in (i, j) if s < shards} | {j for j in range(shards) if j >= old_shards})
+    go = small(plan.where(F.col("shard").isin(touched)).select(F.col("uid").alias("_uid"), "shard", "slot"))
+    moved = rows.join(go, rows["uid"] == go["_uid"]).select("uid", "doc_id", "size", "text_crc32", "old_shard", F.col("_row").alias("row"), "shard", "slot")
+    # pieces of a shard's slots, so that a shard is several tasks and files
+    per = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, len(touched)))
+    most = plan.groupBy("shard").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+    piece = F.floor(F.col("slot") * per / F.lit(most))
+    moved.repartition(per * max(1, len(touched)), "shard", piece).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return touched, plan
+
+
+def reshard(docs: DataFrame, shards: int = SHARDS, columns: bool = False) -> DataFrame:
+    """The rows of :func:`shard_documents`, after the move: from the files of rewritten shards, and of the others from the plan.
+
+    The files lie below the shared folder. With ``columns``, rows have the columns of ``docs`` too; those of
+    ``docs`` that have a name of the contract's (doc_id apart) are left out.
+    """
+    spark = docs.sparkSession
+    path = scratch(spark, "shards")
+    touched, plan = rewrite_shards(docs, path, shards)
+    stay = plan.where(~F.col("shard").isin(touched))
+    if not touched or plan.isEmpty():
+        files = stay
+        if columns:
+            files = files.join(with_row(docs).withColumnRenamed("_row", "row"), "uid")
+    else:
+        kind = T.StructType([*plan.drop("shard").schema.fields, T.StructField("row", docs.schema)])
+        files = spark.read.schema(T.StructType([*kind.fields, T.StructField("shard", T.IntegerType())])).parquet(path)
+        if columns:
+            rest = stay.join(with_row(docs).withColumnRenamed("_row", "row"), "uid")
+            files = files.unionByName(rest)
+        else:
+            files = files.select(*plan.columns).unionByName(stay)
+    out = _as_contract(files)
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in _OUT] if columns else []
+    return out.select(*_OUT, *own)

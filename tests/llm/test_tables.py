@@ -1,6 +1,8 @@
 """Operators 1, 8 and 9, and the pipeline."""
 
 import hashlib
+import math
+import random
 import zlib
 
 import corpus_pipeline
@@ -8,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstream.llm.decontaminate import keep_clean
-from siltstream.llm.mixing import entropy_rates, mix, mixed, targets
-from siltstream.llm.sharding import rewrite_shards, shard_documents
+from siltstream.llm.mixing import SOFT, entropy_rates, mix, mixed, targets
+from siltstream.llm.rows import repeated, with_row
+from siltstream.llm.sharding import plan_shards, reshard, rewrite_shards, shard_documents
+from siltstream.plans.shared import shared_dir
 from siltstream.llm.simhash import keep_first
 from siltstream.llm.warc import archive_round_trip, build_index, open_index, surt, write_warc
 
@@ -58,6 +62,7 @@ def test_shards(docs, odd, empty, texts):
             assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
         assert all(0 <= r.shard < 16 and r.law == "bytes" and r.grown_shard is None for r in out)
     assert shard_documents(empty).count() == 0
+    assert got(reshard(docs), "doc_id", "shard", "slot") == got(shard_documents(docs), "doc_id", "shard", "slot") and reshard(empty).count() == 0
 
 
 def test_shards_even(spark):
@@ -76,12 +81,33 @@ def test_one_row_repeated(spark):
     assert mix(df).count() == 3000
 
 
-def test_rewrite(docs, spark, tmp_path):
-    path = f"file://{tmp_path}/shards"
-    touched = rewrite_shards(docs, path)
-    plan = shard_documents(docs).where(F.col("shard").isin(touched))
-    back = spark.read.parquet(path)
-    assert got(back, "doc_id", "shard", "slot") == got(plan, "doc_id", "shard", "slot")
+def test_rewrite(docs, odd, spark, tmp_path):
+    """Touched shards are written whole and in order; old and new files hold every row once, with its own columns."""
+    for i, df in enumerate((docs, odd[0])):
+        path = f"file://{tmp_path}/shards{i}"
+        touched, plan = rewrite_shards(df, path)
+        back = spark.read.parquet(path)
+        assert set(touched) >= {r.shard for r in back.select("shard").collect()}  # a shard may get no row where rows are few
+        names = ["doc_id", "size", "text_crc32", "shard", "slot"]
+        assert got(back, *names) == got(plan.where(F.col("shard").isin(touched)), *names)
+        rows = back.select("row.*")
+        assert rows.columns == df.columns and (len(touched) < 16 or got(rows, *df.columns) == got(df, *df.columns))
+
+
+def test_moved_bytes(spark):
+    """From an uneven layout the plan moves the fewest bytes, documents the bytes that it planned, and balanced shards stay."""
+    rows = [(i, "x" * 9, [0, 0, 0, 0, 0, 0, 1, 1, 2, 3, 3, 3][i % 12]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, home int")
+    plan, flow = plan_shards(df, 4, 4, old="home")
+    supply = [10 * sum(h == s for _, _, h in rows) for s in range(4)]
+    fewest = sum(max(0, x - 3000) for x in supply)
+    assert sum(flow[i][j] for i in range(4) for j in range(4) if i != j) == fewest
+    out = plan.collect()
+    assert sum(r.size for r in out if r.shard != r.old_shard) == fewest
+    assert {s: sum(r.size for r in out if r.shard == s) for s in range(4)} == dict.fromkeys(range(4), 3000)
+    # shard 3 has what it should have
+    assert all(r.shard == 3 for r in out if r.old_shard == 3)
+    assert rewrite_shards(df, f"{shared_dir(spark)}/moved", 4, old="home")[0] == [0, 1, 2]
 
 
 def test_targets(spark):
@@ -102,13 +128,46 @@ def test_targets(spark):
 
 
 def test_two_margins(spark):
-    cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 300), ("b", "x", 200), ("b", "y", 50)], "source string, lang string, tokens bigint")
-    s = spark.createDataFrame([("a", 300.0), ("b", 200.0)], "source string, target double")
-    t = spark.createDataFrame([("x", 250.0), ("y", 250.0)], "lang string, target double")
-    out = entropy_rates(cells, {"source": s, "lang": t}, steps=40, exact=1e-6).collect()
-    for m, aim in (("source", {"a": 300, "b": 200}), ("lang", {"x": 250, "y": 250})):
-        for k, v in aim.items():
-            assert sum(r.tokens * r.rate for r in out if r[m] == k) == pytest.approx(v, rel=1e-4)
+    """Sources are met, rates stay within bounds, and the solution is that of the penalised problem."""
+    tokens = {("a", "x"): 100, ("a", "y"): 300, ("b", "x"): 200, ("b", "y"): 50, (None, "y"): 40, ("z", "x"): 10, ("w", "x"): 7}
+    cells = spark.createDataFrame([(*k, n) for k, n in tokens.items()], "source string, lang string, tokens bigint")
+    aim = {"a": 500.0, "b": 100.0, None: 20.0, "z": 20.0, "w": 0.0}
+    soft = {"x": 350.0, "y": 290.0}
+    out = entropy_rates(cells, spark.createDataFrame(list(aim.items()), "source string, target double"), spark.createDataFrame(list(soft.items()), "lang string, target double")).collect()
+    rate = {(r.source, r.lang): r.rate for r in out}
+    for s, t in aim.items():
+        assert sum(n * rate[k] for k, n in tokens.items() if k[0] == s) == pytest.approx(t, rel=1e-8)
+    assert rate["z", "x"] == 2 and rate["w", "x"] == 0 and all(0 <= r <= 2 for r in rate.values())
+    tilt = lambda k: math.log(rate[k] / (2 - rate[k]))
+    # stationary: the two languages' multipliers differ by the same amount in every source, and pay for the deviation
+    assert tilt(("a", "x")) - tilt(("a", "y")) == pytest.approx(tilt(("b", "x")) - tilt(("b", "y")), abs=1e-4)
+    got_ = {m: sum(n * rate[k] for k, n in tokens.items() if k[1] == m) for m in soft}
+    b = {m: (soft[m] - got_[m]) / (SOFT * sum(n for k, n in tokens.items() if k[1] == m)) for m in soft}
+    assert b["x"] - b["y"] == pytest.approx(tilt(("a", "x")) - tilt(("a", "y")), abs=1e-4)
+    with pytest.raises(ArithmeticError):
+        entropy_rates(cells, spark.createDataFrame([("a", 300.0), ("b", 200.0)], "source string, target double"), steps=1, exact=1e-30)
+
+
+def test_mix_meets_targets(spark):
+    """Every source's taken words come as near as its smallest document allows; languages come near their shares."""
+    r = random.Random(2)
+    rows = [(i, " ".join("w" for _ in range(r.randint(1, 30) if i % 50 else 700)), ["en", "de", "fr"][(i * i) % 3], f"s{i % 7 if i % 2 else 0}") for i in range(3000)]
+    out = mix(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(5)).collect()
+    source, lang = {d: s for d, _, _, s in rows}, {d: x for d, _, x, _ in rows}
+    for s in set(source.values()):
+        own = [x for x in out if source[x.doc_id] == s]
+        assert sum(x.size for x in own) == own[0].source_size
+        assert abs(sum(x.taken for x in own) - own[0].target) <= 15
+    assert all(x.taken in (0, x.size, 2 * x.size) for x in out)
+    total, taken = sum(x.size for x in out), sum(x.taken for x in out)
+    for m in ("en", "de", "fr"):
+        have, got_ = (sum(getattr(x, c) for x in out if lang[x.doc_id] == m) for c in ("size", "taken"))
+        assert got_ / taken == pytest.approx(have / total, abs=0.03)
+
+
+def test_repeated(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 25), ("c", 0), ("d", 10)], "x string, n bigint")
+    assert got(repeated(df, "n", "i", most=10), "x", "i") == sorted((x, i) for x, n in (("a", 3), ("b", 25), ("d", 10)) for i in range(n))
 
 
 def test_mix(docs, odd, empty, texts):
@@ -119,8 +178,9 @@ def test_mix(docs, odd, empty, texts):
         again = mix(df.repartition(3))
         names = ["doc_id", "size", "source_size", "taken"]
         assert got(out, *names) == got(again, *names)
-        # the stage repeats texts with words as often as the query says
-        assert sum(bool(brute.spaced(r.text)) for r in mixed(df).collect()) == sum(r.taken // r.size for r in out.collect() if r.size)
+        # the stage repeats texts with words as often as the operator says of rows that have numbers for doc_ids
+        numbered = with_row(df, "text", "source", "lang").withColumnRenamed("uid", "doc_id")
+        assert sum(bool(brute.spaced(r.text)) for r in mixed(df).collect()) == sum(r.taken // r.size for r in mix(numbered).collect() if r.size)
     assert mix(empty).count() == 0
 
 
@@ -161,10 +221,11 @@ def test_pipeline(spark, docs, items, texts, tmp_path):
     kept = []
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, at, str(tmp_path))
-        assert i == 4 or set(out.columns) == set(docs.columns)
+        assert set(out.columns) - set(docs.columns) == ({"size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard"} if i == 4 else set())
         out.write.parquet(f"{tmp_path}/out{i}")
         at = spark.read.parquet(f"{tmp_path}/out{i}")
         kept.append(sorted(r.doc_id for r in at.select("doc_id").collect()))
     assert set(kept[0]) == good and kept[1] == sorted(first) and kept[2] == sorted(clean)
     assert set(kept[3]) <= clean and kept[3] == kept[4]
+    assert got(at.select(*docs.columns), *docs.columns) == got(spark.read.parquet(f"{tmp_path}/out3"), *docs.columns)
     assert [n for n, _ in corpus_pipeline.STAGES][-1] == "sharding"
