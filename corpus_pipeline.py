@@ -1,9 +1,9 @@
 """The corpus pipeline: five operators, each over all that its predecessor kept.
 
 Quality rules drop what they reject, SimHash keeps one document of each group, decontamination drops
-contaminated documents, mixing repeats or drops documents to reach its targets, and sharding adds
-each row's shard and slot. All but the last return the columns of documents. What a stage decides
-concerns single rows, also where doc_ids are null or repeated.
+contaminated documents, mixing repeats or drops documents to reach its targets, and sharding writes
+the shards and adds each row's shard and slot to its columns. All but the last return the columns of
+documents. What a stage decides concerns single rows, also where doc_ids are null or repeated.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from siltstream.llm.decontaminate import keep_clean
 from siltstream.llm.mixing import mixed
 from siltstream.llm.quality import judge
 from siltstream.llm.rows import with_row, without
-from siltstream.llm.sharding import shard_documents
+from siltstream.llm.sharding import reshard
 from siltstream.llm.simhash import keep_first
 from siltstream.plans.shared import scratch
 
@@ -40,7 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shard_documents(docs)
+    return reshard(docs, columns=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
