@@ -3,8 +3,8 @@
 Built-in functions only. Postings (text, place) of the rarest terms of each benchmark window are
 stored as a table. A window's candidates come from its rarest term's list; lists of the next rarest
 terms, moved by their offsets, are intersected with it one after the other, and what is left is
-compared by the 64-bit hash of all its words. Only counts of benchmark terms and postings of their rare ones are shuffled;
-texts move only where the places to compare are too many to broadcast.
+compared word by word. Only counts of benchmark terms and postings of their rare ones are shuffled;
+of texts the words around candidates travel, where these are too many to broadcast.
 """
 
 from __future__ import annotations
@@ -82,29 +82,52 @@ def _covered(hits: str) -> Column:
     return F.aggregate(F.array_sort(hits), start, step, lambda s: s.sum).cast("long")
 
 
+def verified(texts: DataFrame, candidates: DataFrame, queries: DataFrame, slop: int = 0) -> DataFrame:
+    """(uid, qid, start, n): the candidates (uid, qid, start) at which all the query's words stand, compared as words.
+
+    With ``slop``, each word may stand up to that many places from where the phrase would have it. Only texts with
+    candidates are read for this, and only the words around a candidate travel.
+    """
+    asked = candidates.join(small(queries.select("qid", F.size("words").alias("n"))), "qid")
+    asked = small(stage(asked.groupBy("uid").agg(F.collect_set(F.struct("start", "n", "qid")).alias("asked")), "to-compare"))
+    d = texts.join(asked, "uid").select("uid", letter_words(F.col("text")).alias("w"), "asked")
+    # the words from slop before the start; those before the text's first are left out
+    early = lambda a: F.greatest(F.lit(slop) - a.start, F.lit(0))
+    piece = lambda a: F.slice("w", F.greatest(a.start - slop, F.lit(0)) + 1, F.greatest(a.n + 2 * slop - early(a), F.lit(0)))
+    around = F.explode(F.transform("asked", lambda a: F.struct(a.qid.alias("qid"), a.start.alias("start"), a.n.alias("n"), early(a).alias("early"), piece(a).alias("have")))).alias("x")
+    d = d.select("uid", around).select("uid", "x.*").join(small(queries.select("qid", "words")), "qid")
+    if not slop:
+        return d.where(F.col("have") == F.col("words")).select("uid", "qid", "start", "n")
+    # word i of the phrase may be at i - slop to i + slop of its place: at i to i + 2 slop of the piece
+    low = lambda i: F.greatest(i - F.col("early"), F.lit(0))
+    reach = lambda i: F.slice("have", low(i) + 1, F.greatest(i + 2 * slop - F.col("early") + 1 - low(i), F.lit(0)))
+    all_near = F.forall(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.array_contains(reach(i), F.get("words", i)))
+    return d.where(all_near).select("uid", "qid", "start", "n")
+
+
 def matches(texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """(uid, n_words, n_hit, qids) for every text: exact occurrences of the queries' phrases."""
+    """(uid, n_hit, qids): exact occurrences of the queries' phrases, for the texts that have any."""
     rare, postings = index_terms(texts, queries)
     candidates = stage(phrase_candidates(rare, postings), "candidates")
-    asked = candidates.join(small(queries.select("qid", F.size("words").alias("n"))), "qid")
-    asked = stage(asked.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "qid")).alias("asked")), "to-compare")
-    d = texts.select("uid", letter_words(F.col("text")).alias("w")).join(small(asked), "uid", "left")
-    # the rarest terms stand where they should; a query's id is the hash of all its words
-    equal = lambda a: F.xxhash64(F.slice("w", a.start + 1, a.n)) == a.qid
-    d = d.select("uid", F.size("w").cast("long").alias("n_words"), F.filter("asked", equal).alias("hits"))
-    spans = F.transform("hits", lambda h: F.struct(h.start.alias("start"), h.n.alias("n")))
-    d = d.select("uid", "n_words", spans.alias("spans"), F.array_distinct(F.transform("hits", lambda h: h.qid)).alias("qids"))
-    return d.select("uid", "n_words", F.coalesce(_covered("spans"), F.lit(0)).cast("long").alias("n_hit"), "qids")
+    found = verified(texts, candidates, queries)
+    d = found.groupBy("uid").agg(F.collect_set(F.struct("start", "n")).alias("spans"), F.collect_set("qid").alias("qids"))
+    return d.select("uid", _covered("spans").alias("n_hit"), "qids")
 
 
 def near_matches(docs: DataFrame, items: DataFrame, slop: int = 2, length: int = LENGTH) -> DataFrame:
-    """(doc_id, item): proximity matches, where the rare terms of a window of the item stand within ``slop`` of their places."""
+    """(doc_id, item): proximity matches, where every word of a window of the item stands within ``slop`` of its place.
+
+    The lists of the window's rarest terms, widened by the slop, give the candidates; all words are then looked for.
+    A null text or item has no words and matches nothing, an item without an id isn't reported, and an empty table
+    on either side gives an empty result. Rows that repeat or share a doc_id are reported once.
+    """
     texts, same = with_uid(docs)
     windows = phrases(items, length)
     queries = stage(windows.select("words").distinct().withColumn("qid", F.xxhash64("words")), "queries")
     rare, postings = index_terms(texts, queries)
-    found = phrase_candidates(rare, postings, slop).select("uid", "qid").distinct()
-    named = windows.join(queries, "words").select("qid", "item")
+    candidates = stage(phrase_candidates(rare, postings, slop).select("uid", "qid", "start").distinct(), "candidates")
+    found = verified(texts.select("uid", "text"), candidates, queries, slop).select("uid", "qid").distinct()
+    named = windows.where("item is not null").join(queries, "words").select("qid", "item")
     return with_key(found.join(small(named), "qid"), texts, same).select("doc_id", "item").distinct()
 
 
@@ -120,9 +143,13 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     queries = stage(windows.select("words").distinct().withColumn("qid", F.xxhash64("words")), "queries")
     found = stage(matches(texts.select("uid", "text"), queries), "matches")
     named = windows.where("item is not null").join(queries, "words").select("qid", "item")
-    listed = found.where(F.size("qids") > 0).select("uid", F.explode("qids").alias("qid")).join(small(named), "qid")
+    listed = found.select("uid", F.explode("qids").alias("qid")).join(small(named), "qid")
     listed = listed.groupBy("uid").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    d = with_key(found.drop("qids").join(small(listed), "uid", "left"), texts, same)
+    hits = small(stage(found.drop("qids").join(listed, "uid", "left"), "hits"))
+    # each run of letters, digits and what lies beyond ASCII is a word
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    d = texts.select("uid", words.cast("long").alias("n_words")).join(hits, "uid", "left")
+    d = with_key(d.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))), texts, same)
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return d.select(
         "doc_id", "n_words", "n_hit", F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"),

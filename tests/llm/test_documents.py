@@ -46,9 +46,32 @@ def test_decontamination_odd(odd, items, texts, empty, spark):
 
 
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "one two three four five"), (2, "one x two three four five"), (3, "five four")], "doc_id bigint, text string")
-    i = spark.createDataFrame([(7, "one two three four five")], "item_id bigint, text string")
-    assert got(near_matches(d, i), "doc_id", "item") == [(1, "7"), (2, "7")]
+    """Against plain loops: every word of a window within two places of where it should be."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    item = [r.choice(words) for _ in range(16)]
+    docs = [(1, "one two three four five"), (2, "one x two three four five"), (3, "five four"), (4, None), (5, "two three four five"), (6, "one two three x y z x y z four five")]
+    for i in range(10, 60):
+        t = list(item[r.randint(0, 3) :])
+        for _ in range(r.randint(0, 4)):
+            at = r.randrange(len(t))
+            t[at : at + r.randint(0, 1)] = [r.choice(words) for _ in range(r.randint(0, 2))]
+        docs.append((i, " ".join(r.choice(words) for _ in range(r.randint(0, 5))) + " " + " ".join(t)))
+    items = [(7, "one two three four five"), (8, " ".join(item)), (9, None), (None, "one two")]
+    expected = set()
+    for d, t in docs:
+        w = brute.letters(t)
+        for i, p in items:
+            q = brute.letters(p)
+            for win in [q[k : k + 13] for k in range(max(1, len(q) - 12))] if q and i is not None else []:
+                near = lambda s, win=win, w=w: all(x in w[max(0, s + o - 2) : max(0, s + o + 3)] for o, x in enumerate(win))
+                if any(near(s) for s in range(-2, len(w) + 3)):
+                    expected.add((d, str(i)))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    assert len(expected) > 15 and {(1, "7"), (2, "7")} <= expected and (6, "7") not in expected
+    assert set(got(near_matches(d, i), "doc_id", "item")) == expected
+    assert near_matches(d.limit(0), i).count() == near_matches(d, i.limit(0)).count() == 0
 
 
 def test_quality(docs, odd, texts, empty, spark):
