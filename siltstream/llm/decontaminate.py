@@ -57,7 +57,9 @@ def phrase_candidates(rare: DataFrame, postings: DataFrame, slop: int = 0) -> Da
     With ``slop``, a term may stand up to that many places from where the phrase would have it.
     """
     first = rare.where("rank = 1").drop("rank")
-    found = postings.join(small(first), "term").select("uid", "qid", (F.col("pos") - F.col("offset")).alias("start")).where(F.col("start") >= -slop)
+    place = F.col("pos") - F.col("offset")
+    starts = F.explode(F.sequence(place - slop, place + slop)) if slop else place
+    found = postings.join(small(first), "term").select("uid", "qid", starts.alias("start")).where(F.col("start") >= -slop)
     found = found.distinct()
     for rank in range(2, LISTS + 1):
         term = small(rare.where(F.col("rank") == rank).select("qid", F.col("term").alias("t"), F.col("offset").alias("o")))
