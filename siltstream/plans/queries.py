@@ -67,7 +67,11 @@ class Log:
 
 
 # Patterns that RE2 lacks the look-ahead for, as they apply to the derived commands.
-_RE2 = {"exec-shell": r"^(ba|da|a|z|k)?sh(\s+[^-\s]\S*|\s*$)|^(\.|source)\s+\S", "lateral-ssh": r"^ssh\s+[A-Za-z0-9_.-]+(@|\.)\S+"}
+_RE2 = {
+    "c2-download": r"^(wget|curl|tftp|ftpget|fetch|lwp-download|aria2c|axel)\s|^git\s+clone\b",
+    "exec-pipe-to-shell": r"\|\s*(sudo\s+)?(/\S*/)?(ba|da|a|z|k)?sh\b",
+    "lateral-ssh": r"^ssh\s+[A-Za-z0-9_.-]+(@|\.)\S+",
+}
 
 
 def _hits() -> str:
