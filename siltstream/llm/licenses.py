@@ -10,6 +10,7 @@ current match, and count as wholes.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siltstream.llm.license_texts import BODIES
 from siltstream.llm.rows import ALNUM, LOWER, blocks, word_hashes, word_spans
 
 # Base phrases with their labels, as the contract of the query has them.
@@ -26,7 +28,7 @@ PHRASES = [
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 ]
-# Sentences of public licenses and notices.
+# Sentences of public licenses and notices; their bodies are in license_texts.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
@@ -100,8 +102,13 @@ class Automaton:
             yield state, n
 
 
+#: Templates that a table may hold, as the automaton goes to every task.
+MOST_TEMPLATES = 20_000
+_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
 def _words(text: str) -> list[str]:
-    return text.split()
+    return _WORD.findall(text.translate({c: c + 32 for c in range(65, 91)}))
 
 
 class Scanner:
@@ -115,7 +122,10 @@ class Scanner:
         numbered = [[number[w] for w in s] for s in sequences]
         self.labels = [x for _, x in phrases] + [x for x, _ in templates]
         self.sizes = [len(s) for s in sequences]
+        #: Words of the shortest run worth a look: a base phrase counts however short it is.
+        self.least = min([LONG, *(len(_words(p)) for p, _ in phrases)])
         self.automaton = Automaton(numbered)
+        self.members = [frozenset(k for k, _ in ends) for ends in self.automaton.ends]
         raw = np.frombuffer("".join(vocabulary).encode(), np.uint8)
         ends = np.cumsum([len(w.encode()) for w in vocabulary])
         hashes = word_hashes(raw, np.concatenate(([0], ends[:-1])), ends)
@@ -149,14 +159,18 @@ class Scanner:
         ok[edge[(edge > 0) & (edge < len(number))] - 1] = False
         step = np.diff(np.concatenate(([0], ok.astype(np.int8), [0])))
         begin, end = np.flatnonzero(step > 0), np.flatnonzero(step < 0) + 1
-        long = end - begin >= LONG
+        if self.least == 1:  # words on their own
+            alone = np.flatnonzero((number >= 0) & ~np.append(False, ok) & ~np.append(ok, False))
+            begin, end = np.concatenate((begin, alone)), np.concatenate((end, alone + 1))
+        long = end - begin >= self.least
         return number, begin[long], end[long]
 
     def run(self, tokens: list[int], at: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
         """Base phrases (phrase, first word) and maximal matches (state, first word, words) of a run that begins at word ``at``."""
         base, found, before = [], [], (0, 0)
         for i, (state, n) in enumerate(self.automaton.walk(tokens)):
-            if n != before[1] + 1 and before[1] >= LONG:
+            # a match ends where it goes on in no sequence, or where one of its sequences ends or differs
+            if before[1] >= LONG and (n != before[1] + 1 or not self.members[before[0]] <= self.members[state]):
                 found.append((before[0], at + i - before[1], before[1]))
             for size, k in self.suffixes[state]:
                 if size <= n:
@@ -230,8 +244,10 @@ def _result(scanner: Scanner, base: list[tuple[int, int]], found: list[tuple[int
     labels, score, spans = set(base_labels), 1.0 if base else 0.0, []
     for k, covered, own in scanner.chains(found):
         score = max(score, covered / scanner.sizes[k])
-        labels |= {scanner.labels[k]} if own else set()
         spans += [(first, end, scanner.labels[k]) for first, end in own]
+    # of two licenses of which one contains the other, a notice is the longer one's
+    spans = [x for x in spans if not any(y is not x and y[0] <= x[0] and x[1] <= y[1] and (y[1] - y[0] > x[1] - x[0] or y[2] == x[2] and y > x) for y in spans)]
+    labels |= {x for _, _, x in spans}
     said = ";".join(f"{a},{b},{x}" for a, b, x in sorted(spans))
     return len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), min(score, 1.0), said
 
@@ -240,14 +256,26 @@ _NOTHING = (0, None, None, "", "", 0.0, "")
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans string"
 
 
-def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, spans: bool = False) -> DataFrame:
+def template_rows(table: DataFrame) -> list[tuple[str, str]]:
+    """(label, text) of a table of templates with these columns, in order; rows with a null or without words don't count. At most ``MOST_TEMPLATES``."""
+    rows = table.where(table["label"].isNotNull() & table["text"].isNotNull()).select(table["label"].alias("label"), table["text"].alias("text"))
+    held = sorted(tuple(r) for r in rows.distinct().limit(MOST_TEMPLATES + 1).collect())
+    if len(held) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    return [r for r in held if _words(r[1])]
+
+
+def scan_licenses(docs: DataFrame, phrases=PHRASES, templates: list | DataFrame = TEMPLATES + BODIES, spans: bool = False) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (and spans): one row per row of ``docs``.
 
-    score: the largest share of a template that a chain covers, 1 where a base phrase stands. Spans
-    read "first word,end,label", separated by semicolons. A null text has no words. Rows don't depend
-    on one another, so repeated rows and null doc_ids come out as they are. Words are looked up by
-    64-bit hashes of the templates' vocabulary.
+    templates: (label, text) in a list, or a table with these columns. score: the largest share of a
+    template that a chain covers, 1 where a base phrase stands. Spans read "first word,end,label", separated
+    by semicolons; one within a longer one is left out, and so is its label. A null text has no words.
+    Rows don't depend on one another, so repeated rows and null doc_ids come out as they are. Words are
+    looked up by 64-bit hashes of the templates' vocabulary.
     """
+    if isinstance(templates, DataFrame):
+        templates = template_rows(templates)
     scanner = Scanner(phrases, templates)
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -257,7 +285,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, spans:
             starts, ends, first = word_spans(raw, off, ALNUM)
             n = np.diff(first)
             out = [_NOTHING] * len(n)
-            if len(starts) > 1:
+            if len(starts):
                 number, begin, end = scanner.candidates(raw, starts, ends, first)
                 row = np.searchsorted(first, begin, side="right") - 1
                 held: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))

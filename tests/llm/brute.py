@@ -165,3 +165,65 @@ def kept(docs, strata, labels, shares, risk, level):
             chosen.append((r, c))
         limits[s] = chosen
     return {d for d, x in scores.items() if not any(x[r] > c for r, c in limits[strata[d]])}
+
+
+def tree_scores(docs, depth, context, symbol, transition, prior):
+    """log10 probabilities of all texts by a suffix tree that is held in dictionaries."""
+    toks = [(d, [*spaced((t or "").translate(UP)), None]) for d, t in docs]
+    train = [x for d, x in toks if zlib.crc32(("" if d is None else str(d)).encode()) % 5 != 1]
+    c = Counter(w for x in train for w in x)
+    n, floor = sum(c.values()), sum(c.values()) + 0.5 * (len(c) + 1)
+    symbols = {w for w in c if c[w] >= symbol * n}
+    state, edge, beta = {(): ()}, {}, {}  # state: context -> the retained context that stands for it
+
+    def root(w):
+        return (c[w] + 0.5) / floor
+
+    def longest(s):
+        while s and s not in beta:
+            s = s[1:]
+        return s
+
+    def prob(s, w):
+        s = longest(s)
+        if not s:
+            return root(w)
+        return edge[s, w] if (s, w) in edge else beta[s] * prob(s[1:], w)
+
+    count = {(w,): c[w] for w in symbols if w is not None and c[w] >= context * n}
+    known = {()}
+    known_all = set()
+    for level in range(1, depth + 1):
+        count = {s: k for s, k in count.items() if s[1:] in known}
+        known = set(count)
+        known_all |= known
+        after = Counter((tuple(x[i - level : i]), x[i]) for x in train for i in range(level, len(x)) if tuple(x[i - level : i]) in known and x[i] in symbols)
+        after = {k: v for k, v in after.items() if v >= transition * n}
+        by = {s: [] for s in known}
+        for (s, w), k in after.items():
+            by[s].append((w, k))
+        new = {}
+        for s, ws in by.items():
+            p = {w: prob(s[1:], w) for w, _ in ws}
+            rest, rest_p = count[s] - sum(k for _, k in ws), max(1 - sum(p.values()), 1e-12)
+            gain = sum(k * math.log(k / (count[s] * p[w])) for w, k in ws) + (rest * math.log(max(rest, 1) / (count[s] * rest_p)) if rest > 0 else 0)
+            if gain > len(ws) * math.log(len(symbols) + 1) + 0.5 * math.log(max(count[s], 1)):
+                smooth = {w: (k + prior * p[w]) / (count[s] + prior) for w, k in ws}
+                new[s] = smooth, max(1 - sum(smooth.values()), 1e-12) / max(1 - sum(p.values()), 1e-12)
+        for s, (smooth, b) in new.items():
+            beta[s] = b
+            edge.update({(s, w): v for w, v in smooth.items()})
+        count = {(*s, w): k for (s, w), k in after.items() if k >= context * n and w is not None}
+    out = []
+    for d, x in toks:
+        total = 0.0
+        for i, w in enumerate(x):
+            s = ()
+            for k in range(1, depth + 1):
+                if k <= i and tuple(x[i - k : i]) in known_all:
+                    s = tuple(x[i - k : i])
+                else:
+                    break
+            total += math.log10(prob(s, w))
+        out.append((d, total))
+    return out, len(beta)

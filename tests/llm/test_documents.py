@@ -5,6 +5,7 @@ import random
 import pytest
 
 from siltstream.llm.decontaminate import decontaminate, keep_clean, near_matches
+from siltstream.llm.license_texts import BODIES
 from siltstream.llm.licenses import PHRASES, TEMPLATES, Automaton, scan_licenses
 from siltstream.llm.quality import SHARES, at_most, judge, quality_rules
 from siltstream.llm.rlz import remove_repeated_passages
@@ -210,3 +211,77 @@ def test_scores(docs, odd, texts, empty):
         for a, b in zip(out, want(brute.base_scores(rows)), strict=True):
             assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9)
     assert score_documents(empty).count() == 0
+
+
+def test_tree_scores(spark, docs, texts):
+    """The score against a tree in dictionaries, and a gain over the base on held-out texts of a source with memory."""
+    from siltstream.llm import suffix_tree as S
+
+    r = random.Random(6)
+    follow = {a: [r.choice("abcdefgh") for _ in range(2)] for a in ("".join(x) for x in __import__("itertools").product("abcdefgh", repeat=2))}
+    rows = []
+    for i in range(120):
+        t = ["a", "b"]
+        while len(t) < 80:
+            t.append(r.choice(follow[t[-2] + t[-1]]) if r.random() < 0.9 else r.choice("abcdefgh"))
+        rows.append((i, " ".join(t)))
+    memory = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for df, plain_rows, least in ((memory, rows, 10), (docs, plain(texts), 0)):
+        expected, states = brute.tree_scores(plain_rows, S.DEPTH, S.CONTEXT, S.SYMBOL, S.TRANSITION, S.PRIOR)
+        assert states >= least
+        out = {x.doc_id: x for x in score_documents(df).collect()}
+        for d, score in expected:
+            assert out[d].score == pytest.approx(score, rel=1e-9)
+    out = score_documents(memory).where("held_out").collect()
+    assert sum(x.score for x in out) > sum(x.base_score for x in out) + 100
+
+
+def thue_morse(n):
+    """The word of n letters a and b, and its complement: sums over letters times powers of two cannot tell them apart."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_structured_words(spark):
+    """Words and texts that cancel in polynomial hashes are told apart."""
+    long = [thue_morse(n) for n in (1024, 2048, 4096)]
+    rows = []
+    for i, (a, b) in enumerate(long):
+        same = " ".join(f"w{i}x{j}" for j in range(34))
+        rows += [(4 * i, f"{same} {a}"), (4 * i + 1, f"{same} {b}"), (4 * i + 2, a + b + a), (4 * i + 3, b + a)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert got(remove_repeated_passages(df), *OUT["passages"]) == want(brute.all_repeats(rows))
+    assert got(remove_repeated_bytes(df), *OUT["bytes"]) == want(brute.first_repeats(rows))
+    names = ["doc_id", "held_out", "n_tokens", "n_known"]
+    assert got(score_documents(df), *names) == want([x[:4] for x in brute.base_scores(rows)])
+
+
+def test_very_long_texts(spark, monkeypatch):
+    """Texts over the bytes that a task handles at once."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(5000)]
+    part = " ".join(r.choice(words) for _ in range(20_000))
+    long = " ".join(r.choice(words) for _ in range(280_000)) + " " + part
+    rows = [(1, long), (2, "short " + part[:3000]), (3, part + " end"), (4, "x" * 300)]
+    assert len(long) > 2_000_000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert got(remove_repeated_bytes(df), *OUT["bytes"]) == want(brute.first_repeats(rows))
+    assert got(remove_repeated_passages(df), *OUT["passages"]) == want(brute.all_repeats(rows))
+
+
+def test_full_licenses(spark):
+    """Whole bodies are one span; a part of one, and two in one file; a license that contains another wins."""
+    bodies = dict(BODIES)
+    half = " ".join(bodies["mit"].split()[:60])
+    texts = ["/* " + bodies["bsd-3-clause"] + " */ code", bodies["bsd-2-clause"], half, bodies["zlib"] + " and also " + bodies["isc"], " ".join(reversed(bodies["mit"].split())), None]
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), spans=True).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == ["bsd-3-clause", "bsd-2-clause", "mit", "isc,zlib", "", ""]
+    assert [r.score for r in rows][:2] == [1, 1] and rows[4].score < 0.3
+    table = spark.createDataFrame([("own", "these five words are mine alone here"), ("own", None), (None, "x"), ("none", "")], "label string, text string")
+    found = scan_licenses(spark.createDataFrame([(1, "THESE five words are mine alone, here")], "doc_id int, text string"), templates=table).first()
+    assert found.labels == "own" and found.score == 1
+
+
+def test_short_phrases(spark):
+    found = scan_licenses(spark.createDataFrame([(1, "the mit license here"), (2, "gpl"), (3, "mit x license")], "doc_id int, text string"), phrases=[("mit license", "mit"), ("gpl", "gpl")])
+    assert got(found, "doc_id", "n_base", "base_labels") == [(1, 1, "mit"), (2, 1, "gpl"), (3, 0, "")]
