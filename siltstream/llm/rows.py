@@ -21,7 +21,7 @@ def narrow(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[n].alias(n) for n in names])
 
 
-def _identifies(docs: DataFrame, key: str) -> bool:
+def identifies(docs: DataFrame, key: str) -> bool:
     """Whether the key is an integer, without nulls and unique."""
     if dict(docs.dtypes)[key] not in ("bigint", "int", "smallint", "tinyint"):
         return False
@@ -37,7 +37,7 @@ def with_row(docs: DataFrame, *names: str, key: str = "doc_id") -> DataFrame:
     concern one row, whatever its key is.
     """
     row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    if _identifies(docs, key):
+    if identifies(docs, key):
         rows = docs.select(docs[key].cast("long").alias("uid"), row)
     else:
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -76,7 +76,7 @@ def with_uid(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
     once to the shared folder with generated increasing numbers; equal rows get different ones.
     """
     docs = docs.select(docs[key].alias(key), docs[text].alias(text))
-    if _identifies(docs, key):
+    if identifies(docs, key):
         return docs.select(F.col(key).cast("long").alias("uid"), key, text), True
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64(text)

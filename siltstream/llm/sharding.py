@@ -9,12 +9,13 @@ flow's sizes. Then only the shards that give or take rows are written anew.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from siltstream.llm.rows import with_row
+from siltstream.llm.rows import identifies, with_row
 from siltstream.plans.shared import scratch, small, stage
 
 SHARDS = 16
@@ -79,15 +80,34 @@ def _running(d: DataFrame, by: list[str], order: list, value: str, name: str) ->
     return out.drop("_b", "_before", *[f"_k{i}" for i in range(len(by))])
 
 
+def _numbered(docs: DataFrame, *names: str) -> DataFrame:
+    """As :func:`with_row`, but rows of files are told apart by where they stand, so they needn't be sorted and written first."""
+    if not identifies(docs, "doc_id"):
+        try:
+            uid = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("uid")
+            return docs.select(uid, *[docs[n].alias(n) for n in names], F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+        except AnalysisException:  # no rows of files
+            pass
+    return with_row(docs, *names)
+
+
 def _described(docs: DataFrame, old: str | None, old_shards: int, keep_row: bool) -> DataFrame:
     """(uid, doc_id, size, text_crc32, old_shard and, if it is asked for, the row)."""
-    rows = with_row(docs, "doc_id", "text", *([old] if old else []))
+    rows = _numbered(docs, "doc_id", "text", *([old] if old else []))
     text = F.coalesce(F.col("text"), F.lit(""))
     home = F.col(old) if old else F.pmod(F.xxhash64("doc_id"), F.lit(old_shards))
     own = rows.select("uid", "doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), home.cast("int").alias("old_shard"), *(["_row"] if keep_row else []))
     return own
 
 
+def _ordered(rows: DataFrame, n: int, old_shards: int) -> DataFrame:
+    """``rows`` with _h and _block: powers of two of the size, largest first, dealt further by a hash. Within a block rows stand by size (largest first), _h and uid."""
+    parts = max(1, n // (BLOCK_ROWS * old_shards))
+    octave = 63 - F.floor(F.log2(F.col("size").cast("double")))
+    d = rows.withColumn("_h", F.xxhash64("doc_id", "text_crc32", "size"))
+    return d.withColumn("_block", octave * parts + F.pmod("_h", F.lit(parts)))
+
+
 def _plan(rows: DataFrame, shards: int, old_shards: int) -> tuple[DataFrame, list[list[int]]]:
     """(uid, doc_id, size, text_crc32, old_shard, shard, slot) and the flow, for what :func:`_described` says."""
     rows = stage(rows.select("uid", "doc_id", "size", "text_crc32", "old_shard"), "sizes")
@@ -95,12 +115,8 @@ def _plan(rows: DataFrame, shards: int, old_shards: int) -> tuple[DataFrame, lis
     supply = [held.get(i, (0, 0))[0] for i in range(old_shards)]
     n, total = sum(k for _, k in held.values()), sum(supply)
     flow = min_cost_flow(supply, equal_capacities(total, shards), [[int(i != j) for j in range(shards)] for i in range(old_shards)])
-    # blocks: powers of two of the size, largest first, dealt further by a hash
-    parts = max(1, n // (BLOCK_ROWS * old_shards))
-    hashed = F.xxhash64("doc_id", "text_crc32", "size", "uid")
-    octave = 63 - F.floor(F.log2(F.col("size").cast("double")))
-    g = rows.withColumn("_h", hashed).withColumn("_block", octave * parts + F.pmod(hashed, F.lit(parts)))
     order = [F.desc("size"), "_h", "uid"]
+    g = _ordered(rows, n, old_shards)
     g = _running(g, ["old_shard"], order, "size", "_start")
     cuts = []
     for i, row in enumerate(flow):
@@ -115,7 +131,7 @@ def _plan(rows: DataFrame, shards: int, old_shards: int) -> tuple[DataFrame, lis
     g = g.join(F.broadcast(runs), (F.col("old_shard") == F.col("_o")) & (F.col("_from") <= middle) & (middle < F.col("_to")))
     g = stage(g.drop("_o", "_from", "_to", "_start").withColumn("_one", F.lit(1)), "cut")
     g = _running(g.withColumn("_block", F.col("_block") * old_shards + F.col("old_shard")), ["shard"], order, "_one", "slot")
-    return g.select("uid", "doc_id", "size", "text_crc32", "old_shard", "shard", "slot"), flow
+    return stage(g.select("uid", "doc_id", "size", "text_crc32", "old_shard", "shard", "slot", "_h", "_block"), "plan"), flow
 
 
 def plan_shards(docs: DataFrame, shards: int = SHARDS, old_shards: int = SHARDS, old: str | None = None) -> tuple[DataFrame, list[list[int]]]:
@@ -124,7 +140,7 @@ def plan_shards(docs: DataFrame, shards: int = SHARDS, old_shards: int = SHARDS,
     ``old`` names the column with the shard (0 to old_shards - 1) that a row is in; without it that is the hash of the doc_id.
     """
     plan, flow = _plan(_described(docs, old, old_shards, False), shards, old_shards)
-    return plan.drop("uid"), flow
+    return plan.drop("uid", "_h", "_block"), flow
 
 
 _OUT = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard"]
@@ -148,22 +164,31 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def rewrite_shards(docs: DataFrame, path: str, shards: int = SHARDS, old_shards: int = SHARDS, old: str | None = None) -> tuple[list[int], DataFrame]:
     """Write the shards that give or take rows below ``path``; (their numbers, the plan for all rows).
 
-    Files are partitioned by shard and ordered by slot, and have the columns uid, doc_id, size, text_crc32,
+    Files are partitioned by shard, their blocks ordered by slot, and have the columns uid, doc_id, size, text_crc32,
     old_shard, slot and ``row``, which holds the columns of ``docs``, so none of them can clash.
     Shards that the flow leaves alone are not written: their old files hold.
     """
     rows = _described(docs, old, old_shards, True)
     plan, flow = _plan(rows, shards, old_shards)
-    plan = stage(plan, "plan")
     touched = sorted({s for i, r in enumerate(flow) for j, n in enumerate(r) if n and i != j for s in (i, j) if s < shards} | {j for j in range(shards) if j >= old_shards})
-    go = small(plan.where(F.col("shard").isin(touched)).select(F.col("uid").alias("_uid"), "shard", "slot"))
-    moved = rows.join(go, rows["uid"] == go["_uid"]).select("uid", "doc_id", "size", "text_crc32", "old_shard", F.col("_row").alias("row"), "shard", "slot")
-    # pieces of a shard's slots, so that a shard is several tasks and files
+    # texts move once: a row's shard follows from where the runs of its old shard begin, its slot from where its block's slots do
+    key = F.struct((-F.col("size")).alias("s"), F.col("_h").alias("h"), F.col("uid").alias("u"))
+    at = F.struct((F.col("_block") / F.lit(old_shards)).cast("long").alias("b"), key.alias("k"))
+    first = plan.groupBy("old_shard", "shard").agg(F.min(at).alias("at"))
+    first = first.groupBy(F.col("old_shard").alias("_o")).agg(F.array_sort(F.collect_list(F.struct("at", "shard"))).alias("_runs"))
+    slots = plan.groupBy(F.col("shard").alias("_s"), F.col("_block").alias("_b")).agg(F.min("slot").alias("_from"))
+    d = _ordered(rows, plan.count(), old_shards).join(F.broadcast(first), F.col("old_shard") == F.col("_o"))  # a row for each old shard
+    here = F.struct(F.col("_block").alias("b"), key.alias("k"))
+    d = d.withColumn("shard", F.element_at(F.filter("_runs", lambda r: r["at"] <= here), -1)["shard"]).drop("_runs", "_o").where(F.col("shard").isin(touched))
+    d = d.withColumn("_block", F.col("_block") * old_shards + F.col("old_shard"))
+    d = d.join(small(slots), (F.col("shard") == F.col("_s")) & (F.col("_block") == F.col("_b"))).drop("_s", "_b")
+    # pieces of a shard, so that it is several tasks and files
     per = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, len(touched)))
-    most = plan.groupBy("shard").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
-    piece = F.floor(F.col("slot") * per / F.lit(most))
-    moved.repartition(per * max(1, len(touched)), "shard", piece).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return touched, plan
+    d = d.withColumn("_piece", F.pmod(F.hash("_block"), F.lit(per))).repartition(per * max(1, len(touched)), "shard", "_piece")
+    inside = W.Window.partitionBy("shard", "_piece", "_block").orderBy(F.desc("size"), "_h", "uid")
+    d = d.withColumn("slot", (F.col("_from") + F.row_number().over(inside) - 1).cast("long"))
+    d.select("uid", "doc_id", "size", "text_crc32", "old_shard", "slot", F.col("_row").alias("row"), "shard").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    return touched, plan.drop("_h", "_block")
 
 
 def reshard(docs: DataFrame, shards: int = SHARDS, columns: bool = False) -> DataFrame:
@@ -179,12 +204,12 @@ def reshard(docs: DataFrame, shards: int = SHARDS, columns: bool = False) -> Dat
     if not touched or plan.isEmpty():
         files = stay
         if columns:
-            files = files.join(with_row(docs).withColumnRenamed("_row", "row"), "uid")
+            files = files.join(_numbered(docs).withColumnRenamed("_row", "row"), "uid")
     else:
         kind = T.StructType([*plan.drop("shard").schema.fields, T.StructField("row", docs.schema)])
         files = spark.read.schema(T.StructType([*kind.fields, T.StructField("shard", T.IntegerType())])).parquet(path)
         if columns:
-            rest = stay.join(with_row(docs).withColumnRenamed("_row", "row"), "uid")
+            rest = stay.join(_numbered(docs).withColumnRenamed("_row", "row"), "uid")
             files = files.unionByName(rest)
         else:
             files = files.select(*plan.columns).unionByName(stay)
