@@ -38,7 +38,7 @@ DOCUMENT_BYTES, CONTEXT_BYTES, BATCH_BYTES = 16_000_000, 6_000_000, 3_000_000
 #: Runs that a bucket of anchors holds.
 ANCHOR_ROWS = 500_000
 #: Different contexts of an anchor beyond which they go on as windows; windows that are sorted at once.
-CROWD, WINDOWS_AT_ONCE = 20_000, 500_000
+CROWD, WINDOWS_AT_ONCE = 20_000, 300_000
 
 
 @dataclass(frozen=True)

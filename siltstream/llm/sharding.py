@@ -21,6 +21,8 @@ from siltstream.plans.shared import scratch, small, stage
 SHARDS = 16
 #: Groups of equal rows that one block of the running sums holds on average.
 BLOCK_ROWS = 20_000
+#: Bytes of text that one task writes.
+PIECE_BYTES = 128_000_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -182,8 +184,9 @@ def rewrite_shards(docs: DataFrame, path: str, shards: int = SHARDS, old_shards:
     d = d.withColumn("shard", F.element_at(F.filter("_runs", lambda r: r["at"] <= here), -1)["shard"]).drop("_runs", "_o").where(F.col("shard").isin(touched))
     d = d.withColumn("_block", F.col("_block") * old_shards + F.col("old_shard"))
     d = d.join(small(slots), (F.col("shard") == F.col("_s")) & (F.col("_block") == F.col("_b"))).drop("_s", "_b")
-    # pieces of a shard, so that it is several tasks and files
-    per = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, len(touched)))
+    # pieces of a shard, so that it is several tasks and files, each of bounded bytes
+    most = max([sum(r[j] for r in flow) for j in range(shards)])
+    per = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, len(touched)), -(-most // PIECE_BYTES))
     d = d.withColumn("_piece", F.pmod(F.hash("_block"), F.lit(per))).repartition(per * max(1, len(touched)), "shard", "_piece")
     inside = W.Window.partitionBy("shard", "_piece", "_block").orderBy(F.desc("size"), "_h", "uid")
     d = d.withColumn("slot", (F.col("_from") + F.row_number().over(inside) - 1).cast("long"))
