@@ -11,6 +11,7 @@ from pyspark.sql import window as W
 from siltstream.functions.shell import command_fetches, command_segments
 from siltstream.functions.text import bound_command
 from siltstream.operators import rules as R
+from siltstream.plans.shared import stage
 
 # Accounts that systems come with.
 DEFAULT_USERS = [
@@ -127,19 +128,34 @@ def classify_alerts(events: DataFrame, techniques: DataFrame, rules=None) -> Dat
 
 # How many events of one source in how many seconds raise an alert.
 FREQUENCIES = [("failed_3_in_120", "login.failed", 3, 120), ("failed_10_in_300", "login.failed", 10, 300), ("discovery_4_in_60", "discovery", 4, 60)]
+#: Seconds of a source's events that one task counts through, or the span if that is longer.
+DAY = 86_400
 
 
 def frequency_alerts(events: DataFrame, discovery_commands: DataFrame, frequencies=FREQUENCIES) -> DataFrame:
     """(src_ip, ts, ord, alert, n): events that complete a burst of their source within a trailing span.
 
-    discovery_commands (input): commands that count for the third rule.
+    discovery_commands (input): commands that count for the third rule. A second's count is the running
+    count at its end less the one before its span begins. Running counts begin anew with each of a source's
+    time buckets, which also hold the span before them, so that no source is one task. Events without an
+    address or a time raise no alert.
     """
     seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
-    failed = events.where("eventid = 'cowrie.login.failed'").select("src_ip", "ts", "ord", F.lit("login.failed").alias("what"))
-    found = events.where("eventid = 'cowrie.command.input'").join(discovery_commands.select("input").distinct(), "input", "left_semi").select("src_ip", "ts", "ord", F.lit("discovery").alias("what"))
-    both = failed.unionByName(found).where("src_ip is not null and ts is not null").withColumn("s", seconds)
-    out = []
-    for name, what, least, span in frequencies:
-        trailing = W.Window.partitionBy("src_ip").orderBy("s").rangeBetween(-span, 0)
-        out.append(both.where(F.col("what") == what).withColumn("n", F.count(F.lit(1)).over(trailing)).where(F.col("n") >= least).select("src_ip", "ts", "ord", F.lit(name).alias("alert"), "n"))
-    return reduce(DataFrame.unionByName, out)
+    found = events.where("eventid = 'cowrie.command.input'").join(discovery_commands.select("input").distinct(), "input", "left_semi")
+    kinds = [("login.failed", events.where("eventid = 'cowrie.login.failed'")), ("discovery", found)]
+    both = reduce(DataFrame.unionByName, [d.select("src_ip", "ts", "ord", F.lit(what).alias("what")) for what, d in kinds])
+    both = stage(both.where("src_ip is not null and ts is not null").withColumn("s", seconds), "bursts")  # read twice
+    rules = F.array(*[F.struct(F.lit(name).alias("alert"), F.lit(what).alias("of"), F.lit(least).alias("least"), F.lit(int(span)).cast("long").alias("span")) for name, what, least, span in frequencies])
+    each = both.groupBy("what", "src_ip", "s").agg(F.count(F.lit(1)).alias("c")).select("*", F.explode(F.filter(rules, lambda r: r.of == F.col("what"))).alias("r")).select("*", "r.*")
+    width = F.greatest(F.lit(DAY), F.col("span"))
+    bucket = lambda t: F.floor(t / width)
+    mark = lambda b, t, own, c: F.struct(b.alias("bucket"), t.alias("t"), F.lit(own).alias("own"), c.alias("add"))
+    s, here, after = F.col("s"), bucket(F.col("s")), bucket(F.col("s") + F.col("span"))
+    marks = F.array(
+        mark(here, s - F.col("span"), -1, F.lit(0).cast("long")), mark(here, s, 1, F.col("c")), F.when(after > here, mark(after, s, 0, F.col("c")))
+    )
+    # what begins a span comes before that second's events, which belong to the span
+    upto = W.Window.partitionBy("what", "alert", "src_ip", "bucket").orderBy("t", F.col("own") >= 0).rowsBetween(W.Window.unboundedPreceding, 0)
+    run = each.select("what", "alert", "least", "span", "src_ip", "s", F.explode(F.array_compact(marks)).alias("m")).select("*", "m.*").withColumn("run", F.sum("add").over(upto)).where("own <> 0")
+    n = run.groupBy("what", "alert", "src_ip", "bucket", "s").agg(F.sum(F.col("run") * F.col("own")).alias("n"), F.first("least").alias("least")).where(F.col("n") >= F.col("least"))
+    return both.join(n.select("what", "alert", "src_ip", "s", "n"), ["what", "src_ip", "s"]).select("src_ip", "ts", "ord", "alert", "n")

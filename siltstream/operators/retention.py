@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ def prune(tables: dict[str, DataFrame], now: Column, days: int) -> dict[str, Dat
 def prune_counts(tables: dict[str, DataFrame], now: Column, days: int) -> DataFrame:
     """(name, rows, gone): what :func:`prune` would take from each table, nothing changed."""
     kept = prune(tables, now, days)
-    spark = tables["sessions"].sparkSession
-    n = {name: (tables[name].count(), kept[name].count()) for name in kept}
-    return spark.createDataFrame([(name, a, a - b) for name, (a, b) in n.items()], "name string, rows long, gone long")
+    ones = [d.select(F.lit(name).alias("name"), F.lit(1).alias("had"), F.lit(n).alias("kept")) for name in kept for d, n in ((tables[name], 0), (kept[name], 1))]
+    # an empty table counts too
+    zero = tables["sessions"].sparkSession.createDataFrame([(name,) for name in kept], "name string").select("name", F.lit(0).alias("had"), F.lit(0).alias("kept"))
+    counted = reduce(DataFrame.unionByName, ones, zero).groupBy("name")
+    return counted.agg(F.sum(F.when(F.col("kept") == 0, F.col("had"))).alias("rows"), F.sum("kept").alias("_kept")).select("name", "rows", (F.col("rows") - F.col("_kept")).alias("gone"))

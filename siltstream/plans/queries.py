@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from siltstream.operators import retention as T
 from siltstream.operators import rules as R
 from siltstream.operators import sessions as S
 from siltstream.plans.binding import CTE, LOCAL, bound_events, bound_tables, geo, intel
+from siltstream.plans.shared import stage
 from siltstream.sources import sinks
 
 NOW = "2024-01-31 00:00:00"
@@ -27,24 +29,40 @@ def now():
 
 
 class Log:
-    """The derived log's tables, made when they are asked for."""
+    """The derived log's tables, made when they are asked for.
+
+    What several parts of a query read (matches, flags and the tables below them) is written once, as stored tables would be.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        self.tables = bound_tables(spark, sf_dir)
-        self.sessions = self.tables["sessions"]
 
     @property
     def events(self) -> DataFrame:
         return bound_events(self.spark, self.dir)
 
+    @cached_property
+    def tables(self) -> dict[str, DataFrame]:
+        return bound_tables(self.spark, self.dir)
+
     @property
+    def sessions(self) -> DataFrame:
+        return self.tables["sessions"]
+
+    def store(self) -> None:
+        """Write the tables, if that hasn't been done, and go on with what was written."""
+        if "stored" not in self.__dict__:
+            self.stored = self.tables = {name: stage(t, name) for name, t in self.tables.items()}
+
+    @cached_property
     def matches(self) -> DataFrame:
-        return D.map_sessions(self.tables, R.catalog(self.spark))
+        self.store()
+        return stage(D.map_sessions(self.tables, R.catalog(self.spark)), "matches")
 
-    @property
+    @cached_property
     def flags(self) -> DataFrame:
-        return P.session_flags(self.tables, self.matches)
+        matches = self.matches
+        return stage(P.session_flags(self.tables, matches), "flags")
 
     @property
     def geo(self) -> DataFrame:
@@ -54,7 +72,7 @@ class Log:
     def intel(self) -> DataFrame:
         return intel(self.spark, self.dir)
 
-    @property
+    @cached_property
     def fetches(self) -> DataFrame:
         return D.session_fetches(self.tables["commands"])
 
@@ -133,6 +151,7 @@ def over(head: str, body: str) -> str:
 
 @query(over(MATCHES, "SELECT technique, name, tactics, count(DISTINCT session_id) AS sessions, count(*) AS hits FROM m0 LEFT JOIN catalog USING (technique) WHERE session_id IN (SELECT id FROM real) GROUP BY ALL"))
 def technique_counts(log):
+    log.store()
     return P.technique_counts(log.sessions, log.matches, R.catalog(log.spark))
 
 
@@ -152,14 +171,16 @@ def session_groups(log):
     return log.events.groupBy(F.col("session").alias("session_id")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
-@query(over(CTE, "SELECT * FROM sessions"))
+_HALF = """SELECT session AS id, ord % 2 AS half, arg_min(src_ip, ord) FILTER (WHERE src_ip IS NOT NULL) AS src_ip, arg_min(ts, ord) AS start_time, arg_max(ts, ord) FILTER (WHERE eventid = 'cowrie.session.closed') AS end_time,
+ arg_max(duration_ms, ord) FILTER (WHERE eventid = 'cowrie.session.closed') AS duration_ms, arg_max(version, ord) FILTER (WHERE eventid = 'cowrie.client.version') AS client_version, arg_max(hassh, ord) FILTER (WHERE eventid = 'cowrie.client.kex') AS hassh FROM ev GROUP BY 1, 2"""
+_LATER = ", ".join(f"coalesce(max({c}) FILTER (WHERE half = 1), max({c}) FILTER (WHERE half = 0)) AS {c}" for c in ("src_ip", "duration_ms", "client_version", "hassh"))
+
+
+@query(over(CTE, f", m AS (SELECT id, min(start_time) AS start_time, max(end_time) AS end_time, {_LATER} FROM ({_HALF}) GROUP BY 1) SELECT *, coalesce(regexp_matches(src_ip, '{LOCAL}'), false) AS internal FROM m"))
 def merged_sessions(log):
-    """Half of the events stored first, all of them again after: the same sessions."""
+    """Half of the events stored first, the other half merged into them: the later piece's value where it has one."""
     e = log.events
-    old, new = (S.summarise_sessions(e.where(w)) for w in ("ord % 2 = 0", "ord % 2 = 1"))
-    whole = S.summarise_sessions(e)
-    merged = S.merge_sessions(old, new).select("id")
-    return whole.join(merged, "id", "left_semi")
+    return S.merge_sessions(*(S.summarise_sessions(e.where(w)) for w in ("ord % 2 = 0", "ord % 2 = 1")))
 
 
 @query(over(CTE, "SELECT id AS id, start_time, end_time FROM (SELECT session AS id, min(ts) AS start_time, max(ts) FILTER (WHERE eventid = 'cowrie.session.closed') AS end_time FROM ev GROUP BY 1)"))
@@ -244,6 +265,13 @@ def classified_alerts(log):
     return D.classify_alerts(log.events, R.catalog(log.spark))
 
 
+def _discovering(log) -> DataFrame:
+    """Commands with a match of plain discovery."""
+    plain = [t for t, _, x in R.CATALOG if x == "discovery"]
+    found = D.map_distinct_commands(log.tables["commands"])
+    return found.where(F.exists("matches", lambda m: m.technique.isin(plain))).select(F.col("command").alias("input"))
+
+
 _DISCOVERY = ", ".join(f"'{t}'" for t, _, x in R.CATALOG if x == "discovery")
 
 
@@ -253,10 +281,21 @@ _DISCOVERY = ", ".join(f"'{t}'" for t, _, x in R.CATALOG if x == "discovery")
  SELECT src_ip, ts, ord, 'failed_3_in_43200' AS alert, a AS n FROM y WHERE w = 'f' AND a >= 3 UNION ALL SELECT src_ip, ts, ord, 'failed_10_in_172800', c FROM y WHERE w = 'f' AND c >= 10 UNION ALL SELECT src_ip, ts, ord, 'discovery_4_in_21600', e FROM y WHERE w = 'd' AND e >= 4"""))
 def frequency_alerts(log):
     """The derived log is sparse, so its spans are hours."""
-    found = D.map_distinct_commands(log.tables["commands"])
-    plain = [t for t, _, x in R.CATALOG if x == "discovery"]
-    commands = found.where(F.exists("matches", lambda m: m.technique.isin(plain))).select(F.col("command").alias("input"))
-    return D.frequency_alerts(log.events, commands, [("failed_3_in_43200", "login.failed", 3, 43200), ("failed_10_in_172800", "login.failed", 10, 172800), ("discovery_4_in_21600", "discovery", 4, 21600)])
+    return D.frequency_alerts(log.events, _discovering(log), [("failed_3_in_43200", "login.failed", 3, 43200), ("failed_10_in_172800", "login.failed", 10, 172800), ("discovery_4_in_21600", "discovery", 4, 21600)])
+
+
+_DENSE = "TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(cast(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 360) AS bigint))"
+
+
+@query(over(MATCHES, f""", b AS (SELECT src_ip, {_DENSE} AS ts, ord, 'f' AS w FROM ev WHERE eventid = 'cowrie.login.failed' AND src_ip IS NOT NULL UNION ALL SELECT src_ip, {_DENSE}, ord, 'd' FROM ev WHERE src_ip IS NOT NULL AND input IN (SELECT command FROM hits WHERE technique IN ({_DISCOVERY}))),
+ x AS (SELECT *, cast(floor(epoch(ts)) AS bigint) s FROM b),
+ y AS (SELECT *, count(*) OVER (PARTITION BY src_ip, w ORDER BY s RANGE BETWEEN 120 PRECEDING AND CURRENT ROW) a, count(*) OVER (PARTITION BY src_ip, w ORDER BY s RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) c, count(*) OVER (PARTITION BY src_ip, w ORDER BY s RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) e FROM x)
+ SELECT src_ip, ts, ord, 'failed_3_in_120' AS alert, a AS n FROM y WHERE w = 'f' AND a >= 3 UNION ALL SELECT src_ip, ts, ord, 'failed_10_in_300', c FROM y WHERE w = 'f' AND c >= 10 UNION ALL SELECT src_ip, ts, ord, 'discovery_4_in_60', e FROM y WHERE w = 'd' AND e >= 4"""))
+def dense_frequency_alerts(log):
+    """The default spans, over a log that runs 360 times as fast."""
+    start = "timestamp_ntz'2024-01-01 00:00:00'"
+    dense = f"timestampadd(MICROSECOND, floor(timestampdiff(MICROSECOND, {start}, cast(ts as timestamp_ntz)) / 360), {start})"
+    return D.frequency_alerts(log.events.withColumn("ts", F.expr(dense)), _discovering(log))
 
 
 # --- reports
@@ -322,22 +361,26 @@ _MATRIX = f"""SELECT cast(CASE WHEN p = 0 THEN 99 ELSE p END AS int) AS place, t
 
 @query(over(MATCHES, _MATRIX))
 def attack_matrix(log):
+    log.store()
     return P.attack_matrix(P.technique_counts(log.sessions, log.matches, R.catalog(log.spark)))
 
 
 @query(over(MATCHES, "SELECT count(DISTINCT session_id) AS probing_sessions FROM m0 WHERE rule IN ('discovery-virtualization', 'discovery-ssh-version') AND session_id IN (SELECT id FROM real)"))
 def probing_sessions(log):
+    log.store()
     return P.probing_sessions(log.sessions, log.matches)
 
 
 @query(over(MATCHES, "SELECT session_id, src_ip, start_time, rule, evidence, ord FROM m0 JOIN real ON id = session_id WHERE rule IN ('discovery-virtualization', 'discovery-ssh-version') ORDER BY start_time DESC NULLS LAST, session_id, ord, rule LIMIT 20"))
 def probes(log):
+    log.store()
     return P.probes(log.sessions, log.matches)
 
 
 @query(over(MATCHES, """SELECT f.id, f.src_ip, f.start_time, logins_ AS logins, n_commands AS commands, country_code AS country, a.score AS abuse, t.flagged AS tor, coalesce((SELECT string_agg(technique, ' ' ORDER BY technique) FROM (SELECT DISTINCT technique FROM matches WHERE session_id = f.id)), '') AS techniques
  FROM flags f LEFT JOIN ip_geo g ON g.ip = f.src_ip LEFT JOIN abuse a ON a.ip = f.src_ip LEFT JOIN tor t ON t.ip = f.src_ip WHERE NOT internal AND (f.src_ip LIKE '1%' OR f.id LIKE '1%') AND f.id IN (SELECT session_id FROM matches WHERE technique = 'T1105') ORDER BY f.start_time DESC NULLS LAST, f.id LIMIT 25 OFFSET 25"""))
 def session_page(log):
+    log.store()
     return P.session_page(log.flags, log.matches, log.geo, log.intel, page=2, prefix="1", technique="T1105").rows
 
 
@@ -410,6 +453,7 @@ def file_campaign_evidence(log):
  UNION ALL SELECT campaign, 'command', command, count(*) FROM members JOIN commands USING (session_id) GROUP BY ALL UNION ALL SELECT campaign, 'technique', technique, count(DISTINCT session_id) FROM members JOIN matches USING (session_id) GROUP BY ALL)
  SELECT campaign, what, r AS rank, value, n FROM (SELECT *, row_number() OVER (PARTITION BY campaign, what ORDER BY n DESC, value) r FROM v) WHERE r <= CASE what WHEN 'ip' THEN 50 WHEN 'hassh' THEN 10 WHEN 'command' THEN 15 ELSE 1000 END"""))
 def file_campaign_detail(log):
+    log.store()
     return C.campaign_detail(C.campaign_members(_file_features(log), log.sessions), log.tables, log.matches)
 
 
@@ -450,6 +494,7 @@ _IPV4_BAD = "(src_ip LIKE '198.51.100.%' OR src_ip LIKE '203.0.113.%' OR src_ip
   coalesce((SELECT string_agg(technique, ' ' ORDER BY technique) FROM (SELECT DISTINCT technique FROM matches m JOIN w ON w.id = m.session_id WHERE w.src_ip = p.src_ip ORDER BY 1 LIMIT 20)), '') AS techniques
   FROM p LEFT JOIN ip_geo g ON g.ip = src_ip LEFT JOIN abuse a ON a.ip = src_ip LEFT JOIN tor t ON t.ip = src_ip WHERE n >= 1"""))
 def address_indicators(log):
+    log.store()
     found, _ = I.address_indicators(log.flags, log.fetches, log.matches, log.geo, log.intel, now(), I.Filters())
     return found.select("type", "value", "first_seen", "last_seen", "sessions", "level", "confidence", "country", "asn", "as_org", "abuse_score", "tor", F.concat_ws(" ", "techniques").alias("techniques"))
 
@@ -473,12 +518,14 @@ def url_indicators(log):
 
 @query(over(MATCHES, f"""{_URLS} SELECT type, count(*) AS n FROM (SELECT 'sha256' AS type FROM (SELECT DISTINCT sha256 FROM (SELECT session_id, sha256 FROM downloads UNION ALL SELECT session_id, sha256 FROM uploads) JOIN real ON id = session_id WHERE start_time >= {_SINCE}) UNION ALL SELECT 'url' FROM z WHERE NOT attempted OR sources >= 3) GROUP BY 1"""))
 def indicator_counts(log):
+    log.store()
     found, _ = I.collect_indicators(log.tables, log.flags, log.fetches, log.matches, log.geo, log.intel, log.verdicts, now(), I.Filters(kinds=("file", "url")))
     return I.kind_counts(found)
 
 
 @query(None)
 def indicator_csv(log):
+    log.store()
     found, _ = I.collect_indicators(log.tables, log.flags, log.fetches, log.matches, log.geo, log.intel, log.verdicts, now(), I.Filters())
     return sinks.csv_rows(found)
 
@@ -490,12 +537,14 @@ def indicator_stix(log):
 
 @query(over(CTE, f"SELECT src_ip AS value FROM (SELECT src_ip, sum(f) n FROM (SELECT src_ip, (SELECT count(*) FROM logins WHERE session_id = id AND NOT success) f FROM real WHERE start_time >= {_SINCE} AND src_ip IS NOT NULL AND NOT {_IPV4_BAD}) GROUP BY 1)"))
 def blocklist(log):
+    log.store()
     found, _ = I.address_indicators(log.flags, log.fetches, log.matches, log.geo, log.intel, now(), I.Filters(min_level="contact"))
     return sinks.blocklist(found)
 
 
 @query(None)
 def nftables(log):
+    log.store()
     found, _ = I.address_indicators(log.flags, log.fetches, log.matches, log.geo, log.intel, now(), I.Filters())
     return sinks.nftables(found, now(), 30)
 
@@ -563,6 +612,15 @@ def page_hosts(log):
     return p.select("page_id", host.alias("host"), urls.is_common_host(host).alias("common"), urls.clean_url(F.col("url")).alias("clean"))
 
 
+@query(over(CTE, """SELECT DISTINCT url, CASE WHEN h <> 'raw.github.com' THEN concat('http://', h, path) END AS clean, h = 'raw.github.com' AS common FROM (SELECT url, regexp_extract(url, '^http://([^/]+)', 1) AS h, upper(regexp_extract(url, '^http://[^/]+(/.*)$', 1)) AS path FROM downloads)"""))
+def clean_urls(log):
+    """Addresses that files came from, written in capitals, with a user, a query and a fragment; one host is a package mirror instead."""
+    d = log.tables["downloads"].select("url").distinct()
+    mirror = F.regexp_replace("url", "raw[.]github[.]com", "cdn.ubuntu.com")
+    odd = F.concat(F.lit("HTTP://me@"), F.upper(F.substring(mirror, 8, 1000)), F.lit("?q=1#x"))
+    return d.select("url", urls.clean_url(odd).alias("clean"), urls.is_common_host(urls.url_host(odd)).alias("common"))
+
+
 @query(over(CTE, "SELECT DISTINCT src_ip, cast(string_split(src_ip, '.')[1] AS bigint) * 16777216 + cast(string_split(src_ip, '.')[2] AS bigint) * 65536 + cast(string_split(src_ip, '.')[3] AS bigint) * 256 + cast(string_split(src_ip, '.')[4] AS bigint) AS number, regexp_matches(src_ip, '@LOCAL') AS internal FROM ev WHERE src_ip IS NOT NULL".replace("@LOCAL", LOCAL)))
 def address_numbers(log):
     ips = log.events.select("src_ip").where("src_ip is not null").distinct()

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +184,28 @@ def test_publish(spark, tmp_path):
     for text in ("old", "new"):
         sinks.publish(spark.createDataFrame([(text,)], "value string"), path)
     assert [r.value for r in spark.read.text(path).collect()] == ["new"]
+
+
+def test_frequency_alerts_by_counting(spark):
+    """Against a count over all pairs: equal seconds, spans across buckets, spans longer than a bucket, events without address or time."""
+    rng = random.Random(3)
+    start = dt.datetime(2024, 1, 1)
+    rows = []
+    for n in range(400):
+        at = start + dt.timedelta(seconds=D.DAY * rng.randint(0, 3) + rng.randint(-40, 40), milliseconds=rng.randint(0, 999))
+        rows.append((n, rng.choice(["a", "a", "a", "b", None]), None if n % 50 == 0 else at, rng.choice(["cowrie.login.failed", "cowrie.command.input"]), rng.choice(["id", "other", None])))
+    events = spark.createDataFrame(rows, "ord long, src_ip string, ts timestamp_ntz, eventid string, input string")
+    spans = [("short", "login.failed", 3, 5), ("minute", "discovery", 4, 60), ("days", "login.failed", 60, 2 * D.DAY)]
+    got = D.frequency_alerts(events, spark.createDataFrame([("id",), ("id",)], "input string"), spans)
+    second = {n: (at - dt.datetime(1970, 1, 1)) // dt.timedelta(seconds=1) for n, _, at, _, _ in rows if at}
+    counted = lambda r, what: r[1] and r[2] and (r[3] == "cowrie.login.failed" if what == "login.failed" else r[3] == "cowrie.command.input" and r[4] == "id")
+    want = set()
+    for name, what, least, span in spans:
+        own = [r for r in rows if counted(r, what)]
+        for r in own:
+            n = sum(x[1] == r[1] and second[r[0]] - span <= second[x[0]] <= second[r[0]] for x in own)
+            if n >= least:
+                want.add((r[1], r[0], name, n))
+    assert {w[2] for w in want} == {"short", "minute", "days"}
+    assert sorted(tuple(r) for r in got.select("src_ip", "ord", "alert", "n").collect()) == sorted(want)
+    assert D.frequency_alerts(events.limit(0), spark.createDataFrame([], "input string")).count() == 0
