@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express on tables of moderate size.
 
 The others are tested in ``tests/llm`` against plain loops: 3, 4, 5 and 9 need the method's own verdicts, 7 a
-hash that SQL hasn't, 6 all strings of 100 bytes, 8 cuts along a hashed order.
+hash that SQL hasn't, 6 all strings of 100 bytes, 8 cuts along a hashed order, 11 and 13 need tokenizers, 12 a search.
 """
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
