@@ -77,6 +77,15 @@ def merge_children(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
     return old.unionByName(new).dropDuplicates(["session_id", "ts", *KEYS[name]])
 
 
+def merge_capped(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """Stored rows with later ones: each natural key once, the stored row first; new ones follow in order of arrival while the session's cap has room."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    first = W.Window.partitionBy("session_id", "ts", *KEYS[name]).orderBy("_new", "ord")
+    own = W.Window.partitionBy("session_id").orderBy("_new", "ord")
+    once = both.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return once.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= CAPS[name]).drop("_n", "_new")
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(session_id, n_logins, …): child rows of each session, to notice changes."""
     ones = [t.select("session_id", F.lit(n).alias("kind")) for n, t in tables.items() if n in CAPS]
