@@ -11,6 +11,7 @@ from pyspark.sql import window as W
 from siltstream.functions.text import digest16, normalise_command
 from siltstream.functions.urls import clean_url, is_shared_hosting, url_host
 from siltstream.operators.graph import connected_components
+from siltstream.operators.totals import running_total
 from siltstream.plans.shared import stage
 
 # Weights, limits and the empty file's hash.
@@ -78,21 +79,28 @@ def link_edges(features: DataFrame, order: DataFrame, max_pairs: int | None = No
     star = strong.join(first, "key").where("session_id <> b").select(F.col("session_id").alias("a"), "b").distinct()
     weak = sizes.where((F.col("w") < LINK) & (F.col("size") <= WEAK_GROUP))
     if max_pairs is not None:
-        n = F.expr("size * (size - 1) / 2")
-        weak = weak.withColumn("upto", F.sum(n).over(W.Window.orderBy("size", "key").rowsBetween(W.Window.unboundedPreceding, 0))).where(F.col("upto") <= max_pairs)
+        weak = running_total(weak.withColumn("_pairs", F.expr("size * (size - 1) / 2").cast("long")), "_pairs", ["size", "key"], "upto").where(F.col("upto") <= max_pairs)
     own = features.join(weak.select("key"), "key", "left_semi").select("key", "session_id", "weight")
     other = own.select("key", F.col("session_id").alias("b"))
     scored = own.join(other, "key").where("session_id < b").groupBy(F.col("session_id").alias("a"), "b").agg(F.sum("weight").alias("score"))
     return star.unionByName(scored.where(F.col("score") >= LINK).select("a", "b"))
 
 
+def start_order(sessions: DataFrame) -> DataFrame:
+    """(id, label) of real sessions: labels compare by start, those without one last."""
+    return sessions.where(~F.col("internal")).select("id", F.struct(F.isnull("start_time").alias("late"), "start_time", "id").alias("label"))
+
+
+def named_members(found: DataFrame, order: DataFrame) -> DataFrame:
+    """(session_id, campaign) for groups (node, root): the earliest session names the campaign."""
+    first = found.join(order, F.col("node") == F.col("id")).groupBy("root").agg(F.min_by("node", "label").alias("first"))
+    return stage(found.join(first, "root").select(F.col("node").alias("session_id"), F.concat(F.lit("c"), F.substring(digest16(F.col("first")), 1, 10)).alias("campaign")), "campaigns")
+
+
 def campaign_members(features: DataFrame, sessions: DataFrame) -> DataFrame:
     """(session_id, campaign): sessions of components of two or more; the earliest session names the campaign."""
-    order = sessions.where(~F.col("internal")).select("id", F.struct(F.isnull("start_time").alias("late"), "start_time", "id").alias("label"))
-    found = connected_components(link_edges(features, order))
-    named = found.join(order, F.col("node") == F.col("id"))
-    first = named.groupBy("root").agg(F.min_by("node", "label").alias("first"))
-    return stage(found.join(first, "root").select(F.col("node").alias("session_id"), F.concat(F.lit("c"), F.substring(digest16(F.col("first")), 1, 10)).alias("campaign")), "campaigns")
+    order = start_order(sessions)
+    return named_members(connected_components(link_edges(features, order)), order)
 
 
 def campaign_rollup(members: DataFrame, sessions: DataFrame) -> DataFrame:

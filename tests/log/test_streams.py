@@ -11,7 +11,11 @@ from siltstream.operators import detect as D
 from siltstream.operators import rules as R
 from siltstream.operators import sessions as S
 from siltstream.sources.log import read_events
+from siltstream.operators import campaigns as C
+from siltstream.operators.graph import component_changes, connected_components
+from siltstream.operators.totals import running_total
 from siltstream.streaming.buckets import Buckets, Part
+from siltstream.streaming.groups import Groups, regroup
 from siltstream.streaming.mapped import MappedLog, map_stream
 
 SOME = R.RULES[::6]  # what is tested here is which sessions are mapped
@@ -120,3 +124,87 @@ def test_buckets_after_a_failure(spark, tmp_path):
     store.write({"t": Part(make("new").where("id > 100"), "id", [1])})
     store.commit()
     assert 1 not in store.touched(store.read("t"), "id") and len(store.touched(store.read("t"), "id")) == 3
+
+
+def partition_of(df):
+    groups = {}
+    for node, root in df.select("node", "root").collect():
+        groups.setdefault(root, set()).add(node)
+    return {root: g for root, g in groups.items() if len(g) > 1}
+
+
+def test_groups_equal_a_full_build(spark, tmp_path):
+    """Edges come and go in batches; after each the stored roots are those of a full build, and what changed lies in the touched groups."""
+    r = random.Random(6)
+    groups = Groups(spark, f"file://{tmp_path}/groups", buckets=8)
+    now, before = set(), {}
+    for step in range(5):
+        gone = set(r.sample(sorted(now), 3)) if step in (2, 4) else set()
+        new = {tuple(sorted(r.sample(range(60), 2), reverse=r.random() < 0.5)) for _ in range(8 if step else 20)} - now - {(b, a) for a, b in now}
+        now = (now - gone) | new
+        frame = spark.createDataFrame([*now, (5, 5), (None, 3)], "a long, b long")
+        changes = {r.node: r.root for r in groups.update(frame).collect()}
+        full = partition_of(connected_components(frame))
+        assert partition_of(groups.read()) == full
+        was = {n: g for g in before.values() for n in g}
+        is_now = {n: g for g in full.values() for n in g}
+        bound = {m for pair in gone | new for n in pair for m in was.get(n, {n}) | is_now.get(n, {n})}
+        assert set(changes) <= bound
+        before = full
+    assert groups.update(frame).count() == 0  # nothing new: nothing is rewritten
+
+
+def test_changes_without_removals(spark):
+    roots = spark.createDataFrame([(1, 1), (2, 1), (7, 7), (9, 7)], "node long, root long")
+    added = spark.createDataFrame([(9, 2), (20, 21), (9, 9)], "a long, b long")
+    assert rows(component_changes(roots, added), "node", "root") == [(20, 20), (21, 20), (7, 1), (9, 1)]
+
+
+def test_regroup_equals_campaigns(spark, pieces, tmp_path):
+    """Campaigns of a log that grows in batches are those of a full build."""
+    log, groups = MappedLog(spark, f"file://{tmp_path}/store", R.catalog(spark), SOME, buckets=4), Groups(spark, f"file://{tmp_path}/groups", buckets=4)
+    for i, part in enumerate(pieces[:2]):
+        (tmp_path / f"{i}.json").write_text("\n".join(part) + "\n")
+        batch = S.store_events(read_events(spark, str(tmp_path / f"{i}.json"))[0])
+        log.add({n: t if n == "sessions" else t.withColumn("ord", F.unix_micros("ts")) for n, t in batch.items()})
+        members = regroup(log, groups)
+        tables = {n: log.read(n) for n in ("sessions", *S.CAPS)}
+        full = C.campaign_members(C.session_features(tables, log.read("fetches")), tables["sessions"])
+        assert members.count() > 3 and rows(members, "session_id", "campaign") == rows(full, "session_id", "campaign")
+
+
+def test_running_total(spark):
+    """Against a loop, with ties of the value, nulls and more ranges than rows have values."""
+    r = random.Random(1)
+    data = [(r.randint(2, 5), f"k{i:03d}", r.choice([0, 1, 3, 10, None])) for i in range(300)]
+    out = running_total(spark.createDataFrame(data, "size int, key string, n long").repartition(7), "n", ["size", "key"], "upto", ranges=13)
+    total, expected = 0, []
+    for size, key, n in sorted(data, key=lambda x: x[:2]):
+        total += n or 0
+        expected.append((size, key, total))
+    assert sorted(map(tuple, out.select("size", "key", "upto").collect())) == expected
+
+
+def test_pair_budget(spark):
+    """Keys of one size tie at the budget's end: the smaller key is taken."""
+    features = [(f"s{s}", f"login:{k}", 3.0) for k, members in {"a": (1, 2), "b": (3, 4), "c": (5, 6), "d": (7, 8, 9)}.items() for s in members]
+    features += [(s, k.replace("login", "client"), 2.0) for s, k, _ in features]
+    df = spark.createDataFrame(features, "session_id string, key string, weight double")
+    order = spark.createDataFrame([(f"s{i}", i) for i in range(1, 10)], "id string, label int")
+    pairs = lambda budget: rows(C.link_edges(df, order, budget), "a", "b")
+    weights = {}
+    sizes = {}
+    for _, k, _ in features:
+        sizes[k] = sizes.get(k, 0) + 1
+    for budget in (0, 1, 3, 4, 5, 6, 9, 12):
+        upto, taken = 0, set()
+        for k in sorted(sizes, key=lambda k: (sizes[k], k)):
+            upto += sizes[k] * (sizes[k] - 1) // 2
+            if upto <= budget:
+                taken.add(k)
+        weights = {}
+        for s, k, w in features:
+            for t, other, _ in features:
+                if k in taken and k == other and s < t:
+                    weights[s, t] = weights.get((s, t), 0) + w
+        assert pairs(budget) == sorted(p for p, w in weights.items() if w >= 5)
