@@ -179,13 +179,6 @@ def test_lists(spark, tmp_path):
     assert [r.rule for r in out] == [100513, 100501] and out[0].techniques == ["T1"]
 
 
-def test_publish(spark, tmp_path):
-    path = f"file://{tmp_path}/list"
-    for text in ("old", "new"):
-        sinks.publish(spark.createDataFrame([(text,)], "value string"), path)
-    assert [r.value for r in spark.read.text(path).collect()] == ["new"]
-
-
 def test_frequency_alerts_by_counting(spark):
     """Against a count over all pairs: equal seconds, spans across buckets, spans longer than a bucket, events without address or time."""
     rng = random.Random(3)

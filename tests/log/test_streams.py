@@ -1,5 +1,6 @@
 """Streams against batch results: mapping, groups, bursts."""
 
+import datetime as dt
 import json
 import random
 from pathlib import Path
@@ -14,6 +15,7 @@ from siltstream.sources.log import read_events
 from siltstream.operators import campaigns as C
 from siltstream.operators.graph import component_changes, connected_components
 from siltstream.operators.totals import running_total
+from siltstream.streaming.bursts import STATE_STORE, exact_bursts
 from siltstream.streaming.buckets import Buckets, Part
 from siltstream.streaming.groups import Groups, regroup
 from siltstream.streaming.mapped import MappedLog, map_stream
@@ -208,3 +210,40 @@ def test_pair_budget(spark):
                 if k in taken and k == other and s < t:
                     weights[s, t] = weights.get((s, t), 0) + w
         assert pairs(budget) == sorted(p for p, w in weights.items() if w >= 5)
+
+
+@pytest.mark.parametrize("split", [1, 4])
+def test_exact_bursts_equal_batch(spark, tmp_path, split):
+    """Whatever the split into batches, and out of order within the watermark's delay; state goes once a source is idle."""
+    r = random.Random(split)
+    start = dt.datetime(2026, 10, 5, 7, 0, 0)
+    events, t = [], 0.0
+    for _ in range(400):
+        t += r.choice([0, 0.3, 1, 5, 20, 90])
+        ip = r.choice(["203.0.113.7", "203.0.113.8", None])
+        kind, said = r.choice([("cowrie.login.failed", None), ("cowrie.login.failed", None), ("cowrie.command.input", "uname -a"), ("cowrie.command.input", "echo hi")])
+        events.append((ip, start + dt.timedelta(seconds=t), kind, said))
+    schema = "src_ip string, ts timestamp, eventid string, input string"
+    found = spark.createDataFrame([("uname -a",)], "input string")
+    whole = spark.createDataFrame(events, schema).withColumn("ord", F.monotonically_increasing_id())
+    batch = D.frequency_alerts(whole, found).groupBy("src_ip", F.unix_seconds(F.date_trunc("second", "ts")).alias("s"), "alert", "n").agg(F.count(F.lit(1)).alias("events"))
+    # neighbours change places, across batches too; the last event, of another source, moves the watermark past all
+    shuffled = sorted(events, key=lambda e: (e[1] + dt.timedelta(seconds=r.uniform(-200, 200))))
+    last = ("198.51.100.1", start + dt.timedelta(days=2), "cowrie.login.failed", None)
+    size = -(-len(shuffled) // split)
+    batches = [shuffled[i : i + size] for i in range(0, len(shuffled), size)] + [[last]]
+    for i, part in enumerate(batches):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        out = exact_bursts(stream, found, "20 minutes")
+        q = out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
+        left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    names = ["src_ip", "s", "alert", "n", "events"]
+    live = rows(spark.read.parquet(f"{tmp_path}/out"), *names)
+    assert len(live) > 25 and live == rows(batch, *names)
+    assert left <= 5  # of the last event's source only
