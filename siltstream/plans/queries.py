@@ -516,14 +516,35 @@ def url_indicators(log):
     return I.url_indicators(log.tables, log.fetches, now(), I.Filters())[0].select("value", "first_seen", "last_seen", "sessions", "confidence", "attempted")
 
 
-@query(over(MATCHES, f"""{_URLS} SELECT type, count(*) AS n FROM (SELECT 'sha256' AS type FROM (SELECT DISTINCT sha256 FROM (SELECT session_id, sha256 FROM downloads UNION ALL SELECT session_id, sha256 FROM uploads) JOIN real ON id = session_id WHERE start_time >= {_SINCE}) UNION ALL SELECT 'url' FROM z WHERE NOT attempted OR sources >= 3) GROUP BY 1"""))
+#: SQL of the indicators of each kind, as the queries above compare it.
+_FOUND = {"ip": ORACLES["address_indicators"], "file": ORACLES["file_indicators"], "url": ORACLES["url_indicators"]}
+
+
+def _cell(x: str) -> str:
+    return f"CASE WHEN substr({x}, 1, 1) IN ('=', '+', '-', '@') THEN concat(chr(39), {x}) ELSE coalesce({x}, '') END"
+
+
+def _csv(kind: str, values: dict[str, str]) -> str:
+    own = {c: values.get(c, "NULL::varchar") for c in sinks.CSV} | {c: f"strftime({c}, '%Y-%m-%dT%H:%M:%SZ')" for c in ("first_seen", "last_seen")}
+    texts = ", ".join(f"{_cell(f'cast({x} AS varchar)')} AS {c}" for c, x in own.items())
+    return f"SELECT {texts} FROM ({_FOUND[kind]})"
+
+
+_CSV = " UNION ALL ".join([
+    _csv("ip", {c: c for c in sinks.CSV if c not in ("tor", "vt_malicious", "vt_engines", "detail")} | {"tor": "CASE WHEN tor THEN 'yes' WHEN NOT tor THEN 'no' END"}),
+    _csv("file", {c: c for c in ("value", "sessions", "confidence", "vt_malicious", "vt_engines", "detail")} | {"type": "'sha256'"}),
+    _csv("url", {c: c for c in ("value", "sessions", "confidence")} | {"type": "'url'", "detail": "CASE WHEN attempted THEN 'typed in commands; never seen delivering a file' END"}),
+])
+
+
+@query(over(MATCHES, f"""{_URLS} SELECT type, count(*) AS n FROM (SELECT 'sha256' AS type FROM (SELECT DISTINCT sha256 FROM (SELECT session_id, sha256 FROM downloads UNION ALL SELECT session_id, sha256 FROM uploads) JOIN real ON id = session_id WHERE start_time >= {_SINCE}) UNION ALL SELECT 'url' FROM z WHERE NOT attempted OR sources >= 3 UNION ALL SELECT type FROM ({_FOUND["ip"]})) GROUP BY 1"""))
 def indicator_counts(log):
     log.store()
-    found, _ = I.collect_indicators(log.tables, log.flags, log.fetches, log.matches, log.geo, log.intel, log.verdicts, now(), I.Filters(kinds=("file", "url")))
+    found, _ = I.collect_indicators(log.tables, log.flags, log.fetches, log.matches, log.geo, log.intel, log.verdicts, now(), I.Filters())
     return I.kind_counts(found)
 
 
-@query(None)
+@query(_CSV)
 def indicator_csv(log):
     log.store()
     found, _ = I.collect_indicators(log.tables, log.flags, log.fetches, log.matches, log.geo, log.intel, log.verdicts, now(), I.Filters())
@@ -532,7 +553,10 @@ def indicator_csv(log):
 
 @query(None)
 def indicator_stix(log):
-    return sinks.stix_objects(I.file_indicators(log.tables, log.verdicts, now(), I.Filters())[0], now(), 30)
+    """The lines of a bundle of all indicators."""
+    log.store()
+    found, _ = I.collect_indicators(log.tables, log.flags, log.fetches, log.matches, log.geo, log.intel, log.verdicts, now(), I.Filters())
+    return sinks.stix_bundle(found, f"{NOW.replace(' ', 'T')}Z", 30)
 
 
 @query(over(CTE, f"SELECT src_ip AS value FROM (SELECT src_ip, sum(f) n FROM (SELECT src_ip, (SELECT count(*) FROM logins WHERE session_id = id AND NOT success) f FROM real WHERE start_time >= {_SINCE} AND src_ip IS NOT NULL AND NOT {_IPV4_BAD}) GROUP BY 1)"))
@@ -542,7 +566,10 @@ def blocklist(log):
     return sinks.blocklist(found)
 
 
-@query(None)
+@query(f"""WITH a AS (SELECT *, row_number() OVER (ORDER BY list_reduce(list_transform(string_split(value, '.'), lambda x: cast(x AS bigint)), lambda p, x: p * 256 + x)) AS n FROM ({_FOUND["ip"]})),
+ e AS (SELECT n, concat(value, ' timeout ', greatest(cast(floor(epoch(last_seen + INTERVAL 30 DAY)) - epoch(TIMESTAMP '{NOW}') AS bigint), 60), 's') AS element FROM a)
+ SELECT concat('add element inet siltstream blocklist_v4 {{ ', string_agg(element, ', ' ORDER BY n), ' }}') AS value FROM e GROUP BY (n - 1) // 500
+ UNION ALL SELECT unnest(['add table inet siltstream', 'add set inet siltstream blocklist_v4 {{ type ipv4_addr; flags timeout; }}', 'flush set inet siltstream blocklist_v4', 'add set inet siltstream blocklist_v6 {{ type ipv6_addr; flags timeout; }}', 'flush set inet siltstream blocklist_v6'])""")
 def nftables(log):
     log.store()
     found, _ = I.address_indicators(log.flags, log.fetches, log.matches, log.geo, log.intel, now(), I.Filters())
