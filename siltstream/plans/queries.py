@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import cached_property
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstream.functions import net, text, urls
 from siltstream.operators import campaigns as C
+from siltstream.operators import dated
 from siltstream.operators import detect as D
 from siltstream.operators import enrich as E
 from siltstream.operators import indicators as I
@@ -17,8 +19,9 @@ from siltstream.operators import reports as P
 from siltstream.operators import retention as T
 from siltstream.operators import rules as R
 from siltstream.operators import sessions as S
+from siltstream.operators import sketches as K
 from siltstream.plans.binding import CTE, LOCAL, bound_events, bound_tables, geo, intel
-from siltstream.plans.shared import stage
+from siltstream.plans.shared import scratch, stage
 from siltstream.sources import sinks
 
 NOW = "2024-01-31 00:00:00"
@@ -31,7 +34,8 @@ def now():
 class Log:
     """The derived log's tables, made when they are asked for.
 
-    What several parts of a query read (matches, flags and the tables below them) is written once, as stored tables would be.
+    A query that reads tables, matches or flags several times stores the tables first; these are then written once, as stored
+    tables would be. Others read the log once and write nothing.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -54,15 +58,16 @@ class Log:
         if "stored" not in self.__dict__:
             self.stored = self.tables = {name: stage(t, name) for name, t in self.tables.items()}
 
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        return stage(df, name) if "stored" in self.__dict__ else df
+
     @cached_property
     def matches(self) -> DataFrame:
-        self.store()
-        return stage(D.map_sessions(self.tables, R.catalog(self.spark)), "matches")
+        return self._kept(D.map_sessions(self.tables, R.catalog(self.spark)), "matches")
 
     @cached_property
     def flags(self) -> DataFrame:
-        matches = self.matches
-        return stage(P.session_flags(self.tables, matches), "flags")
+        return self._kept(P.session_flags(self.tables, self.matches), "flags")
 
     @property
     def geo(self) -> DataFrame:
@@ -151,7 +156,6 @@ def over(head: str, body: str) -> str:
 
 @query(over(MATCHES, "SELECT technique, name, tactics, count(DISTINCT session_id) AS sessions, count(*) AS hits FROM m0 LEFT JOIN catalog USING (technique) WHERE session_id IN (SELECT id FROM real) GROUP BY ALL"))
 def technique_counts(log):
-    log.store()
     return P.technique_counts(log.sessions, log.matches, R.catalog(log.spark))
 
 
@@ -361,13 +365,11 @@ _MATRIX = f"""SELECT cast(CASE WHEN p = 0 THEN 99 ELSE p END AS int) AS place, t
 
 @query(over(MATCHES, _MATRIX))
 def attack_matrix(log):
-    log.store()
     return P.attack_matrix(P.technique_counts(log.sessions, log.matches, R.catalog(log.spark)))
 
 
 @query(over(MATCHES, "SELECT count(DISTINCT session_id) AS probing_sessions FROM m0 WHERE rule IN ('discovery-virtualization', 'discovery-ssh-version') AND session_id IN (SELECT id FROM real)"))
 def probing_sessions(log):
-    log.store()
     return P.probing_sessions(log.sessions, log.matches)
 
 
@@ -628,6 +630,35 @@ def pruned_logins(log):
     return T.prune(log.tables, now(), 20)["logins"]
 
 
+_CUT = dt.datetime.fromisoformat(NOW) - dt.timedelta(days=20)
+
+
+@query(over(CTE, "SELECT * FROM logins WHERE session_id NOT IN (SELECT id FROM sessions WHERE coalesce(end_time, start_time) < TIMESTAMP '2024-01-31' - INTERVAL 20 DAY)"))
+def pruned_days(log):
+    """The same from tables by day, of which whole days are dropped."""
+    path = scratch(log.spark, "by-day")
+    dated.write_by_day({n: log.tables[n] for n in ("sessions", "logins")}, path)
+    dated.prune_days(log.spark, path, _CUT)
+    return dated.read_days(log.spark, path, "logins")
+
+
+@query(over(CTE, f"SELECT * FROM sessions WHERE start_time >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY"))
+def recent_sessions(log):
+    """A window over tables by day: only its days are read."""
+    path = scratch(log.spark, "by-day")
+    dated.write_by_day({"sessions": log.sessions}, path)
+    return dated.read_days(log.spark, path, "sessions", _CUT)
+
+
+@query(over(CTE, f""", d AS (SELECT unnest([1, 7, 30]) AS days), w AS (SELECT days, id, src_ip FROM real, d WHERE cast(start_time AS date) > DATE '2024-01-30' - cast(days AS int) AND cast(start_time AS date) <= DATE '2024-01-30'),
+ f AS (SELECT days, count(DISTINCT sha256) AS files FROM w JOIN (SELECT session_id, sha256 FROM downloads UNION ALL SELECT session_id, sha256 FROM uploads) ON session_id = id GROUP BY 1)
+ SELECT days, count(*)::bigint AS sessions, count(DISTINCT src_ip) AS sources, coalesce(any_value(files), 0) AS files FROM w LEFT JOIN f USING (days) GROUP BY 1"""))
+def window_totals(log):
+    """From sketches of days; so few values are counted exactly."""
+    sketches = stage(K.daily_sketches({n: log.tables[n] for n in ("sessions", "downloads", "uploads")}), "sketches")
+    return K.window_totals(sketches, dt.date(2024, 1, 30), [1, 7, 30])
+
+
 # --- functions over whole tables
 
 
