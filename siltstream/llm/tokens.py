@@ -15,6 +15,8 @@ import numpy as np
 
 #: Keys kept by a memo before the older half is dropped, and the longest key that is kept at all.
 MEMO, LONG = 300_000, 64
+#: The same for single words, which are fewer and smaller.
+WORDS = 800_000
 
 
 class Memo:
@@ -117,7 +119,7 @@ def word_memo(path: str) -> Memo:
     def make(new: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)]
 
-    return Memo(make)
+    return Memo(make, WORDS)
 
 
 def word_ids(path: str, text: str) -> np.ndarray:
