@@ -24,7 +24,7 @@ from siltstream.llm.tokens import both_ids, bytes_of, pieces_of
 from siltstream.plans.shared import stage
 
 #: Pairs of a document and a linked pair that make up a block; links of a group that are listed one by one.
-BLOCK, FEW = 3_000_000, 1_000
+BLOCK, FEW = 1_000_000, 1_000
 
 
 class Groups(NamedTuple):
