@@ -69,6 +69,10 @@ def equal_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (i < total % shards) for i in range(shards)]
 
 
+#: The old shard of rows whose column names none.
+UNKNOWN = -1
+
+
 def _running(d: DataFrame, by: list[str], order: list, value: str, name: str) -> DataFrame:
     """The sum of ``value`` over what stands before a row within ``by``, in blocks (column _block) and then within them."""
     sums = d.groupBy(*by, "_block").agg(F.sum(value).alias("_sum"))
@@ -97,7 +101,8 @@ def _described(docs: DataFrame, old: str | None, old_shards: int, keep_row: bool
     """(uid, doc_id, size, text_crc32, old_shard and, if it is asked for, the row)."""
     rows = _numbered(docs, "doc_id", "text", *([old] if old else []))
     text = F.coalesce(F.col("text"), F.lit(""))
-    home = F.col(old) if old else F.pmod(F.xxhash64("doc_id"), F.lit(old_shards))
+    home = F.col(old).cast("int") if old else F.pmod(F.xxhash64("doc_id"), F.lit(old_shards))
+    home = F.when(home.between(0, old_shards - 1), home).otherwise(UNKNOWN)
     own = rows.select("uid", "doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), home.cast("int").alias("old_shard"), *(["_row"] if keep_row else []))
     return own
 
@@ -115,6 +120,8 @@ def _plan(rows: DataFrame, shards: int, old_shards: int) -> tuple[DataFrame, lis
     rows = stage(rows.select("uid", "doc_id", "size", "text_crc32", "old_shard"), "sizes")
     held = {r[0]: (int(r[1]), int(r[2])) for r in rows.groupBy("old_shard").agg(F.sum("size"), F.count(F.lit(1))).collect()}
     supply = [held.get(i, (0, 0))[0] for i in range(old_shards)]
+    if UNKNOWN in held:
+        raise ValueError(f"{held[UNKNOWN][1]} rows have no old shard from 0 to {old_shards - 1}")
     n, total = sum(k for _, k in held.values()), sum(supply)
     flow = min_cost_flow(supply, equal_capacities(total, shards), [[int(i != j) for j in range(shards)] for i in range(old_shards)])
     order = [F.desc("size"), "_h", "uid"]
@@ -140,6 +147,7 @@ def plan_shards(docs: DataFrame, shards: int = SHARDS, old_shards: int = SHARDS,
     """(doc_id, size, text_crc32, old_shard, shard, slot for every row, bytes from each old to each new shard).
 
     ``old`` names the column with the shard (0 to old_shards - 1) that a row is in; without it that is the hash of the doc_id.
+    Raises a ValueError with the number of rows of which that column is null or no such shard: none is left out.
     """
     plan, flow = _plan(_described(docs, old, old_shards, False), shards, old_shards)
     return plan.drop("uid", "_h", "_block"), flow
@@ -197,8 +205,8 @@ def rewrite_shards(docs: DataFrame, path: str, shards: int = SHARDS, old_shards:
 def reshard(docs: DataFrame, shards: int = SHARDS, columns: bool = False) -> DataFrame:
     """The rows of :func:`shard_documents`, after the move: from the files of rewritten shards, and of the others from the plan.
 
-    The files lie below the shared folder. With ``columns``, rows have the columns of ``docs`` too; those of
-    ``docs`` that have a name of the contract's (doc_id apart) are left out.
+    The files lie below the shared folder. With ``columns``, rows have the columns of ``docs`` too, under
+    their names; columns of ours that ``docs`` has a name of (doc_id apart, which is the same) are called new_shard, new_size and so on.
     """
     spark = docs.sparkSession
     path = scratch(spark, "shards")
@@ -217,5 +225,14 @@ def reshard(docs: DataFrame, shards: int = SHARDS, columns: bool = False) -> Dat
         else:
             files = files.select(*plan.columns).unionByName(stay)
     out = _as_contract(files)
-    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in _OUT] if columns else []
-    return out.select(*_OUT, *own)
+    if not columns:
+        return out.select(*_OUT)
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name = f"new_{name}"
+        return name
+
+    ours = [F.col(c).alias(c if c == "doc_id" else free(c)) for c in _OUT]
+    return out.select(*ours, *[F.col("row")[c].alias(c) for c in docs.columns if c != "doc_id"])

@@ -229,3 +229,15 @@ def test_pipeline(spark, docs, items, texts, tmp_path):
     assert set(kept[3]) <= clean and kept[3] == kept[4]
     assert got(at.select(*docs.columns), *docs.columns) == got(spark.read.parquet(f"{tmp_path}/out3"), *docs.columns)
     assert [n for n, _ in corpus_pipeline.STAGES][-1] == "sharding"
+
+
+def test_sharding_loses_nothing(spark):
+    """Rows of no old shard are an error with their number; columns that clash with ours are kept."""
+    df = spark.createDataFrame([(i, f"text {i}", o, f"mine {i}", 7) for i, o in enumerate((0, None, 99, 3, -1))], "doc_id long, text string, old int, shard string, size int")
+    with pytest.raises(ValueError, match="3 rows"):
+        plan_shards(df, 4, 4, old="old")
+    assert plan_shards(df.where("doc_id in (0, 3)"), 4, 4, old="old")[0].count() == 2
+    out = reshard(df, columns=True)
+    assert {(r.doc_id, r.shard, r["size"], r.old) for r in out.collect()} == {(i, f"mine {i}", 7, o) for i, o in enumerate((0, None, 99, 3, -1))}
+    plain = {r.doc_id: (r.shard, r.slot) for r in shard_documents(df).collect()}
+    assert {r.doc_id: (r.new_shard, r.slot) for r in out.collect()} == plain
