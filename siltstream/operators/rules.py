@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +139,15 @@ def rule_table(spark: SparkSession, rules=None) -> DataFrame:
     return spark.createDataFrame(RULES if rules is None else rules, "rule string, technique string, confidence string, scope string, pattern string")
 
 
+def _compiles(spark: SparkSession, pattern: str) -> bool:
+    """Whether Spark's regular expressions, which are Java's, take the pattern."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile("(?Ud)" + pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def rule_problems(rules: DataFrame, techniques: DataFrame) -> DataFrame:
     """(rule, problem): missing fields, unknown techniques, confidences or scopes, patterns that don't compile, repeated ids."""
     blank = F.exists(F.array("rule", "technique", "confidence", "scope", "pattern"), lambda x: F.coalesce(F.trim(x) == "", F.lit(True)))
@@ -148,7 +158,10 @@ def rule_problems(rules: DataFrame, techniques: DataFrame) -> DataFrame:
     known = techniques.select(F.col("technique").alias("_t"), F.lit(1).alias("_known"))
     often = rules.groupBy(F.col("rule").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
     joined = rules.join(F.broadcast(known), F.col("technique") == F.col("_t"), "left").join(F.broadcast(often), F.col("rule").eqNullSafe(F.col("_r")))
-    return joined.select("rule", F.explode(checks).alias("problem"))
+    spark = rules.sparkSession
+    # a rule file is read by people: some hundred lines
+    bad = [(r.rule, "the pattern does not compile") for r in rules.where("pattern is not null").select("rule", "pattern").collect() if not _compiles(spark, r.pattern)]
+    return joined.select("rule", F.explode(checks).alias("problem")).unionByName(spark.createDataFrame(bad, "rule string, problem string"))
 
 
 def rules_version(rules: DataFrame) -> str:
