@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from siltstream.functions.shell import command_fetches, command_segments
+from siltstream.functions.shell import command_fetches
 from siltstream.functions.text import bound_command
 from siltstream.operators import rules as R
+from siltstream.operators.literals import read_commands
 from siltstream.plans.shared import stage
 
 # Accounts that systems come with.
@@ -26,19 +27,40 @@ def _pattern(text: str) -> str:
     return "(?Ud)" + text
 
 
+def _quoted(text: str) -> str:
+    """As a string in SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _read_distinct(commands: DataFrame, rules) -> DataFrame:
+    """(command, bounded, segments, tried) of each distinct command."""
+    d = commands.select("command").where("command is not null").distinct().withColumn("bounded", bound_command(F.col("command")))
+    return d.withColumn("read", read_commands(F.col("bounded"), rules)).select("command", "bounded", "read.*")
+
+
 def map_distinct_commands(commands: DataFrame, rules=None) -> DataFrame:
-    """(command, matches): each distinct command with the rules that it matches, each rule once, its first matching segment as evidence."""
+    """(command, matches): each distinct command with the rules that it matches, each rule once, its first matching segment as evidence.
+
+    Only those patterns run of which the command holds a literal that they need.
+    """
     rules = R.RULES if rules is None else rules
-    d = commands.select("command").where("command is not null").distinct().withColumn("bounded", bound_command(F.col("command")))
-    d = d.withColumn("segments", command_segments(F.col("bounded")))
 
-    def hit(rule: tuple[str, str, str, str, str]) -> Column:
+    # SQL text: a tree of this many columns takes longer to build from Python than the matching itself
+    def hit(number: int, rule: tuple[str, str, str, str, str]) -> str:
         name, technique, confidence, scope, pattern = rule
-        p = _pattern(pattern)
-        found = F.when(F.col("bounded").rlike(p), F.col("bounded")) if scope == "command" else F.get(F.filter("segments", lambda s: s.rlike(p)), F.lit(0))
-        return F.when(found.isNotNull(), F.struct(F.lit(name).alias("rule"), F.lit(technique).alias("technique"), F.lit(confidence).alias("confidence"), F.substring(found, 1, EVIDENCE).alias("evidence")))
+        of = "array(bounded)" if scope == "command" else "segments"
+        matches = f"x -> x rlike {_quoted(_pattern(pattern))}"
+        found = f"named_struct('rule', {_quoted(name)}, 'technique', {_quoted(technique)}, 'confidence', {_quoted(confidence)}, 'evidence', substring(filter({of}, {matches})[0], 1, {EVIDENCE}))"
+        return f"CASE WHEN array_contains(tried, {number}) AND exists({of}, {matches}) THEN {found} END"
+
+    every = f"cast(array({', '.join(hit(i, r) for i, r in enumerate(rules))}) as array<struct<rule: string, technique: string, confidence: string, evidence: string>>)"
+    return _read_distinct(commands, rules).select("command", F.expr(f"array_compact({every})").alias("matches"))
 
-    return d.select("command", F.array_compact(F.array(*[hit(r) for r in rules])).alias("matches"))
+
+def patterns_tried(commands: DataFrame, rules=None) -> DataFrame:
+    """(tried, commands): how many distinct commands met how many patterns."""
+    rules = R.RULES if rules is None else rules
+    return _read_distinct(commands, rules).groupBy(F.size("tried").alias("tried")).agg(F.count(F.lit(1)).alias("commands"))
 
 
 def map_commands(commands: DataFrame, rules=None) -> DataFrame:
