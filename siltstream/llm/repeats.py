@@ -8,8 +8,9 @@ windows have equal anchors at equal places, and a run of consecutive windows sha
 2. The other runs are cut out of their texts with all units that their windows touch: contexts.
    Contexts meet by anchor, and there the operator compares what they really hold
    (``Kind.classes``, ``Kind.windows``): operator 6 by a suffix sort, operator 10 by factors.
-3. Where an anchor has more than ``CROWD`` different contexts, these go on as single windows that
-   meet by the hash of their contents, so no anchor, however frequent, is one task's load.
+3. Where an anchor has more than ``CROWD`` different contexts, or ``WINDOWS_AT_ONCE`` windows in them,
+   these go on as single windows that meet by the hash of their contents. A crowded anchor's contexts
+   pass through one task as a stream, of which no more is held than those numbers.
 
 Equal contexts of a batch of texts are merged before they travel, and those that meet are merged as
 they arrive. Work is dealt in buckets, of which the number follows from measured bytes.
@@ -37,7 +38,7 @@ SLICE = 4_000_000
 DOCUMENT_BYTES, CONTEXT_BYTES, BATCH_BYTES = 16_000_000, 6_000_000, 3_000_000
 #: Runs that a bucket of anchors holds.
 ANCHOR_ROWS = 500_000
-#: Different contexts of an anchor beyond which they go on as windows; windows that are sorted at once.
+#: Different contexts of an anchor, and windows in them, beyond which they go on as windows; the latter are also sorted at once.
 CROWD, WINDOWS_AT_ONCE = 20_000, 300_000
 
 
@@ -454,45 +455,78 @@ def _single_windows(c: Contexts, kind: Kind) -> Contexts:
     return Contexts(key, c.uid[row], c.start[row] + k, one, 0 * one, np.zeros(len(k), bool), *cut(layout.data, *layout.span(at, at + kind.window)))
 
 
-def _meet(kind: Kind, buckets: int, doc_buckets: int, last: bool):
-    """Contexts to marks (what = 1); those of crowded anchors to single windows (what = 0), unless it is the ``last`` step."""
+def _crowded(c: Contexts, crowd: tuple[int, int]) -> np.ndarray:
+    """Of contexts sorted by key: True where a key has more of them, or more windows in them, than ``crowd`` says."""
+    if not len(c):
+        return np.zeros(0, bool)
+    first = np.flatnonzero(heads(c.key))
+    size = np.diff(np.concatenate((first, [len(c)])))
+    return np.repeat((size > crowd[0]) | ((size > 1) & (np.add.reduceat(c.n, first) > crowd[1])), size)
+
+
+def _meet(kind: Kind, buckets: int, doc_buckets: int, last: bool, crowd: tuple[int, int] = (CROWD, WINDOWS_AT_ONCE)):
+    """Contexts to marks (what = 1); those of crowded anchors to single windows (what = 0), unless it is the ``last`` step.
+
+    An anchor is crowded once it has more different contexts, or windows in them, than ``crowd`` says. Its contexts go on at once and
+    what comes for it later follows, so that a task holds no more of an anchor than that and the blobs of one batch.
+    Windows of the same contents have the same key in the next step, so there only those meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = Gather(doc_buckets)
         for _, blobs in _groups(batches):
             held, parts, size = None, [], 0
+            gone = np.zeros(0, np.uint64)  # anchors known to be crowded
 
-            def fold(held, parts):
-                every = parts[0] if held is None else held + parts[0]
+            def fold(held, parts, gone):
+                """What is held of the anchors that are not crowded, crowded anchors, contexts that go on, rows of marks."""
+                every = parts[0]
                 for p in parts[1:]:
                     every = every + p
                 every = every.take(np.lexsort((every.start, every.uid, every.key)))
+                away = np.isin(every.key, gone)
+                on = []
+                if away.any():
+                    marks, firsts = kind.classes(every.take(np.flatnonzero(away)))
+                    on.append((marks, firsts))
+                    every = every.take(np.flatnonzero(~away))
+                if held is not None:
+                    every = held + every
+                    every = every.take(np.lexsort((every.start, every.uid, every.key)))
                 marks, firsts = kind.classes(every)
-                rows = gather.add(marks)
-                return firsts.take(np.argsort(firsts.key, kind="stable")), rows
+                firsts = firsts.take(np.argsort(firsts.key, kind="stable"))
+                if not last and (many := _crowded(firsts, crowd)).any():
+                    on.append((marks[:0], firsts.take(np.flatnonzero(many))))
+                    gone = np.union1d(gone, on[-1][1].key)
+                    firsts = firsts.take(np.flatnonzero(~many))
+                return firsts, gone, [c for _, c in on], gather.add(np.concatenate([marks, *(m for m, _ in on)]))
+
+            def done(on, rows):
+                if rows:
+                    yield _batch(rows)
+                for c in on:
+                    # few contexts at a time, by what their windows take
+                    edge = np.searchsorted(np.cumsum(c.n) * kind.window, np.arange(0, int(c.n.sum()) * kind.window, 2 * BATCH_BYTES))
+                    for at, to in zip(edge.tolist(), [*edge[1:].tolist(), len(c)], strict=True):
+                        if to > at:
+                            yield _batch(_context_rows(_single_windows(c.take(np.arange(at, to)), kind), buckets))
 
             for blob in blobs:
                 parts.append(_context_blob(blob))
                 size += len(parts[-1].raw)
                 if size > BATCH_BYTES:
-                    held, rows = fold(held, parts)
+                    held, gone, on, rows = fold(held, parts, gone)
                     parts, size = [], 0
-                    if rows:
-                        yield _batch(rows)
+                    yield from done(on, rows)
             if parts:
-                held, rows = fold(held, parts)
-                if rows:
-                    yield _batch(rows)
+                held, gone, on, rows = fold(held, parts, gone)
+                yield from done(on, rows)
             if held is None:
                 continue
             # anchors with contexts that differ
             first = np.flatnonzero(heads(held.key))
             many = np.diff(np.concatenate((first, [len(held)])))
-            rank = np.repeat(many, many)
-            crowded = np.flatnonzero((rank > CROWD) & (not last))
-            for at in range(0, len(crowded), 2000):
-                yield _batch(_context_rows(_single_windows(held.take(crowded[at : at + 2000]), kind), buckets))
-            open_ = held.take(np.flatnonzero((rank > 1) & ((rank <= CROWD) | last)))
+            open_ = held.take(np.flatnonzero(np.repeat(many, many) > 1))
             # whole anchors, so many that their windows number some hundred thousands
             edge = np.flatnonzero(np.append(heads(open_.key), True)) if len(open_) else np.zeros(1, np.int64)
             total = np.concatenate(([0], np.cumsum(open_.n)))
@@ -513,10 +547,11 @@ def _buckets(amount: int, each: int, parts: int) -> int:
     return parts * max(1, -(-amount // (each * parts)))
 
 
-def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[int, bytes, np.ndarray], tuple], schema: str) -> DataFrame:
+def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[int, bytes, np.ndarray], tuple], schema: str, crowd: tuple[int, int] = (CROWD, WINDOWS_AT_ONCE)) -> DataFrame:
     """(uid, …) for every row of ``docs`` (uid, text): ``finish`` gets uid, text and the marks of what repeats.
 
-    finish returns the values of ``schema``, which begins with the uid.
+    finish returns the values of ``schema``, which begins with the uid. crowd: different contexts of an anchor, and windows in
+    them, beyond which they go on as single windows.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -534,7 +569,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[int, bytes,
 
     texts = packed_texts(docs, doc_buckets)
     cut_out = save(_together(candidates, texts, parts).mapInArrow(_cut_out(kind, buckets, doc_buckets), BLOB), "contexts")
-    met = save(dealt(cut_out.where("what = 0")).mapInArrow(_meet(kind, buckets, doc_buckets, False), BLOB), "met")
+    met = save(dealt(cut_out.where("what = 0")).mapInArrow(_meet(kind, buckets, doc_buckets, False, crowd), BLOB), "met")
     apart = save(dealt(met.where("what = 0")).mapInArrow(_meet(kind, buckets, doc_buckets, True), BLOB), "apart")
     marks = cut_out.unionByName(met).unionByName(apart)
 

@@ -146,19 +146,38 @@ def word_spans(raw: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.n
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BYTE = np.random.default_rng(20240229).integers(1 << 62, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
+#: Powers are the product of one from each of two small tables, so none is as long as the data.
+LOW = 1 << 16
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _tables(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** 0 ... base ** (LOW - 1), and of base ** LOW as many powers as places below ``n`` need."""
+    low, high = _powers.get(int(base), (None, None))
+    if low is None:
+        low = np.full(LOW, base, np.uint64)
+        low[0] = 1
+        low = np.multiply.accumulate(low)
+    if high is None or len(high) * LOW < n:
+        high = np.full(max(256, -(-n // LOW)), (low[-1:] * base)[0], np.uint64)
+        high[0] = 1
+        high = np.multiply.accumulate(high)
+        _powers[int(base)] = low, high
+    return low, high
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 ... base ** (n - 1) modulo 2 ** 64."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        have = _powers[int(base)] = np.multiply.accumulate(steps)
-    if n > 4 * BLOCK_BYTES:
-        _powers.pop(int(base))
-    return have[:n]
+    low, high = _tables(base, n)
+    return (high[: -(-n // LOW), None] * low[None, : min(n, LOW)]).ravel()[:n]
+
+
+def power_at(base: np.uint64, at: np.ndarray, n: int) -> np.ndarray:
+    """base ** i for each i of ``at``, all below ``n``."""
+    low, high = _tables(base, n)
+    if n <= LOW:
+        return low[at]
+    return low[at & (LOW - 1)] * high[at >> 16]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -179,7 +198,7 @@ def prefix_hash(values: np.ndarray) -> np.ndarray:
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The same value for equal spans wherever they stand; not yet mixed."""
-    return (prefix[ends] - prefix[starts]) * powers(INVERSE, len(prefix))[starts]
+    return (prefix[ends] - prefix[starts]) * power_at(INVERSE, starts, len(prefix))
 
 
 #: What is left of eight bytes when only the first 0 to 8 belong to a word.
