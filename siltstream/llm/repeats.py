@@ -8,7 +8,7 @@ windows have equal anchors at equal places, and a run of consecutive windows sha
 2. The other runs are cut out of their texts with all units that their windows touch: contexts.
    Contexts meet by anchor, and there the operator compares what they really hold
    (``Kind.classes``, ``Kind.windows``): operator 6 by a suffix sort, operator 10 by factors.
-3. Where an anchor has more than ``CROWD`` different contexts, or ``WINDOWS_AT_ONCE`` windows in them,
+3. Where an anchor has more than ``CROWD`` different contexts, or ``CROWD_WINDOWS`` windows in them,
    these go on as single windows that meet by the hash of their contents. A crowded anchor's contexts
    pass through one task as a stream, of which no more is held than those numbers.
 
@@ -38,8 +38,9 @@ SLICE = 4_000_000
 DOCUMENT_BYTES, CONTEXT_BYTES, BATCH_BYTES = 16_000_000, 6_000_000, 3_000_000
 #: Runs that a bucket of anchors holds.
 ANCHOR_ROWS = 500_000
-#: Different contexts of an anchor, and windows in them, beyond which they go on as windows; the latter are also sorted at once.
-CROWD, WINDOWS_AT_ONCE = 20_000, 300_000
+#: Different contexts of an anchor, and windows in them, beyond which they go on as windows: that takes some fifty times
+#: their bytes, so it begins where an anchor's windows are many for one sort. Windows of several anchors that are sorted at once.
+CROWD, CROWD_WINDOWS, WINDOWS_AT_ONCE = 20_000, 1_200_000, 300_000
 
 
 @dataclass(frozen=True)
@@ -464,7 +465,7 @@ def _crowded(c: Contexts, crowd: tuple[int, int]) -> np.ndarray:
     return np.repeat((size > crowd[0]) | ((size > 1) & (np.add.reduceat(c.n, first) > crowd[1])), size)
 
 
-def _meet(kind: Kind, buckets: int, doc_buckets: int, last: bool, crowd: tuple[int, int] = (CROWD, WINDOWS_AT_ONCE)):
+def _meet(kind: Kind, buckets: int, doc_buckets: int, last: bool, crowd: tuple[int, int] = (CROWD, CROWD_WINDOWS)):
     """Contexts to marks (what = 1); those of crowded anchors to single windows (what = 0), unless it is the ``last`` step.
 
     An anchor is crowded once it has more different contexts, or windows in them, than ``crowd`` says. Its contexts go on at once and
@@ -547,7 +548,7 @@ def _buckets(amount: int, each: int, parts: int) -> int:
     return parts * max(1, -(-amount // (each * parts)))
 
 
-def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[int, bytes, np.ndarray], tuple], schema: str, crowd: tuple[int, int] = (CROWD, WINDOWS_AT_ONCE)) -> DataFrame:
+def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[int, bytes, np.ndarray], tuple], schema: str, crowd: tuple[int, int] = (CROWD, CROWD_WINDOWS)) -> DataFrame:
     """(uid, …) for every row of ``docs`` (uid, text): ``finish`` gets uid, text and the marks of what repeats.
 
     finish returns the values of ``schema``, which begins with the uid. crowd: different contexts of an anchor, and windows in

@@ -17,7 +17,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from siltstream.llm.repeats import CROWD, Contexts, Kind, Layout, WINDOWS_AT_ONCE, heads, inner, make_marks, repeated_windows
+from siltstream.llm.repeats import CROWD, CROWD_WINDOWS, Contexts, Kind, Layout, heads, inner, make_marks, repeated_windows
 from siltstream.llm.rows import SPACED, prefix_hash, with_key, with_uid, word_hashes, word_spans
 from siltstream.llm.suffix_sort import sorted_suffixes
 
@@ -138,7 +138,7 @@ def _finish(uid: int, text: bytes, marks: np.ndarray) -> tuple:
     return uid, len(words), removed, hashlib.sha256(b" ".join(kept)).hexdigest(), ";".join(",".join(map(str, f)) for f in found)
 
 
-def remove_repeated_passages(docs: DataFrame, with_factors: bool = False, crowd: tuple[int, int] = (CROWD, WINDOWS_AT_ONCE)) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, with_factors: bool = False, crowd: tuple[int, int] = (CROWD, CROWD_WINDOWS)) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and factors): one row per row of ``docs``.
 
     A word goes if it is in a window of 35 words that also starts anywhere else, its own document

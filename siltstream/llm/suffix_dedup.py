@@ -14,7 +14,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from siltstream.llm.repeats import CROWD, Contexts, Kind, Layout, WINDOWS_AT_ONCE, heads, inner, make_marks, repeated_windows
+from siltstream.llm.repeats import CROWD, CROWD_WINDOWS, Contexts, Kind, Layout, heads, inner, make_marks, repeated_windows
 from siltstream.llm.rows import BYTE, prefix_hash, with_key, with_uid
 from siltstream.llm.suffix_sort import sorted_suffixes
 
@@ -96,7 +96,7 @@ def _finish(uid: int, text: bytes, marks: np.ndarray) -> tuple:
     return uid, len(text), int(gone.sum()), len(starts), hashlib.sha256(kept).hexdigest(), said
 
 
-def remove_repeated_bytes(docs: DataFrame, spans: bool = False, crowd: tuple[int, int] = (CROWD, WINDOWS_AT_ONCE)) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, spans: bool = False, crowd: tuple[int, int] = (CROWD, CROWD_WINDOWS)) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans as "from-to,…"): one row per row of ``docs``.
 
     A byte goes if a string of 100 bytes that covers it also starts earlier: in a smaller doc_id or
