@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from siltstream.functions.net import is_internal
+from siltstream.plans.shared import stage
 
 # How many rows of each kind a session keeps.
 CAPS = {"logins": 500, "commands": 2000, "downloads": 200, "uploads": 200, "tunnels": 200}
@@ -21,6 +22,12 @@ KEYS = {
     "tunnels": ["dst_ip", "dst_port", "orig_ip", "orig_port"],
 }
 
+#: The columns of each child table beside session, place and time.
+ROW = {
+    "logins": ["username", "password", "success"], "commands": ["command"], "downloads": ["url", "sha256"],
+    "uploads": ["filename", "destination", "sha256"], "tunnels": ["dst_ip", "dst_port", "orig_ip", "orig_port"],
+}
+
 
 def _kind(name: str) -> tuple[Column, list[Column]]:
     e = F.col("eventid")
@@ -34,6 +41,15 @@ def _kind(name: str) -> tuple[Column, list[Column]]:
     }[name]
 
 
+def event_rows(events: DataFrame) -> DataFrame:
+    """Events with the ``kind`` of child row that they make, null for none, and the columns of all kinds of child rows (``ROW``)."""
+    kinds = {n: _kind(n) for n in CAPS}
+    own = F.coalesce(*[F.when(where, n) for n, (where, _) in kinds.items()])
+    named = {n: dict(zip(ROW[n], columns, strict=True)) for n, (_, columns) in kinds.items()}
+    values = {c: F.coalesce(*[F.when(own == n, x[c]) for n, x in named.items() if c in x]) for c in dict.fromkeys(c for x in named.values() for c in x)}
+    return events.select("*", own.alias("kind"), *[v.alias(f"row_{c}") for c, v in values.items()])
+
+
 def summarise_sessions(events: DataFrame) -> DataFrame:
     """One row per session: the first address and time that are there; the last version, key and end in order of arrival, null or not."""
     first = lambda x: F.min_by(x, F.when(F.col(x).isNotNull(), F.col("ord")))
@@ -93,6 +109,16 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return counted.agg(*[F.count_if(F.col("kind") == n).alias(f"n_{n}") for n in CAPS])
 
 
+def pending_slice(pending: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """(the ``limit`` oldest pending sessions, whether there are more): what one run maps.
+
+    One row more than the slice is asked for, so whether there are more costs no count; both come from one sorted read.
+    """
+    oldest = stage(pending.orderBy(F.col("start_time").asc_nulls_first(), "id").limit(limit + 1), "pending")
+    more = oldest.count() > limit
+    return oldest.orderBy(F.col("start_time").asc_nulls_first(), "id").limit(limit), more
+
+
 def pending_sessions(sessions: DataFrame, counts: DataFrame, state: DataFrame, version: str, limit: int | None = None) -> DataFrame:
     """Sessions that are new or have changed since ``state`` (session_id, version, n_*), oldest first."""
     names = [f"n_{n}" for n in CAPS]

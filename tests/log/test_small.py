@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from siltstream.operators.sessions import pending_slice
 from siltstream.functions import text
 from siltstream.operators import enrich, reports
 from siltstream.operators import rules as R
@@ -57,3 +58,11 @@ def test_upsert_intel(spark):
 def test_flatten_abuse(spark):
     df = spark.createDataFrame([("a", '{"data": {"abuseConfidenceScore": 87}}'), ("b", "{"), ("c", '{"data": {}}')], "ip string, payload string")
     assert {r.ip: r.score for r in enrich.flatten_abuse(df).collect()} == {"a": 87, "b": None, "c": None}
+
+
+def test_pending_slice(spark):
+    """The oldest first, null times before all, and whether there are more."""
+    pending = spark.createDataFrame([("c", 3), ("a", 1), ("b", 1), ("z", None)], "id string, start_time int")
+    for limit, ids, more in [(2, ["z", "a"], True), (4, ["z", "a", "b", "c"], False), (9, ["z", "a", "b", "c"], False)]:
+        rows, has_more = pending_slice(pending, limit)
+        assert [r.id for r in rows.collect()] == ids and has_more is more

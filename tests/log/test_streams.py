@@ -4,7 +4,9 @@ import datetime as dt
 import json
 import random
 from pathlib import Path
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from siltstream.operators.totals import running_total
 from siltstream.streaming.bursts import STATE_STORE, exact_bursts
 from siltstream.streaming.buckets import Buckets, Part
 from siltstream.streaming.groups import Groups, regroup
+from siltstream.streaming.live import FIELDS, LiveSessions, live_sessions, pieces as spilled_pieces, spill_stream
 from siltstream.streaming.mapped import MappedLog, map_stream
 
 SOME = R.RULES[::6]  # what is tested here is which sessions are mapped
@@ -247,3 +250,138 @@ def test_exact_bursts_equal_batch(spark, tmp_path, split):
     live = rows(spark.read.parquet(f"{tmp_path}/out"), *names)
     assert len(live) > 25 and live == rows(batch, *names)
     assert left <= 5  # of the last event's source only
+
+
+EVENT = "session string, eventid string, ts timestamp, src_ip string, username string, password string, input string, url string, shasum string, filename string, destfile string, dst_ip string, dst_port int, orig_ip string, orig_port int, version string, hassh string, duration_ms long, ord long"
+SESSION = ["id", "src_ip", "start_time", "end_time", "duration_ms", "client_version", "hassh", "internal"]
+
+
+def event(session, second, kind, ord, **more):
+    ts = None if second is None else dt.datetime(2026, 10, 5, 7, 0, 0) + dt.timedelta(seconds=second)
+    row = {"session": session, "eventid": f"cowrie.{kind}", "ts": ts, "src_ip": "203.0.113.7", "ord": ord, **more}
+    return tuple(row.get(c.split()[0]) for c in EVENT.split(", "))
+
+
+def live_batches(seed):
+    """Sessions whose events are spread over four batches and out of order, and one event long after all of them."""
+    r = random.Random(seed)
+    events = []
+    for k in range(25):
+        name, at = f"s{k:02d}", k * 7
+        own = [("session.connect", {}), ("client.version", {"version": r.choice(["SSH-2.0-Go", None])}), ("client.kex", {"hassh": f"{k:032x}"})]
+        own += [("login.failed", {"username": "root", "password": r.choice(["a", "b", None])}) for _ in range(r.randint(0, 6))]
+        own += [("command.input", {"input": r.choice(["id", "uname -a", None, ""])}) for _ in range(r.randint(0, 5))]
+        own += [("session.file_download", {"url": r.choice(["http://e.example/x", ""]), "shasum": f"{k:064x}"}), ("session.file_upload", {"filename": None, "destfile": "/tmp/x"}), ("direct-tcpip.request", {"dst_ip": "192.0.2.1", "dst_port": r.choice([80, None])})]
+        own += [("session.closed", {"duration_ms": 1234})] if k % 3 else []
+        own = [(None if r.random() < 0.05 else at + r.randint(0, 3), kind, {**more, "src_ip": r.choice([None, "203.0.113.9"])}) for kind, more in own]
+        events += [(r.random(), name, *e) for e in own] + [(r.random(), name, *own[-1])]
+    events.sort(key=lambda e: e[0])
+    rows_ = [event(s, sec, kind, i, **more) for i, (_, s, sec, kind, more) in enumerate(events)]
+    size = -(-len(rows_) // 4)
+    return [rows_[i : i + size] for i in range(0, len(rows_), size)], event("last", 10**6, "session.connect", 10**6)
+
+
+def run_live(spark, batches, tmp_path, sink, **options):
+    for i, part in enumerate(batches):
+        spark.createDataFrame(part, EVENT).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        q = sink(stream, options)
+        q.awaitTermination()
+        return [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in q.recentProgress]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_live_sessions_equal_batch(spark, tmp_path):
+    """Pieces over several batches: the tables are those of all events at once, and state ends with the sessions."""
+    batches, last = live_batches(5)
+    def sink(stream, options):
+        out = live_sessions(stream, order=("ord",), **options)
+        return out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+
+    held = run_live(spark, [*batches, [last]], tmp_path, sink, delay="2 hours")
+    live = spilled_pieces(spark.read.parquet(f"{tmp_path}/out"))
+    whole = S.store_events(spark.createDataFrame([e for b in batches for e in b], EVENT))
+    assert rows(live["sessions"], *SESSION) == rows(whole["sessions"], *SESSION)
+    for n in S.CAPS:
+        names = ["session_id", "ts", *S.ROW[n]]
+        assert rows(live[n], *names) == rows(whole[n], *names) and live[n].count() > 0
+        order = lambda t: [tuple(x) for x in t.orderBy("session_id", "ord").select("session_id", *S.ROW[n]).collect()]  # noqa: B023, E731
+        assert order(live[n]) == order(whole[n])
+    assert max(held) >= 2 * 25 and held[-1] <= 2  # a row and a list each; then the last event's session only
+
+
+def test_live_sessions_late_pieces(spark, tmp_path):
+    """Events that come after their session was spilled are one more piece of it; merged, nothing is lost or doubled."""
+    batches, last = live_batches(8)
+    log = MappedLog(spark, f"file://{tmp_path}/store", R.catalog(spark), SOME, buckets=4)
+    # the first of these moves the watermark, in the batch of the second what is held is spilled; all that follows is late
+    far = [[event("far", 5 * 10**5 + i, "session.connect", 5 * 10**5 + i)] for i in range(2)]
+    late = [*batches[:2], *far, *batches[2:], [last]]
+    run_live(spark, late, tmp_path, lambda stream, options: spill_stream(spark, stream, log, f"{tmp_path}/check", order=("ord",), **options), delay="1 hour")
+    parts = [[e for b in batches[:2] for e in b], [e for b in batches[2:] for e in b]]
+    whole = S.store_events(spark.createDataFrame(parts[0] + parts[1], EVENT))
+    for n in S.CAPS:
+        names = ["session_id", "ts", *S.KEYS[n]]
+        assert rows(log.read(n), *names) == rows(whole[n], *names)
+    two = [S.summarise_sessions(spark.createDataFrame(p, EVENT)) for p in parts]
+    merged = S.merge_sessions(*two)
+    own = log.read("sessions").where("id not in ('far', 'last')")
+    assert rows(own, "id", "src_ip", "start_time", "end_time") == rows(merged, "id", "src_ip", "start_time", "end_time")
+
+
+class Held:
+    """State of one key in memory, as the processor sees it."""
+
+    def __init__(self):
+        self.value, self.items, self.timers = None, [], set()
+
+    def getValueState(self, *_):
+        return self
+
+    getListState = getValueState
+
+    def exists(self):
+        return self.value is not None or bool(self.items)
+
+    def get(self):
+        return self.items or self.value
+
+    def update(self, value):
+        self.value = value
+
+    def appendList(self, items):
+        self.items += items
+
+    def clear(self):
+        self.value, self.items = None, []
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_live_sessions_cap(spark):
+    """A session beyond its caps keeps the rows that arrived first; its state holds no more than those, and one timer."""
+    n = S.CAPS["downloads"] + 50
+    events = [event("a", i % 50, "session.file_download", n - i, url=f"http://e.example/{i}", shasum="x") for i in range(n)]
+    own, listed = Held(), Held()
+    live = LiveSessions(60, 3600, 1)
+    live.handle, live.own, live.rows = own, own, listed
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    frame = S.event_rows(spark.createDataFrame(events, EVENT)).withColumns({"us": F.unix_micros("ts").cast("string"), "o0": F.col("ord")}).toPandas()
+    for part in (frame[100:], frame[:100]):  # places within a batch tell the order, whatever order rows are handed in
+        assert list(live.handleInputRows(("a",), iter([part]), clock)) == []
+    assert len(listed.items) == S.CAPS["downloads"] and len(own.timers) == 1
+    out = pd.concat(live.handleExpiredTimer(("a",), clock, None))
+    arrived = [*reversed(range(100, n)), *reversed(range(100))][: S.CAPS["downloads"]]
+    assert list(out.row_url[1:]) == [f"http://e.example/{i}" for i in arrived]
+    assert not own.exists() and not listed.exists()
+
+
+def test_live_fields():
+    assert set(FIELDS) == {c for columns in S.ROW.values() for c in columns}
