@@ -12,6 +12,7 @@ from siltstream.functions.net import in_networks, ip_key, is_internal, is_public
 from siltstream.functions.text import printable
 from siltstream.functions.urls import is_common_host, url_host, valid_url
 from siltstream.operators.campaigns import EMPTY_SHA256
+from siltstream.plans.shared import small
 
 # Activity levels with their confidences, and limits.
 LEVELS = ["contact", "guessing", "access", "hands-on", "action"]
@@ -79,7 +80,8 @@ def address_indicators(flags: DataFrame, fetches: DataFrame, matches: DataFrame,
     else:
         kept = listed
     level = F.when(F.col("act"), 4).when(F.col("hands"), 3).when(F.col("access"), 2).when(F.col("failed") >= GUESSING, 1).otherwise(0)
-    kept = kept.withColumn("n", level).where(F.col("n") >= LEVELS.index(filters.min_level))
+    levelled = kept.withColumn("n", level)
+    kept = levelled.where(F.col("n") >= LEVELS.index(filters.min_level))
     # first ever: over all time, internal or not
     first = flags.where("start_time is not null").join(names, F.col("src_ip") == F.col("raw")).groupBy(F.col("ip").alias("_a")).agg(F.min("start_time").alias("first_seen"))
     g = geo.join(_addresses(geo, "ip").withColumnRenamed("ip", "_b"), F.col("ip") == F.col("raw")).groupBy("_b").agg(F.first("country_code", True).alias("country"), F.first("asn", True).alias("asn"), F.first("as_org", True).alias("as_org"))
@@ -90,7 +92,9 @@ def address_indicators(flags: DataFrame, fetches: DataFrame, matches: DataFrame,
     sure = F.least(base + F.when(F.col("abuse_score") >= ABUSE, MORE).otherwise(0), F.lit(MOST))
     kind = F.when(F.col("ip").contains(":"), "ipv6").otherwise("ipv4")
     out = out.withColumns({"type": kind, "value": F.col("ip"), "level": F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.col("n") + 1), "confidence": sure, "techniques": F.coalesce("techniques", F.array().cast("array<string>"))})
-    counts = [per.where(~F.col("public")).select(F.lit("non_public").alias("reason"))]
+    junk = _window(flags, now, filters.days).where("src_ip is not null").select("src_ip").distinct().where(normalise_ip(F.col("src_ip")).isNull())
+    low = levelled.where(F.col("n") < LEVELS.index(filters.min_level))
+    counts = [d.select(F.lit(reason).alias("reason")) for reason, d in (("invalid", junk), ("non_public", per.where(~F.col("public"))), ("below_level", low))]
     if filters.exclude:
         counts.append(in_networks(listed, "ip", network_table(spark, list(filters.exclude))).select(F.lit("excluded").alias("reason")))
     return _shaped(out), reduce(DataFrame.unionByName, counts)
@@ -128,7 +132,7 @@ def url_indicators(tables: dict[str, DataFrame], fetches: DataFrame, now: Column
     own = is_internal(F.col("address"))
     if filters.exclude:
         inside = in_networks(per.where("address is not null").select("address").distinct(), "address", network_table(spark, list(filters.exclude))).select(F.col("address").alias("_x"))
-        per = per.join(F.broadcast(inside), F.col("address") == F.col("_x"), "left")
+        per = per.join(small(inside), F.col("address") == F.col("_x"), "left")
         own = own | F.col("_x").isNotNull()
     reason = F.when(~valid_url(F.col("url")), "invalid").when(is_common_host(F.col("host")), "common").when(own, "excluded").when(F.col("attempted") & (F.col("sources") < filters.min_sources), "unverified")
     per = per.withColumn("reason", reason)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -205,21 +206,55 @@ def session_page(flags: DataFrame, matches: DataFrame, geo: DataFrame, intel: Da
 
 
 # Rows that a session's detail shows of each kind.
-SHOWN = {"logins": 100, "commands": 500, "downloads": 100, "uploads": 100, "tunnels": 100}
+SHOWN = {"logins": 100, "commands": 500, "downloads": 100, "uploads": 100, "tunnels": 100, "fetches": 100}
 
 
-def session_detail(tables: dict[str, DataFrame], matches: DataFrame, verdicts: DataFrame, session: str) -> dict[str, DataFrame]:
-    """What is stored of one session: bounded child tables in order, files with verdicts, commands with techniques."""
-    out = {n: tables[n].where(F.col("session_id") == session).orderBy("ord").limit(k) for n, k in SHOWN.items()}
-    used = matches.where((F.col("session_id") == session) & F.col("ord").isNotNull()).groupBy(F.col("ord").alias("_o")).agg(F.array_sort(F.collect_set("technique")).alias("techniques"))
-    out["commands"] = out["commands"].join(used, F.col("ord") == F.col("_o"), "left").drop("_o").orderBy("ord")
-    v = verdicts.where("provider = 'virustotal'").select(F.col("sha256").alias("_h"), "malicious", "engines", "label")
+def detail_totals(tables: dict[str, DataFrame], fetches: DataFrame) -> DataFrame:
+    """(session_id, kind, total, shown): how many rows of a kind a session has, and how many of them its detail shows (L6). Kinds without rows are left out."""
+    ones = [d.select("session_id", F.lit(n).alias("kind")) for n, d in {**{n: tables[n] for n in SHOWN if n != "fetches"}, "fetches": fetches}.items()]
+    n = reduce(DataFrame.unionByName, ones).groupBy("session_id", "kind").agg(F.count(F.lit(1)).alias("total"))
+    most = F.create_map(*[F.lit(x) for pair in SHOWN.items() for x in pair])
+    return n.withColumn("shown", F.least("total", F.element_at(most, F.col("kind")).cast("long")))
+
+
+def session_detail(tables: dict[str, DataFrame], fetches: DataFrame, matches: DataFrame, verdicts: DataFrame, session: str) -> dict[str, DataFrame]:
+    """What is stored of one session: bounded child tables in order of time, files with verdicts, commands with what matched in them.
+
+    ``session`` is the session's own row, ``totals`` counts all rows of each kind, ``matches`` are those of the session as a whole. Each table is
+    filtered by the id before anything else, so only one session is sorted and joined.
+    """
+    own = {n: d.where(F.col("session_id") == session) for n, d in {**tables, "fetches": fetches, "matches": matches}.items() if n != "sessions"}
+    out = {"session": tables["sessions"].where(F.col("id") == session), "totals": detail_totals(own, own["fetches"]).drop("session_id").orderBy("kind")}
+    place = lambda n: ["ts", "url"] if n == "fetches" else ["ts", "ord"]
+    out |= {n: own[n].orderBy(*place(n)).limit(k) for n, k in SHOWN.items()}
+    said = F.struct("technique", "rule", "confidence", "evidence", "tactics")
+    found = own["matches"].where("ord is not null").groupBy(F.col("ord").alias("_o")).agg(F.array_sort(F.collect_list(said)).alias("matches"))
+    out["commands"] = out["commands"].join(found, F.col("ord") == F.col("_o"), "left").drop("_o").orderBy(*place("commands"))
+    out["matches"] = own["matches"].where("ord is null").select(said.alias("m")).select("m.*").orderBy("technique", "rule")
+    v = verdicts.where("provider = 'virustotal'").select(F.col("sha256").alias("_h"), F.col("found").alias("known"), "malicious", "engines", "label")
     for n in ("downloads", "uploads"):
-        out[n] = out[n].join(v, F.lower("sha256") == F.col("_h"), "left").drop("_h").orderBy("ord")
-    out["counts"] = tables["sessions"].where(F.col("id") == session)
+        out[n] = out[n].join(v, F.lower("sha256") == F.col("_h"), "left").drop("_h").orderBy(*place(n))
     return out
 
 
+def newest_sessions(tables: dict[str, DataFrame], geo: DataFrame, intel: DataFrame, limit: int = 20) -> DataFrame:
+    """The ``limit`` newest sessions, internal ones too, with numbers of logins and commands, country and reputation (L2).
+
+    They are found first; logins and commands are then read by their ids and counted before the join, so nothing multiplies.
+    """
+    newest = F.broadcast(tables["sessions"].orderBy(F.desc_nulls_last("start_time"), "id").limit(limit).select("id", "src_ip", "start_time"))  # at most limit rows
+    n = lambda t: tables[t].join(newest.select("id"), F.col("session_id") == F.col("id"), "left_semi").groupBy(F.col("session_id").alias(f"_{t}")).agg(F.count(F.lit(1)).alias(t))
+    out = newest
+    for t in ("logins", "commands"):
+        out = out.join(n(t), F.col("id") == F.col(f"_{t}"), "left")
+    ips = newest.select(F.col("src_ip").alias("_ip")).distinct()
+    place = geo.join(ips, F.col("ip") == F.col("_ip"), "left_semi").groupBy(F.col("ip").alias("_g")).agg(F.first("country_code", True).alias("country"))
+    known = intel.join(ips, F.col("ip") == F.col("_ip"), "left_semi").groupBy(F.col("ip").alias("_i")).agg(F.max(F.when(F.col("provider") == "abuseipdb", F.col("score"))).alias("abuse"), F.bool_or(F.when(F.col("provider") == "tor", F.col("flagged"))).alias("tor"))
+    out = out.join(place, F.col("src_ip") == F.col("_g"), "left").join(known, F.col("src_ip") == F.col("_i"), "left")
+    zero = [F.coalesce(t, F.lit(0)).alias(t) for t in ("logins", "commands")]
+    return out.select("id", "src_ip", "start_time", *zero, "country", "abuse", "tor").orderBy(F.desc_nulls_last("start_time"), "id")
+
+
 def metrics(tables: dict[str, DataFrame], campaigns: DataFrame) -> DataFrame:
     """(name, value) lines of a snapshot."""
     t = totals(tables).crossJoin(F.broadcast(campaigns.agg(F.count(F.lit(1)).alias("campaigns"))))

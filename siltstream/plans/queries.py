@@ -386,6 +386,18 @@ def session_page(log):
     return P.session_page(log.flags, log.matches, log.geo, log.intel, page=2, prefix="1", technique="T1105").rows
 
 
+@query(over(CTE, """SELECT s.id, s.src_ip, s.start_time, (SELECT count(*) FROM logins l WHERE l.session_id = s.id) AS logins, (SELECT count(*) FROM commands c WHERE c.session_id = s.id) AS commands, country_code AS country, a.score AS abuse, t.flagged AS tor
+ FROM sessions s LEFT JOIN ip_geo g ON g.ip = s.src_ip LEFT JOIN abuse a ON a.ip = s.src_ip LEFT JOIN tor t ON t.ip = s.src_ip ORDER BY s.start_time DESC NULLS LAST, s.id LIMIT 20"""))
+def newest_sessions(log):
+    return P.newest_sessions(log.tables, log.geo, log.intel)
+
+
+@query(over(MATCHES, """, k AS (SELECT session_id, 'logins' AS kind FROM logins UNION ALL SELECT session_id, 'commands' FROM commands UNION ALL SELECT session_id, 'downloads' FROM downloads UNION ALL SELECT session_id, 'uploads' FROM uploads UNION ALL SELECT session_id, 'tunnels' FROM tunnels UNION ALL SELECT session_id, 'fetches' FROM fetches)
+ SELECT session_id, kind, count(*) AS total, least(count(*), CASE WHEN kind = 'commands' THEN 500 ELSE 100 END) AS shown FROM k GROUP BY 1, 2"""))
+def session_detail_totals(log):
+    return P.detail_totals(log.tables, log.fetches)
+
+
 @query(over(CTE, "SELECT id, src_ip FROM real WHERE src_ip IS NULL OR src_ip NOT IN (SELECT ip FROM ip_geo)"))
 def sessions_from_unknown(log):
     return P.from_country(P.real(log.sessions), log.geo, "unknown").select("id", "src_ip")
@@ -518,6 +530,20 @@ def url_indicators(log):
     return I.url_indicators(log.tables, log.fetches, now(), I.Filters())[0].select("value", "first_seen", "last_seen", "sessions", "confidence", "attempted")
 
 
+_DAYS = f"TIMESTAMP '{NOW}' - INTERVAL 2 DAY"
+
+
+@query(over(MATCHES, f"""{_URLS.replace(_SINCE, _DAYS)}, w AS (SELECT f.*, id IN (SELECT session_id FROM fetches) AS typed FROM flags f WHERE NOT internal AND start_time >= {_DAYS} AND src_ip IS NOT NULL),
+ p AS (SELECT src_ip, {_IPV4_BAD} AS bad, regexp_matches(src_ip, '^4[0-7]\\.') AS own, bool_or(accepted > 0 AND (moved > 0 OR typed)) AS enough FROM w GROUP BY 1),
+ y AS (SELECT *, regexp_matches(url, '^[a-z]+://(4[0-7]\\.[0-9]+|203\\.0)\\.[0-9]+\\.[0-9]+[:/]') AS own FROM z)
+ SELECT reason, count(*) AS n FROM (SELECT CASE WHEN bad THEN 'non_public' WHEN own THEN 'excluded' WHEN NOT enough THEN 'below_level' END AS reason FROM p UNION ALL SELECT CASE WHEN own THEN 'excluded' WHEN attempted AND sources < 3 THEN 'unverified' END FROM y) WHERE reason IS NOT NULL GROUP BY 1"""))
+def indicator_rejects(log):
+    """Why addresses, files and URLs of two days are not listed: networks of the operator's own, too little activity, too few sources."""
+    log.store()
+    filters = I.Filters(days=2, min_level="action", exclude=("40.0.0.0/5", "203.0.0.0/16"))
+    return I.collect_indicators(log.tables, log.flags, log.fetches, log.matches, log.geo, log.intel, log.verdicts, now(), filters)[1]
+
+
 #: SQL of the indicators of each kind, as the queries above compare it.
 _FOUND = {"ip": ORACLES["address_indicators"], "file": ORACLES["file_indicators"], "url": ORACLES["url_indicators"]}
 

@@ -18,6 +18,7 @@ from siltstream.operators.graph import connected_components
 from siltstream.sources import sinks
 from siltstream.sources.log import read_alerts, read_events, read_exit_list
 from siltstream.streaming.jobs import Store, ingest_stream
+from siltstream.operators import reports as P
 
 BASE = {"src_ip": "203.0.113.7"}
 
@@ -149,6 +150,9 @@ def test_indicators(spark):
     out = {r.value: (r.level, r.confidence, r.sessions, r.country, r.tor) for r in found.collect()}
     assert out == {"11.22.33.44": ("guessing", 55, 2, "AU", True), "11.22.33.45": ("access", 55, 1, None, None), "11.22.33.46": ("hands-on", 70, 1, None, None), "11.22.33.47": ("action", 85, 1, None, None)}
     assert sorted(r.reason for r in rejected.collect()) == ["excluded", "non_public"]
+    junk = flags.unionByName(flags.where("id = 's1'").withColumns({"id": F.lit("s8"), "src_ip": F.lit("999.1.1.1")}))
+    _, rejected = I.address_indicators(junk, none, none, geo, intel, now, I.Filters(min_level="hands-on"))
+    assert sorted(r.reason for r in rejected.collect()) == ["below_level"] * 3 + ["invalid", "non_public"]
     assert [r.value for r in sinks.blocklist(found).collect()][0] == "11.22.33.44"
     fire = [r.value for r in sinks.nftables(found, now, 30).collect()]
     assert fire[0].startswith("add table") and "11.22.33.44 timeout 2505600s" in " ".join(fire)
@@ -202,3 +206,42 @@ def test_frequency_alerts_by_counting(spark):
     assert {w[2] for w in want} == {"short", "minute", "days"}
     assert sorted(tuple(r) for r in got.select("src_ip", "ord", "alert", "n").collect()) == sorted(want)
     assert D.frequency_alerts(events.limit(0), spark.createDataFrame([], "input string")).count() == 0
+
+
+def test_session_detail(spark):
+    """More logins than are shown: totals count all; files have verdicts, commands their matches, in order of time."""
+    at = lambda s: dt.datetime(2026, 10, 5, 7, 0, 0) + dt.timedelta(seconds=s)
+    make = lambda data, schema: spark.createDataFrame(data, f"session_id string, ord long, ts timestamp, {schema}")
+    tables = {
+        "sessions": spark.createDataFrame([("a", "203.0.113.7", at(0)), ("b", None, None)], "id string, src_ip string, start_time timestamp"),
+        "logins": make([("a", i, at(200 - i), "root", str(i), False) for i in range(130)] + [("b", 1, None, "x", "y", True)], "username string, password string, success boolean"),
+        "commands": make([("a", 500, at(9), "id"), ("a", 501, at(8), "uname -a"), ("b", 502, at(8), "id")], "command string"),
+        "downloads": make([("a", 600, at(1), "http://e.example/x", "AB" * 32), ("a", 601, None, "http://e.example/y", None)], "url string, sha256 string"),
+        "uploads": make([], "filename string, sha256 string"), "tunnels": make([], "dst_ip string"),
+    }
+    fetches = spark.createDataFrame([("a", "http://e.example/z", "curl", at(3))], "session_id string, url string, tool string, ts timestamp")
+    hit = lambda s, ord, rule: (s, ord, rule, "T1", "low", "e", "t")
+    matches = spark.createDataFrame([hit("a", 500, "r2"), hit("a", 500, "r1"), hit("a", None, "login-guessing"), hit("b", 500, "r3")], "session_id string, ord long, rule string, technique string, confidence string, evidence string, tactics string")
+    verdicts = spark.createDataFrame([("ab" * 32, "virustotal", True, 7, 70, "bad"), ("ab" * 32, "other", True, 1, 1, "x")], "sha256 string, provider string, found boolean, malicious int, engines int, label string")
+    out = {n: d.collect() for n, d in P.session_detail(tables, fetches, matches, verdicts, "a").items()}
+    assert {(r.kind, r.total, r.shown) for r in out["totals"]} == {("logins", 130, 100), ("commands", 2, 2), ("downloads", 2, 2), ("fetches", 1, 1)}
+    assert [r.password for r in out["logins"]] == [str(i) for i in range(129, 29, -1)]
+    assert [(r.command, [m.rule for m in r.matches or []]) for r in out["commands"]] == [("uname -a", []), ("id", ["r1", "r2"])]
+    assert [(r.url[-1], r.known, r.malicious) for r in out["downloads"]] == [("y", None, None), ("x", True, 7)]
+    assert [r.rule for r in out["matches"]] == ["login-guessing"] and [r.id for r in out["session"]] == ["a"] and out["uploads"] == []
+    nothing = P.session_detail(tables, fetches, matches, verdicts, "none")
+    assert all(d.count() == 0 for d in nothing.values())
+
+
+def test_newest_sessions(spark):
+    """Counts don't multiply, a missing start comes last, ties go by id."""
+    at = dt.datetime(2026, 10, 5)
+    tables = {
+        "sessions": spark.createDataFrame([("a", "11.0.0.1", at, True), ("c", None, at, False), ("b", "11.0.0.2", None, False), ("d", "11.0.0.1", at + dt.timedelta(1), False)], "id string, src_ip string, start_time timestamp, internal boolean"),
+        "logins": spark.createDataFrame([("a",)] * 3 + [("d",)] * 2, "session_id string"), "commands": spark.createDataFrame([("a",)] * 4, "session_id string"),
+    }
+    geo = spark.createDataFrame([("11.0.0.1", "AU")], "ip string, country_code string")
+    intel = spark.createDataFrame([("11.0.0.1", "abuseipdb", 5, None), ("11.0.0.1", "tor", None, True)], "ip string, provider string, score int, flagged boolean")
+    out = [tuple(r) for r in P.newest_sessions(tables, geo, intel, 3).drop("src_ip", "start_time").collect()]
+    assert out == [("d", 2, 0, "AU", 5, True), ("a", 3, 4, "AU", 5, True), ("c", 0, 0, None, None, None)]
+    assert [r.id for r in P.newest_sessions(tables, geo, intel, 9).collect()] == ["d", "a", "c", "b"]
