@@ -40,6 +40,7 @@ def parse_ts(text: Column) -> Column:
 
 def normalise_command(command: Column) -> Column:
     """The shape of a command: addresses, hex, random names and numbers replaced, in this order."""
+    # What is replaced, in which order.
     steps = [
         (r"(?U)\b(?:https?|ftp|tftp)://\S+", "<url>"),
         (r"(?U)\b\d{1,3}(?:\.\d{1,3}){3}\b", "<ip>"),

@@ -35,6 +35,7 @@ SHARED_HOSTING = [
 ]
 # Names that resolve to whatever address they contain.
 WILDCARD_DNS = ["nip.io", "sslip.io", "xip.io", "lvh.me", "localtest.me", "traefik.me"]
+# Suffixes of names that no one else can reach.
 LOCAL_SUFFIXES = [".localhost", ".local", ".internal", ".localdomain"]
 
 _URL = r"^(?i)(https?|ftp|tftp)://(?:[^/?#@]*@)?(\[[0-9a-fA-F:.]+\]|[^/?#:@\[\]]+)(?::([0-9]*))?([^?#]*)"
@@ -75,6 +76,7 @@ def is_shared_hosting(host: Column) -> Column:
 def usable_host(host: Column) -> Column:
     """A canonical address, or a DNS name of two labels or more with a real top-level domain that isn't wildcard DNS."""
     h = F.lower(F.regexp_replace(host, r"\.+$", ""))
+    # Fixed value: the form of labels and of a top-level domain.
     labels = h.rlike(r"^([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+([a-z]{2,24}|xn--[a-z0-9-]{2,59})$")
     wild = F.exists(suffixes(h), lambda s: s.isin(WILDCARD_DNS))
     return F.coalesce((F.length(host) > 0) & (F.length(host) <= 253) & (canonical_ip(h).isNotNull() | labels & ~wild), F.lit(False))

@@ -15,11 +15,13 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 24_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) a temporary one is made.
+    A temporary one is made only where the cluster names none and is this machine alone (tests, a laptop); elsewhere that is an error.
     """
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not told:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-silt-"))
         told = sc.getCheckpointDir()
     return told.rstrip("/")

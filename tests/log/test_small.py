@@ -1,14 +1,16 @@
 """Small functions that no registered query shows."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from siltstream.operators.sessions import pending_slice
 from siltstream.functions import text
 from siltstream.operators import enrich, reports
 from siltstream.operators import rules as R
+from siltstream.operators.sessions import pending_slice
+from siltstream.plans.shared import shared_dir
 
 
 def test_rule_problems(spark):
@@ -66,3 +68,10 @@ def test_pending_slice(spark):
     for limit, ids, more in [(2, ["z", "a"], True), (4, ["z", "a", "b", "c"], False), (9, ["z", "a", "b", "c"], False)]:
         rows, has_more = pending_slice(pending, limit)
         assert [r.id for r in rows.collect()] == ids and has_more is more
+
+
+def test_shared_folder():
+    """A cluster that names no shared folder is an error, not a folder of one machine."""
+    context = SimpleNamespace(getConf=dict, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context))
