@@ -1,4 +1,4 @@
-"""Distinct counts of any window from sketches of its days (A3)."""
+"""Distinct counts of any window, exact from the days' values or estimated from sketches of its days (A3)."""
 
 from __future__ import annotations
 
@@ -31,3 +31,28 @@ def window_totals(sketches: DataFrame, last: dt.date, days: list[int]) -> DataFr
     own = sketches.select("*", spans).where((F.col("day") > F.date_sub(F.lit(last), F.col("days"))) & (F.col("day") <= F.lit(last)))
     estimate = lambda c: F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).alias(c)
     return own.groupBy("days").agg(F.sum("sessions").alias("sessions"), estimate("sources"), estimate("files"))
+
+
+def daily_values(tables: dict[str, DataFrame]) -> DataFrame:
+    """(day, kind, value, sessions): each address (``source``) and hash (``file``) of a day's real sessions once, and their number in a row of kind ``session``."""
+    s = tables["sessions"].where(~F.col("internal")).select("id", F.to_date("start_time").alias("day"), "src_ip")
+    both = tables["downloads"].select("session_id", "sha256").unionByName(tables["uploads"].select("session_id", "sha256"))
+    files = both.join(s.select("id", "day"), F.col("session_id") == F.col("id"))
+    values = s.select("day", F.lit("source").alias("kind"), F.col("src_ip").alias("value")).unionByName(files.select("day", F.lit("file").alias("kind"), F.col("sha256").alias("value")))
+    values = values.where("value is not null").distinct().withColumn("sessions", F.lit(0).cast("long"))
+    number = s.groupBy("day").agg(F.count(F.lit(1)).alias("sessions")).select("day", F.lit("session").alias("kind"), F.lit(None).cast("string").alias("value"), "sessions")
+    return number.unionByName(values)
+
+
+def exact_window_totals(values: DataFrame, last: dt.date, days: list[int]) -> DataFrame:
+    """(days, sessions, sources, files): as ``window_totals``, exact, from the days' values.
+
+    All windows end at ``last``, so a value is in those that reach its latest day: it is counted by that day alone, and no set is held.
+    """
+    spans = F.explode(F.array(*[F.lit(d) for d in days])).alias("days")
+    seen = values.where(F.col("day") <= F.lit(last))
+    latest = seen.where("kind <> 'session'").groupBy("kind", "value").agg(F.max("day").alias("day")).groupBy("day", "kind").agg(F.count(F.lit(1)).alias("n"))
+    number = seen.where("kind = 'session'").select("day", "kind", F.col("sessions").alias("n"))
+    own = latest.unionByName(number).select("*", spans).where(F.col("day") > F.date_sub(F.lit(last), F.col("days")))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(f"{kind}s")
+    return own.groupBy("days").agg(of("session"), of("source"), of("file"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstream.operators import dated, retention
-from siltstream.operators.sketches import daily_sketches, window_totals
+from siltstream.operators.sketches import daily_sketches, daily_values, exact_window_totals, window_totals
 
 START = dt.datetime(2026, 3, 1)
 
@@ -78,3 +78,15 @@ def test_window_totals(spark, tables):
     none = spark.createDataFrame([], "session_id string, sha256 string")
     r = window_totals(daily_sketches({"sessions": many, "downloads": none, "uploads": none}), dt.date(2026, 3, 9), [9]).first()
     assert r.sessions == 200_000 and abs(r.sources - 120_000) < 3 * 0.0082 * 120_000 and r.files == 0
+
+
+def test_exact_window_totals(spark):
+    """Exact where sketches only estimate; nulls, days outside of the windows and internal sessions don't count, a window of one value has its zeros."""
+    many = spark.range(60_000).select(F.concat(F.lit("s"), "id").alias("id"), (F.col("id") % 10 == 9).alias("internal"), F.expr("timestamp_ntz'2026-03-01 00:00:00' + make_dt_interval(id % 9)").alias("start_time"), F.when(F.col("id") % 7 > 0, (F.col("id") % 40_000).cast("string")).alias("src_ip"))
+    files = many.where("start_time < timestamp_ntz'2026-03-09 00:00:00'").select(F.col("id").alias("session_id"), F.expr("cast(substring(id, 2) % 25000 as string)").alias("sha256"))
+    tables = {"sessions": many, "downloads": files, "uploads": files.limit(0)}
+    rows = [(i, i % 9, i % 40_000 if i % 7 else None, i % 25_000 if i % 9 < 8 else None) for i in range(60_000) if i % 10 != 9]
+    got = {r.days: tuple(r) for r in exact_window_totals(daily_values(tables), dt.date(2026, 3, 9), [1, 3, 30]).collect()}
+    for days in (1, 3, 30):
+        own = [r for r in rows if r[1] > 8 - days]
+        assert got[days] == (days, len(own), len({r[2] for r in own} - {None}), len({r[3] for r in own} - {None}))
