@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstream.llm.rows import blocks, mix, prefix_hash, span_hash
-from siltstream.plans.shared import stage
+from siltstream.plans.shared import drop, put, scratch
 
 #: Bits of a place among ``SLICE`` units, below the hash bits that choose the anchor.
 PLACE = np.uint64((1 << 24) - 1)
@@ -560,7 +560,8 @@ def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[int, bytes,
     doc_buckets = _buckets(size, DOCUMENT_BYTES, parts)
     anchor_buckets = _buckets(size * 2 // (kind.window - kind.gram), ANCHOR_ROWS, parts)
     dealt = lambda d: d.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    save = lambda d, name: stage(d, name, "uncompressed")
+    paths = {name: scratch(spark, name) for name in ("anchors", "runs", "contexts", "met", "apart")}
+    save = lambda d, name: put(d, paths[name], "uncompressed", tidy=True)
 
     found = save(docs.select("uid", "text").mapInArrow(_find(kind, anchor_buckets, doc_buckets), BLOB), "anchors")
     twice = save(dealt(found.where("what = 0")).mapInArrow(_twice(kind, doc_buckets), BLOB), "runs")
@@ -570,6 +571,8 @@ def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[int, bytes,
 
     texts = packed_texts(docs, doc_buckets)
     cut_out = save(_together(candidates, texts, parts).mapInArrow(_cut_out(kind, buckets, doc_buckets), BLOB), "contexts")
+    for done in ("anchors", "runs"):  # nothing reads them any more
+        drop(spark, paths[done])
     met = save(dealt(cut_out.where("what = 0")).mapInArrow(_meet(kind, buckets, doc_buckets, False, crowd), BLOB), "met")
     apart = save(dealt(met.where("what = 0")).mapInArrow(_meet(kind, buckets, doc_buckets, True), BLOB), "apart")
     marks = cut_out.unionByName(met).unionByName(apart)
