@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstream.llm.rows import blocks, mix, with_key, with_uid
-from siltstream.llm.tokens import both_ids, bytes_of, pieces_of
+from siltstream.llm.tokens import both_ids, bytes_of, forget, part_memo, pieces_of
 from siltstream.plans.shared import stage
 
-#: Pairs of a document and a linked pair that make up a block; links of a group that are listed one by one.
-BLOCK, FEW = 1_000_000, 1_000
+#: Pairs of a document and a linked pair that make up a block; links of a group that are listed one by one; bytes of text aligned at once.
+BLOCK, FEW, TEXT = 1_000_000, 1_000, 1_000_000
 
 
 class Groups(NamedTuple):
@@ -165,14 +165,14 @@ def align_block(ids_a: Sequence[np.ndarray], ids_b: Sequence[np.ndarray], a: str
     return out
 
 
-#: A document's row: its place in the block's list of pairs, and times; a block's own row (uid null): pairs, documents.
-STAGED = "block bigint, uid bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, pairs array<bigint>, times array<bigint>"
+#: A document's row: places in the block's list of pairs, and times; a block's own row (uid null): pairs, documents.
+STAGED = "block bigint, uid bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, place array<int>, pairs array<bigint>, times array<bigint>"
 _COUNTS = ("n_a", "n_b", "n_groups")
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
+def _lists(parts: list[np.ndarray], kind: pa.DataType | None = None) -> pa.Array:
     off = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), kind or pa.int64()))
 
 
 def _block(number: int, docs: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -184,24 +184,25 @@ def _block(number: int, docs: list[tuple]) -> Iterator[pa.RecordBatch]:
         some = docs[at : at + 2000]
         own = np.split(place, size)[at : at + len(some)]
         head = [pa.array([number] * len(some), pa.int64()), *[pa.array([d[i] for d in some], t) for i, t in enumerate([pa.int64()] * 4 + [pa.string()])]]
-        yield pa.RecordBatch.from_arrays([*head, _lists(own), _lists([d[6] for d in some])], [c.split()[0] for c in STAGED.split(", ")])
-    head = [pa.array([number], pa.int64()), *[pa.array([None], pa.int64())] * 4, pa.array([None], pa.string())]
+        yield pa.RecordBatch.from_arrays([*head, _lists(own, pa.int32()), pa.nulls(len(some), pa.list_(pa.int64())), _lists([d[6] for d in some])], [c.split()[0] for c in STAGED.split(", ")])
+    head = [pa.array([number], pa.int64()), *[pa.array([None], pa.int64())] * 4, pa.array([None], pa.string()), pa.nulls(1, pa.list_(pa.int32()))]
     yield pa.RecordBatch.from_arrays([*head, _lists([pairs]), _lists([held])], [c.split()[0] for c in STAGED.split(", ")])
 
 
 def _align(a: str, b: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, docs = TaskContext.get().partitionId() << 32, 0, []
-        for rows, _, _ in blocks(batches):
+        for rows, _, _ in blocks(batches, limit=TEXT):
             ids_a, ids_b = zip(*both_ids(a, b, rows.column("text").to_pylist()), strict=True)
             for uid, x, y, found in zip(rows.column("uid").to_pylist(), ids_a, ids_b, align_block(ids_a, ids_b, a, b), strict=True):
                 docs.append((uid, len(x), len(y), *found))
-                held += len(found[2])
+                held += len(found[2]) + 1
             if held >= most:
                 yield from _block(number, docs)
                 number, held, docs = number + 1, 0, []
         if docs:
             yield from _block(number, docs)
+        part_memo.cache_clear()  # a worker that waits for another task holds no memo
 
     return run
 
@@ -209,23 +210,22 @@ def _align(a: str, b: str, most: int):
 FOUND = "uid bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each block after the block's counts (2 * count + 1 where it is its A id's highest)."""
-    value = np.zeros(0, np.int64)
-    for batch in batches:
-        out = []
-        pairs, times = batch.column("pairs"), batch.column("times")
-        for i, (uid, *plain) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("uid", *_COUNTS, "groups_sha256")], strict=True)):
-            own = pairs[i].values.to_numpy()
-            if uid is None:
-                value = own
-                continue
-            n = times[i].values.to_numpy()
-            v = value[own]
-            out.append((uid, *plain[:3], int(n.sum()), int((n * (v & 1)).sum()), int((n * (v >> 1)).sum()), plain[3]))
-        if out:
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:-1]] + [pa.array(columns[-1], pa.string())], [c.split()[0] for c in FOUND.split(", ")])
+def _finish(rows: pa.Table) -> pa.Table:
+    """The documents of a block, from them and the block's counts (2 * count + 1 where it is its A id's highest)."""
+    forget()  # a worker that has tokenised before goes on here
+    uids = rows.column("uid").to_pylist()
+    place, pairs, times = (rows.column(c).combine_chunks() for c in ("place", "pairs", "times"))
+    head = uids.index(None) if None in uids else -1  # a block without links has none
+    value = pairs[head].values.to_numpy() if head >= 0 else np.zeros(0, np.int64)
+    out = []
+    for i, (uid, *plain) in enumerate(zip(uids, *[rows.column(c).to_pylist() for c in (*_COUNTS, "groups_sha256")], strict=True)):
+        if i == head:
+            continue
+        v, n = value[place[i].values.to_numpy()], times[i].values.to_numpy()
+        out.append((uid, *plain[:3], int(n.sum()), int((n * (v & 1)).sum()), int((n * (v >> 1)).sum()), plain[3]))
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    columns = list(zip(*out, strict=True)) or [()] * len(names)
+    return pa.table([pa.array(c, pa.int64()) for c in columns[:-1]] + [pa.array(columns[-1], pa.string())], names)
 
 
 def pair_counts(staged: DataFrame) -> DataFrame:
@@ -251,8 +251,7 @@ def align_documents(docs: DataFrame, a: str, b: str, block: int = BLOCK) -> Data
     own = staged.where("uid is null").select("block", F.posexplode("pairs").alias("place", "pair"))
     valued = own.join(pair_counts(staged), "pair").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("v"))
     head = valued.select("block", F.lit(None).cast("long").alias("uid"), F.col("v.value").alias("pairs"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a block without links (texts without tokens only) needs no counts
+    # a block without links (texts without tokens only) needs no counts; a task holds one block at a time, of BLOCK links and one block of texts
     both = staged.where("uid is not null").unionByName(head, allowMissingColumns=True)
-    dealt = both.repartition(parts, "block").sortWithinPartitions("block", F.col("uid").asc_nulls_first())
-    return with_key(dealt.mapInArrow(_finish, FOUND), texts, same).select("doc_id", *[c.split()[0] for c in FOUND.split(", ")][1:])
+    found = both.groupBy("block").applyInArrow(_finish, FOUND)
+    return with_key(found, texts, same).select("doc_id", *[c.split()[0] for c in FOUND.split(", ")][1:])

@@ -4,8 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from siltstream.llm import alignment, tokens
 from siltstream.llm.alignment import align_documents
 from siltstream.llm.conversations import A, START, U, cheapest, repair_conversations, repair_damaged
 from siltstream.llm.packing import Windows, pack
@@ -183,3 +186,16 @@ def test_search_takes_the_least_of_equal_audits():
         found = cheapest(rows, START, {q: 5 * n for q, n in enumerate((0, 2, 1, 0))})
         assert found[0] == cost and audit.startswith(found[1]) and set(audit[len(found[1]) :]) <= {"I"}
     assert cheapest([], U, {A: 0}) is None
+
+
+def test_alignment_bounded(spark):
+    """Documents without links fill a block too, and the last step keeps no tokenizer of the first."""
+    df = spark.range(0, 25_000, 1, 1).select("id", F.lit(None).cast("string").alias("text"))
+    staged = df.withColumnRenamed("id", "uid").mapInArrow(alignment._align(BYTE, PIECE, 50), alignment.STAGED)
+    held = [r["count"] for r in staged.where("uid is not null").groupBy("block").count().collect()]
+    assert sum(held) == 25_000 and max(held) <= 10_000  # one batch of rows
+    tokens.both_ids(BYTE, PIECE, ["some words"])
+    own = pa.table([pa.array(x, t) for x, t in (([7], pa.int64()), ([3], pa.int64()), ([1], pa.int64()), ([1], pa.int64()), ([1], pa.int64()), (["h"], pa.string()), ([[0]], pa.list_(pa.int32())), ([None], pa.list_(pa.int64())), ([[2]], pa.list_(pa.int64())))], [c.split()[0] for c in alignment.STAGED.split(", ")])
+    value = pa.table([pa.array(x, f.type) for x, f in zip(([7], [None], [None], [None], [None], [None], [None], [[9]], [None]), own.schema, strict=True)], own.schema.names)
+    assert alignment._finish(pa.concat_tables([own, value])).to_pylist() == [{"uid": 3, "n_a": 1, "n_b": 1, "n_groups": 1, "n_links": 2, "n_best": 2, "count_sum": 8, "groups_sha256": "h"}]
+    assert tokens.part_memo.cache_info().currsize == tokens.library.cache_info().currsize == 0
