@@ -245,3 +245,25 @@ def test_newest_sessions(spark):
     out = [tuple(r) for r in P.newest_sessions(tables, geo, intel, 3).drop("src_ip", "start_time").collect()]
     assert out == [("d", 2, 0, "AU", 5, True), ("a", 3, 4, "AU", 5, True), ("c", 0, 0, None, None, None)]
     assert [r.id for r in P.newest_sessions(tables, geo, intel, 9).collect()] == ["d", "a", "c", "b"]
+
+
+def test_linked_sessions(spark, monkeypatch):
+    """Components over strong keys first are those over all links, and the graph of strong keys has no node for each session."""
+    r = random.Random(3)
+    keys = [(f"file:{i}", 5.0) for i in range(14)] + [(f"login:{i}", 1.5 if i % 2 else 4.0) for i in range(40)] + [("login:all", 1.5)]
+    own = {(f"s{i:03}", *k) for i in range(150) for k in r.sample(keys, r.randint(0, 3))} | {(f"s{i:03}", "login:all", 1.5) for i in range(150)}
+    df = spark.createDataFrame(sorted(own), "session_id string, key string, weight double")
+    order = spark.createDataFrame([(f"s{i:03}", i) for i in range(150)], "id string, label int")
+    groups = lambda found: {frozenset(x.n) for x in found.groupBy("root").agg(F.collect_list("node").alias("n")).collect()}
+    assert groups(C.linked_sessions(df)) == groups(connected_components(C.link_edges(df, order)))
+    strong = df.where("weight = 5")
+    assert len(groups(C.linked_sessions(strong))) > 0 and groups(C.linked_sessions(strong)) == groups(connected_components(C.link_edges(strong, order)))
+    sizes, plain = [], connected_components
+
+    def counted(edges, *names):
+        sizes.append(edges.count())
+        return plain(edges, *names)
+
+    monkeypatch.setattr(C, "connected_components", counted)
+    two = spark.createDataFrame([(f"s{i}", k, 5.0) for i in range(300) for k in ("file:a", "file:b")], "session_id string, key string, weight double")
+    assert C.linked_sessions(two).groupBy("root").count().collect()[0]["count"] == 300 and sizes == [1]  # of sessions, not keys, there are 299 links
