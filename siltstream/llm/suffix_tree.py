@@ -1,20 +1,22 @@
 """Language-model scores from a probabilistic suffix tree over words (operator 3).
 
-States are contexts of up to ``DEPTH`` words. A context is a candidate if it makes up at least
-``CONTEXT`` of the training tokens; it is retained if its next-word counts diverge from its longest
-retained suffix's distribution by more log-likelihood than their description costs. Of a state's next
-words those that make up at least ``TRANSITION`` of all tokens have their own probabilities, smoothed
-towards the suffix's; the rest share what is left in the suffix's proportions, so every
-distribution sums to 1. A word is scored by the longest retained suffix of what stands before it.
-
-The shares are the method's own parameters (a context is worth a state only if its empirical
-probability reaches a least one), so they mean the same at every size, and they bound the model: at most 1 / CONTEXT contexts a level, 1 / SYMBOL words
-that contexts tell apart, 1 / TRANSITION transitions a level and 1 / HEAD word counts that tasks hold.
-Counts of all words, rare ones too, stay in a table and are joined with the rare words of texts.
+States are contexts of up to ``DEPTH`` words. Every context of the training texts is a candidate; it is retained
+if its next-word counts diverge from its longest retained suffix's distribution by more log-likelihood than
+their description costs. All next words of a state have their own probabilities, smoothed towards the suffix's; what is
+left goes to the others in the suffix's proportions, so every distribution sums to 1: the probability of a
+word with count n after a state with count c is (n + PRIOR * p) / (c + PRIOR), where p is the suffix's. A word is scored
+by the longest retained suffix of what stands before it.
+
+The model has no least share and no cap. Tokens are dealt so that what is counted meets: by the first of their grams (the word,
+then with ever more of its context) of which the count is unknown, and then by the first context that isn't common. Contexts,
+next words and words above the ``HOT_`` shares and ``HEAD`` are counted beforehand and broadcast, as one task should not hold all of
+theirs; the shares bound what is broadcast and change no result. The words before a token choose its slice, and slices are taken one
+after the other, so that only one slice's tokens lie on disk.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator
 
@@ -23,16 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstream.llm.rows import LOWER, SPACED, blocks, mix, with_key, with_uid, word_hashes, word_spans
-from siltstream.plans.shared import stage
+from siltstream.llm.rows import BASE, LOWER, SPACED, blocks, mix, with_key, with_uid, word_hashes, word_spans
+from siltstream.plans.shared import drop, put, scratch, stage
 
 DEPTH = 3
-CONTEXT, SYMBOL, TRANSITION, HEAD = 5e-5, 5e-6, 1e-6, 5e-7
+#: The model's least shares of contexts, words that contexts tell apart, and transitions: none.
+CONTEXT = SYMBOL = TRANSITION = 0.0
+#: Shares of training tokens from which on counts are broadcast.
+HOT_CONTEXT, HOT_SYMBOL, HOT_TRANSITION, HEAD = 5e-5, 5e-6, 1e-6, 5e-7
 #: Pseudo-tokens with which a state's suffix smooths it.
 PRIOR = 20.0
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 #: Distinct counts that a task gathers before it passes them on.
 GATHER = 2_000_000
+#: Tokens of a bucket, which one task handles at once; those from which on there is another slice, and slices at most.
+BUCKET, SLICE, SLICES = 700_000, 8_000_000, 4
 
 
 def _tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,14 +88,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Tree:
-    """The retained states. Symbols are numbered by hash; -1 is any other word, state -1 the root."""
+    """Common contexts with the counts that are known of them, and their states. Symbols are numbered by hash; -1 is any other word, state -1 the root."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
         order = np.argsort(hashes)
         self.total, self.distinct = total, distinct
         self.head, self.head_count = hashes[order], counts[order]
         self.floor = total + 0.5 * (distinct + 1)
-        frequent = self.head_count >= SYMBOL * total
+        frequent = self.head_count >= HOT_SYMBOL * total
         #: Of each head word its symbol, or -1.
         self.symbol = np.where(frequent, np.cumsum(frequent) - 1, -1)
         self.symbols = int(frequent.sum())
@@ -97,6 +104,10 @@ class Tree:
         #: Of each level: sorted keys of its contexts (first symbol, number of the rest), and their states.
         self.keys: list[np.ndarray] = []
         self.states: list[np.ndarray] = []
+        #: Of each level: counts of its contexts, the number of each one's rest in the level above, and counts of transitions by context * symbols + symbol.
+        self.counts: list[np.ndarray] = []
+        self.rest: list[np.ndarray] = []
+        self.listed: list[tuple[np.ndarray, np.ndarray]] = []
         self.parent, self.beta = np.zeros(0, np.int64), np.zeros(0)
         self.edges, self.edge_p = np.zeros(0, np.int64), np.zeros(0)
 
@@ -108,24 +119,53 @@ class Tree:
         place = np.where(self.head[at] == tokens, at, -1)
         return place, np.where(place >= 0, self.symbol[place], -1)
 
-    def contexts(self, symbol: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
-        """For each level, the number of the context before each token, or -1. inside: words before it in its text."""
-        out, before = [], np.zeros(len(symbol), np.int64)
+    def contexts(self, symbol: np.ndarray, inside: np.ndarray, at: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each level, the number of the context before each token (only those at ``at``), or -1. inside: words before it in its text."""
+        at = np.arange(len(symbol)) if at is None else at
+        out, before = [], np.zeros(len(at), np.int64)
         size = 1
         for level, keys in enumerate(self.keys, 1):
-            left = np.full(len(symbol), -1, np.int64)
-            left[level:] = symbol[:-level]
-            ok = (inside >= level) & (left >= 0) & (before >= 0)
+            left = symbol[at - level]
+            ok = (inside[at] >= level) & (left >= 0) & (before >= 0)
             if not len(keys):
-                before = np.full(len(symbol), -1)
+                before = np.full(len(at), -1)
             else:
                 key = left * size + before
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                before = np.where(ok & (keys[at] == key), at, -1)
+                where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                before = np.where(ok & (keys[where] == key), where, -1)
             out.append(before)
             size = max(1, len(keys))
         return out
 
+    def known(self, level: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Counts of the transitions that are listed, else -1."""
+        keys, n = self.listed[level - 1]
+        if not len(keys):
+            return np.full(len(context), -1)
+        key = context * self.symbols + symbol
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where((context >= 0) & (symbol >= 0) & (keys[at] == key), n[at], -1)
+
+    def up(self, context: np.ndarray, depth: np.ndarray, level: int) -> np.ndarray:
+        """Of contexts numbered in their own level (depth), their suffixes' numbers in ``level``; depth is at least that."""
+        context = context.astype(np.int64)
+        for above in range(len(self.rest), level, -1):
+            own = depth >= above
+            context[own] = self.rest[above - 1][context[own]]
+        return context
+
+    def stateless(self) -> Tree:
+        """A copy without states and head, to be grown."""
+        out = copy.copy(self)
+        out.states, out.parent, out.beta = [], np.zeros(0, np.int64), np.zeros(0)
+        out.edges, out.edge_p = np.zeros(0, np.int64), np.zeros(0)
+        out.head = out.head_count = out.symbol = None
+        return out
+
+    def smoothed(self, level: int, context: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """P(word | longest retained suffix) of words with counts n after contexts of a level that has its states; p is that of their suffixes."""
+        return np.where(self.states[level - 1][context] >= 0, (n + PRIOR * p) / (self.counts[level - 1][context] + PRIOR), p)
+
     def prob(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """P(symbol | state) of frequent symbols."""
         out = self.root[symbol].copy()
@@ -139,21 +179,25 @@ class Tree:
             out[miss] = self.beta[state[miss]] * self.prob(self.parent[state[miss]], symbol[miss])
         return out
 
-    def grow(self, keys: np.ndarray, counts: np.ndarray, suffix: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> None:
-        """Add a level: its contexts' keys, counts and longest retained suffixes, and the transitions (context, symbol, n)."""
-        have = np.bincount(context, minlength=len(keys))
+    def grow(self, keys: np.ndarray, counts: np.ndarray, suffix: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, others: np.ndarray | None = None) -> None:
+        """Add a level: its contexts' keys, counts and longest retained suffixes, and the transitions (context, symbol, n).
+
+        others: of each context the sums over transitions not among these: how many, n, n * log(n / (count * p)) and p.
+        """
+        more, more_n, more_gain, more_p = np.zeros((4, len(keys))) if others is None else others
+        have = np.bincount(context, minlength=len(keys)) + more
         p = self.prob(suffix[context], symbol)
         sums = lambda x: np.bincount(context, x, minlength=len(keys))
-        rest, rest_p = counts - sums(n), np.maximum(1 - sums(p), 1e-12)
-        gain = sums(n * np.log(n / (counts[context] * p)))
+        rest, rest_p = counts - sums(n) - more_n, np.maximum(1 - sums(p) - more_p, 1e-12)
+        gain = sums(n * np.log(n / (counts[context] * p))) + more_gain
         gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / (counts * rest_p)), 0)
-        kept = gain > have * math.log(self.symbols + 1) + 0.5 * np.log(np.maximum(counts, 1))
+        kept = gain > have * math.log(self.distinct + 1) + 0.5 * np.log(np.maximum(counts, 1))
         state = np.where(kept, len(self.parent) + np.cumsum(kept) - 1, -1)
         own = kept[context]
         context, symbol, n, p = context[own], symbol[own], n[own], p[own]
         smooth = (n + PRIOR * p) / (counts[context] + PRIOR)
-        left = np.maximum(1 - np.bincount(context, smooth, minlength=len(keys)), 1e-12)
-        beta = left / np.maximum(1 - np.bincount(context, p, minlength=len(keys)), 1e-12)
+        left = np.maximum(1 - np.bincount(context, smooth, minlength=len(keys)) - (more_n + PRIOR * more_p) / (counts + PRIOR), 1e-12)
+        beta = left / np.maximum(1 - np.bincount(context, p, minlength=len(keys)) - more_p, 1e-12)
         key = state[context] * self.symbols + symbol
         edges, edge_p = np.concatenate((self.edges, key)), np.concatenate((self.edge_p, smooth))
         order = np.argsort(edges)
@@ -162,28 +206,6 @@ class Tree:
         self.beta = np.concatenate((self.beta, beta[kept]))
         self.states.append(state)
 
-    def score(self, tokens: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token its head place, log10 of the base and of the tree; for words outside the head without the root's factor."""
-        place, symbol = self.look_up(tokens)
-        inside = np.arange(len(tokens)) - np.repeat(edge[:-1], np.diff(edge))
-        log = np.zeros(len(tokens))
-        open_ = np.ones(len(tokens), bool)
-        levels = self.contexts(symbol, inside)
-        for context, state in reversed(list(zip(levels, self.states, strict=True))):
-            at = np.flatnonzero(open_ & (context >= 0))
-            own = state[context[at]]
-            at, own = at[own >= 0], own[own >= 0]
-            if not len(at):
-                continue
-            key = own * self.symbols + symbol[at]
-            where = np.minimum(np.searchsorted(self.edges, key), max(len(self.edges) - 1, 0))
-            hit = (symbol[at] >= 0) & ((self.edges[where] == key) if len(self.edges) else False)
-            log[at[hit]] += np.log10(self.edge_p[where[hit]])
-            open_[at[hit]] = False
-            log[at[~hit]] += np.log10(self.beta[own[~hit]])
-        base = np.where(place >= 0, np.log10((self.head_count[place] + 0.5) / self.floor) if len(self.head) else 0.0, 0.0)
-        return place, base, log + np.where(open_, base, 0.0)
-
 
 def _count_level(shared):
     """(context * symbols + symbol) of the deepest level, with counts."""
@@ -205,20 +227,19 @@ def _count_level(shared):
     return run
 
 
-def learn(texts: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree and the table (k, n) of all word counts, from training rows (text)."""
+def common(texts: DataFrame) -> tuple[Tree, DataFrame]:
+    """Common contexts with their counts, and the table (k, n) of all word counts, from training rows (text)."""
     spark = texts.sparkSession
     words = stage(texts.mapInArrow(_count_words, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")), "words", "uncompressed")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     head = words.where(F.col("n") >= HEAD * total).toPandas()
     tree = Tree(head["k"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64), int(total), int(distinct))
-    strings = [(s,) for s in np.flatnonzero(tree.symbol_count >= CONTEXT * total).tolist()] if total else []
+    strings = [(s,) for s in np.flatnonzero(tree.symbol_count >= HOT_CONTEXT * total).tolist()] if total else []
     end = int(tree.look_up(np.array([END]))[1][0])
     strings = [s for s in strings if s != (end,)]
     number: dict[tuple[int, ...], int] = {(): 0}
-    retained: dict[tuple[int, ...], int] = {(): -1}
     counts = {s: int(tree.symbol_count[s[0]]) for s in strings}
-    for level in range(1, DEPTH + 1):
+    for _ in range(DEPTH):
         strings = [s for s in strings if s[1:] in number]
         if not strings:
             break
@@ -227,79 +248,277 @@ def learn(texts: DataFrame) -> tuple[Tree, DataFrame]:
         order = np.argsort(key)
         strings = [strings[i] for i in order]
         tree.keys.append(key[order])
+        tree.rest.append(key[order] % size)
+        tree.counts.append(np.array([counts[s] for s in strings], np.float64))
         shared = spark.sparkContext.broadcast(tree)
-        found = texts.mapInArrow(_count_level(shared), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= TRANSITION * total).toPandas()
+        found = texts.mapInArrow(_count_level(shared), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TRANSITION * total).toPandas()
         shared.destroy()
         found = found.sort_values("k")
-        context, symbol = np.divmod(found["k"].to_numpy(np.int64), tree.symbols)
-        n = found["n"].to_numpy(np.float64)
-
-        def longest(s: tuple[int, ...]) -> int:
-            while s and retained.get(s, -1) < 0:
-                s = s[1:]
-            return retained[s]
-
-        suffix = np.array([longest(s[1:]) for s in strings], np.int64)
-        tree.grow(tree.keys[-1], np.array([counts[s] for s in strings], np.float64), suffix, context, symbol, n)
+        tree.listed.append((found["k"].to_numpy(np.int64), found["n"].to_numpy(np.int64)))
+        context, symbol = np.divmod(tree.listed[-1][0], tree.symbols)
+        n = tree.listed[-1][1]
         number = {s: i for i, s in enumerate(strings)}
-        retained |= dict(zip(strings, tree.states[-1].tolist(), strict=True))
-        longer = n >= CONTEXT * total
+        longer = n >= HOT_CONTEXT * total
         counts = {(*strings[c], s): int(k) for c, s, k in zip(context[longer].tolist(), symbol[longer].tolist(), n[longer].tolist(), strict=True) if s != end}
         strings = list(counts)
     return tree, words
 
 
-SCORED = "uid bigint, k bigint, m bigint, n_tokens bigint, n_known bigint, base double, score double"
+# --- tokens dealt to buckets: columns of many tokens make one packed value of a row
 
+PACKED = "kind int, bucket int, n int, data binary"
+TOKENS, WORDS, GRAMS = 0, 1, 2
+COUNTS = [f"n{level}" for level in range(DEPTH + 1)]
+BEFORE = [f"t{level}" for level in range(1, DEPTH + 1)]
+#: depth: levels of common contexts before the token, of which ``context`` numbers the longest; inside: words before it, DEPTH at most; counts are -1 where unknown.
+FIELDS = {
+    TOKENS: {"uid": "i8", "w": "u8", **dict.fromkeys(BEFORE, "u8"), "context": "i4", "train": "u1", "depth": "u1", "inside": "u1", **dict.fromkeys(COUNTS, "i8")},
+    WORDS: {"k": "u8", "n": "i8"},
+    GRAMS: {"level": "u1", "context": "i4", **dict.fromkeys(COUNTS, "i8")},
+}
 
-def _score(shared):
-    """A row for each text, with what the head can tell, and one for each of its other words (m > 0)."""
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix(key) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _chained(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(h * BASE + word)
+
+
+def _pack(kind: int, columns: dict[str, np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket that has some of the tokens."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cut = np.concatenate((np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]))
+    columns = [columns[f].astype(t, copy=False)[order] for f, t in FIELDS[kind].items()]
+    data = [pa.compress(b"".join([c[x:y].tobytes() for c in columns]), codec="zstd", asbytes=True) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(data), kind, np.int32)), pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(data, pa.binary())], ["kind", "bucket", "n", "data"])
+
+
+def _unpack(table: pa.Table | pa.RecordBatch, kind: int) -> dict[str, np.ndarray]:
+    fields = {f: np.dtype(t) for f, t in FIELDS[kind].items()}
+    width = sum(t.itemsize for t in fields.values())
+    parts = {f: [np.zeros(0, t)] for f, t in fields.items()}
+    for k, n, data in zip(table.column("kind").to_pylist(), table.column("n").to_pylist(), table.column("data"), strict=True):
+        if k != kind:
+            continue
+        raw, at = pa.decompress(data.as_buffer(), n * width, codec="zstd"), 0
+        for f, t in fields.items():
+            parts[f].append(np.frombuffer(raw, t, n, at))
+            at += n * t.itemsize
+    return {f: np.concatenate(x) for f, x in parts.items()}
+
+
+def _deal(shared, part: int, slices: int, buckets: int):
+    """The tokens of a slice, dealt by the first gram of which the count is unknown."""
+
+    def dealt(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        t = {f: np.concatenate([h[f] for h in held]) for f in held[0]}
+        key, gram = mix(t["uid"].view(np.uint64)), [t["w"]]
+        for b in BEFORE:
+            gram.append(_chained(gram[-1], t[b]))
+        for level in range(DEPTH, -1, -1):
+            key = np.where((t["depth"] >= level) & (t[f"n{level}"] < 0), gram[level], key)
+        return _pack(TOKENS, t, _bucket(key, buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: Tree = shared.value
+        held, size = [], 0
         for rows, raw, off in blocks(batches):
             tokens, edge = _tokens(raw, off)
-            uid = rows.column("uid").to_numpy(zero_copy_only=False)
-            place, base, score = tree.score(tokens, edge)
-            row = np.repeat(np.arange(len(uid)), np.diff(edge))
-            sums = lambda x, r=row, n=len(uid): np.bincount(r, x, minlength=n)
-            rare = np.flatnonzero(place < 0)
-            order = rare[np.lexsort((tokens[rare], row[rare]))]
-            head = np.ones(len(order), bool)
-            head[1:] = (tokens[order][1:] != tokens[order][:-1]) | (row[order][1:] != row[order][:-1])
-            first = np.flatnonzero(head)
-            m = np.diff(np.concatenate((first, [len(order)])))
-            none, zero = np.zeros(len(first)), np.zeros(len(uid), np.int64)
-            columns = [
-                np.concatenate((uid, uid[row[order[first]]])), np.concatenate((mix(uid.astype(np.int64).view(np.uint64)), tokens[order[first]])).view(np.int64),
-                np.concatenate((zero, m)), np.concatenate((np.diff(edge), none.astype(np.int64))), np.concatenate((sums(place >= 0).astype(np.int64), none.astype(np.int64))),
-                np.concatenate((sums(base), none)), np.concatenate((sums(score), none)),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in SCORED.split(", ")])
+            row = np.repeat(np.arange(rows.num_rows), np.diff(edge))
+            inside = np.minimum(np.arange(len(tokens)) - edge[row], DEPTH)
+            last = np.where(inside > 0, np.roll(tokens, 1), np.uint64(0))
+            at = np.flatnonzero(mix(last) % np.uint64(slices) == part)
+            if not len(at):
+                continue
+            place, symbol = tree.look_up(tokens)
+            row, place, own = row[at], place[at], inside[at]
+            t = {"uid": rows.column("uid").to_numpy(zero_copy_only=False).astype(np.int64)[row], "w": tokens[at], "inside": own.astype(np.uint8)}
+            t["train"] = rows.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)[row]
+            t |= {b: np.where(own >= level, tokens[at - level], np.uint64(0)) for level, b in enumerate(BEFORE, 1)}
+            t |= dict.fromkeys(COUNTS, np.full(len(at), -1))
+            t["n0"] = np.where(place >= 0, tree.head_count[place], -1) if len(tree.head) else t["n0"]
+            t["context"], t["depth"] = np.full(len(at), -1, np.int32), np.zeros(len(at), np.uint8)
+            for level, context in enumerate(tree.contexts(symbol, inside, at), 1):
+                t["context"] = np.where(context >= 0, context, t["context"]).astype(np.int32)
+                t["depth"] = np.where(context >= 0, level, t["depth"]).astype(np.uint8)
+                t[f"n{level}"] = tree.known(level, context, symbol[at])
+            held.append(t)
+            size += len(at)
+            if size > BUCKET:
+                yield dealt(held)
+                held, size = [], 0
+        if held:
+            yield dealt(held)
 
     return run
 
 
+def _deal_words(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                k = batch.column("k").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                yield _pack(WORDS, {"k": k, "n": batch.column("n").to_numpy(zero_copy_only=False)}, _bucket(k, buckets))
+
+    return run
+
+
+def _count_grams(shared, buckets: int):
+    """Fill in the counts that were unknown up to a token's depth, and deal on by the first context that isn't common; and each gram so counted."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tree: Tree = shared.value
+        t, words = _unpack(table, TOKENS), _unpack(table, WORDS)
+        out = []
+        if len(t["w"]):
+            rare = np.flatnonzero(t["n0"] < 0)
+            t["n0"][rare] = 0
+            if len(words["k"]):
+                order = np.argsort(words["k"])
+                k, n = words["k"][order], words["n"][order]
+                at = np.minimum(np.searchsorted(k, t["w"][rare]), len(k) - 1)
+                t["n0"][rare] = np.where(k[at] == t["w"][rare], n[at], 0)
+            gram, grams = t["w"], []
+            for level in range(1, DEPTH + 1):
+                gram = _chained(gram, t[BEFORE[level - 1]])
+                at = np.flatnonzero((t["depth"] >= level) & (t[f"n{level}"] < 0))
+                if len(at):
+                    _, first, where = np.unique(gram[at], return_index=True, return_inverse=True)
+                    n = np.bincount(where, t["train"][at]).astype(np.int64)
+                    t[f"n{level}"][at] = n[where]
+                    first = at[first[n > 0]]
+                    grams.append({"level": np.full(len(first), level), "context": tree.up(t["context"][first], t["depth"][first], level), **{c: t[c][first] for c in COUNTS}})
+            key, context = mix(t["uid"].view(np.uint64)), np.zeros(len(t["w"]), np.uint64)
+            for level, b in enumerate(BEFORE, 1):
+                context = _chained(context, t[b])
+                key = np.where((t["depth"] + 1 == level) & (t["inside"] >= level), context, key)
+            out.append(_pack(TOKENS, t, _bucket(key, buckets)))
+            if grams:
+                grams = {f: np.concatenate([g[f] for g in grams]) for f in FIELDS[GRAMS]}
+                out.append(_pack(GRAMS, grams, np.zeros(len(grams["level"]), np.int64)))
+        return pa.Table.from_batches(out, table.schema)
+
+    return run
+
+
+SUMS = "k bigint, have double, n double, gain double, p double"
+
+
+def _sum_grams(shared, level: int):
+    """Of each common context of the level the sums over transitions that aren't listed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: Tree = shared.value
+        size = len(tree.keys[level - 1])
+        sums, seen = np.zeros((4, size)), False
+        for batch in batches:
+            g = _unpack(batch, GRAMS)
+            own = g["level"] == level
+            g = {f: x[own] for f, x in g.items()}
+            p = (g["n0"] + 0.5) / tree.floor
+            for below in range(1, level):
+                p = tree.smoothed(below, tree.up(g["context"], np.full(len(p), level), below), g[f"n{below}"], p)
+            n, context = g[f"n{level}"], g["context"]
+            for i, x in enumerate((np.ones(len(n)), n, n * np.log(n / (tree.counts[level - 1][context] * p)), p)):
+                sums[i] += np.bincount(context, x, minlength=size)
+            seen |= len(n) > 0
+        if seen:
+            k = np.flatnonzero(sums[0])
+            yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(x[k]) for x in sums)], [f.split()[0] for f in SUMS.split(", ")])
+
+    return run
+
+
+SCORED = "uid bigint, n_tokens bigint, n_known bigint, base double, score double"
+
+
+def _score(shared):
+    """Probabilities of a bucket's tokens, summed by text; contexts that aren't common lie whole in it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tree: Tree = shared.value
+        t = _unpack(table, TOKENS)
+        train, depth, inside = t["train"], t["depth"], t["inside"]
+        base = (t["n0"] + 0.5) / tree.floor
+        p, context = base, np.zeros(len(base), np.uint64)
+        for level, b in enumerate(BEFORE, 1):
+            p = p.copy()
+            context = _chained(context, t[b])
+            hot = np.flatnonzero(depth >= level)
+            if len(hot):
+                p[hot] = tree.smoothed(level, tree.up(t["context"][hot], depth[hot], level), t[f"n{level}"][hot], p[hot])
+            at = np.flatnonzero((depth < level) & (inside >= level))
+            if not len(at):
+                continue
+            learnt = train[at].astype(np.float64)
+            _, where = np.unique(context[at], return_inverse=True)
+            _, gram = np.unique(_chained(context[at], t["w"][at]), return_inverse=True)
+            n = np.bincount(gram, learnt)[gram]
+            c, have = np.bincount(where, learnt), np.rint(np.bincount(where, learnt / np.maximum(n, 1)))
+            gain = np.bincount(where, learnt * (np.log(np.maximum(n, 1)) - np.log(p[at]))) - c * np.log(np.maximum(c, 1))
+            kept = (c > 0) & (gain > have * math.log(tree.distinct + 1) + 0.5 * np.log(np.maximum(c, 1)))
+            p[at] = np.where(kept[where], (n + PRIOR * p[at]) / (c[where] + PRIOR), p[at])
+        uid, row = np.unique(t["uid"], return_inverse=True)
+        sums = lambda x: np.bincount(row, x, minlength=len(uid))
+        n_tokens, n_known = (sums(x).astype(np.int64) for x in (np.ones(len(row)), t["n0"] > 0))
+        return pa.table([uid, n_tokens, n_known, sums(np.log10(base)), sums(np.log10(p))], names=[f.split()[0] for f in SCORED.split(", ")])
+
+    return run
+
+
+def _grown(tree: Tree, grams: DataFrame) -> Tree:
+    """The common contexts' states; grams are those counted in the slice that has them."""
+    sc, tree = grams.sparkSession.sparkContext, tree.stateless()
+    suffix = np.full(len(tree.keys[0]) if tree.keys else 0, -1)
+    for level, keys in enumerate(tree.keys, 1):
+        if level > 1:
+            rest = tree.rest[level - 1]
+            suffix = np.where(tree.states[-1][rest] >= 0, tree.states[-1][rest], suffix[rest])
+        shared = sc.broadcast(tree)
+        found = grams.mapInArrow(_sum_grams(shared, level), SUMS).groupBy("k").agg(*[F.sum(c).alias(c) for c in ("have", "n", "gain", "p")]).toPandas()
+        shared.destroy()
+        others = np.zeros((4, len(keys)))
+        others[:, found["k"].to_numpy(np.int64)] = found[["have", "n", "gain", "p"]].to_numpy(np.float64).T
+        context, symbol = np.divmod(tree.listed[level - 1][0], max(1, tree.symbols))
+        tree.grow(keys, tree.counts[level - 1], suffix, context, symbol, tree.listed[level - 1][1].astype(np.float64), others)
+    return tree
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
 
     Documents of which crc32 of the doc_id as text has the remainder 1 modulo 5 are held out, the others
     are learnt from; a null doc_id counts as empty text. A null text is empty and has its end as its only
     token. Without training documents every token is unknown, and both scores are those of one
-    unknown class. Words are told apart by 64-bit hashes.
+    unknown class. Words and their runs are told apart by 64-bit hashes.
     """
     texts, same = with_uid(docs)
+    spark = texts.sparkSession
+    sc = spark.sparkContext
     held_out = F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(5)) == 1
-    tree, words = learn(texts.where(~held_out).select("text"))
-    shared = texts.sparkSession.sparkContext.broadcast(tree)
-    rows = texts.select("uid", "text").mapInArrow(_score(shared), SCORED)
-    # (k, word) joins the rare words only: a text's own row has m = 0 and a key of its own
-    counts = words.where(F.col("n") < HEAD * tree.total).select(F.col("k").alias("_k"), F.col("n").alias("_n"))
-    joined = rows.join(counts, (F.col("k") == F.col("_k")) & (F.col("m") > 0), "left")
-    rare = F.col("m") * F.log10((F.coalesce("_n", F.lit(0)) + 0.5) / tree.floor)
-    out = joined.groupBy("uid").agg(
-        F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("_n").isNotNull(), F.col("m")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + rare).alias("base_score"), F.sum(F.col("score") + rare).alias("score"),
-    )
+    tree, words = common(texts.where(~held_out).select("text"))
+    # some five bytes a token
+    tokens = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5
+    slices = min(SLICES, 1 + tokens // SLICE)
+    buckets = 1 + tokens // slices // BUCKET
+    rare = words.where(F.col("n") < HEAD * tree.total)
+    shared, parts = sc.broadcast(tree), []
+    plain = sc.broadcast(tree.stateless())
+    for part in range(slices):
+        dealt = texts.select("uid", "text", (~held_out).alias("train")).mapInArrow(_deal(shared, part, slices, buckets), PACKED).unionByName(rare.mapInArrow(_deal_words(buckets), PACKED))
+        path = scratch(spark, "grams")
+        counted = put(dealt.groupBy("bucket").applyInArrow(_count_grams(plain, buckets), PACKED), path, "uncompressed", "kind", tidy=True)
+        states = sc.broadcast(_grown(tree, counted.where(F.col("kind") == GRAMS)))
+        scored = counted.where(F.col("kind") == TOKENS).groupBy("bucket").applyInArrow(_score(states), SCORED).groupBy("uid")
+        parts.append(put(scored.agg(*[F.sum(f.split()[0]).alias(f.split()[0]) for f in SCORED.split(", ")[1:]]), scratch(spark, "scores"), tidy=True))
+        states.destroy()
+        drop(spark, path)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.groupBy("uid").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     out = with_key(out, texts, same).withColumn("train_tokens", F.lit(tree.total).cast("long")).withColumn("held_out", held_out)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

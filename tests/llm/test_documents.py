@@ -236,6 +236,35 @@ def test_tree_scores(spark, docs, texts):
     assert sum(x.score for x in out) > sum(x.base_score for x in out) + 100
 
 
+def test_tree_has_no_least_share(spark):
+    """Contexts and next words that are a smaller part of the corpus than any share have their states and probabilities too."""
+    r = random.Random(8)
+    rare = [f"r{i}" for i in range(4000)]
+    rows = [(i, " ".join(r.choice("abcdefghij") for _ in range(300))) for i in range(250)]
+    # each rare word follows another one, twice in the corpus, and is a next word of common ones once
+    rows += [(1000 + i, " ".join(f"{r.choice('abc')} {a} {b}" for a, b in zip(rare[4 * i : 4 * i + 4], reversed(rare[4 * i : 4 * i + 4]), strict=True))) for i in range(1000) for _ in range(2)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    expected, states = brute.tree_scores(rows, 3, 0, 0, 0, 20.0)
+    assert states > 1000
+    out = {x.doc_id: x.score for x in score_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert all(out[d] == pytest.approx(score, rel=1e-9) for d, score in expected)
+
+
+@pytest.mark.parametrize("share", [0.002, 0.02, 2.0])
+def test_tree_is_the_same_however_tokens_are_dealt(spark, monkeypatch, texts, docs, share):
+    """Counts broadcast or met in buckets, one slice or several."""
+    from siltstream.llm import suffix_tree as S
+
+    for name, value in {"HOT_CONTEXT": share, "HOT_SYMBOL": share / 2, "HOT_TRANSITION": share / 4, "HEAD": share / 8, "BUCKET": 400, "SLICE": 2000, "SLICES": 2}.items():
+        monkeypatch.setattr(S, name, value)
+    expected, _ = brute.tree_scores(plain(texts), 3, 0, 0, 0, 20.0)
+    out = {x.doc_id: x for x in score_documents(docs).collect()}
+    for d, score in expected:
+        assert out[d].score == pytest.approx(score, rel=1e-9)
+    for a in brute.base_scores(plain(texts)):
+        assert (out[a[0]].n_tokens, out[a[0]].n_known) == a[2:4] and out[a[0]].base_score == pytest.approx(a[5], rel=1e-9)
+
+
 def thue_morse(n):
     """The word of n letters a and b, and its complement: sums over letters times powers of two cannot tell them apart."""
     bits = [i.bit_count() % 2 for i in range(n)]
