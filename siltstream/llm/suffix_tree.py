@@ -39,7 +39,7 @@ END = np.uint64(0x0E4D0E4D0E4D0E4D)
 #: Distinct counts that a task gathers before it passes them on.
 GATHER = 2_000_000
 #: Tokens of a bucket, which one task handles at once; those from which on there is another slice, and slices at most.
-BUCKET, SLICE, SLICES = 700_000, 8_000_000, 4
+BUCKET, SLICE, SLICES = 500_000, 8_000_000, 6
 
 
 def _tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +83,30 @@ def _rows(parts: Iterator[tuple[np.ndarray, np.ndarray]], step: int = 200_000) -
             yield pa.RecordBatch.from_arrays([pa.array(key[at : at + step].view(np.int64)), pa.array(n[at : at + step])], ["k", "n"])
 
 
+STORED = "n int, m int, texts binary, tokens binary"
+
+
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of blocks of texts, so that texts are cut into words once."""
+    for rows, raw, off in blocks(batches):
+        tokens, edge = _tokens(raw, off)
+        uid, train = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "train"))
+        texts = uid.astype(np.int64).tobytes() + np.diff(edge).astype(np.int64).tobytes() + train.astype(np.uint8).tobytes()
+        columns = [pa.array([len(uid)], pa.int32()), pa.array([len(tokens)], pa.int32()), *(pa.array([pa.compress(x, codec="zstd", asbytes=True)], pa.binary()) for x in (texts, tokens.tobytes()))]
+        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in STORED.split(", ")])
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(uid, train, edge, tokens) of each block."""
+    for batch in batches:
+        for n, m, texts, tokens in zip(batch.column("n").to_pylist(), batch.column("m").to_pylist(), batch.column("texts"), batch.column("tokens"), strict=True):
+            raw = pa.decompress(texts.as_buffer(), 17 * n, codec="zstd")
+            edge = np.concatenate(([0], np.cumsum(np.frombuffer(raw, np.int64, n, 8 * n))))
+            yield np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint8, n, 16 * n), edge, np.frombuffer(pa.decompress(tokens.as_buffer(), 8 * m, codec="zstd"), np.uint64, m)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _rows(np.unique(_tokens(raw, off)[0], return_counts=True) for _, raw, off in blocks(batches))
+    yield from _rows(np.unique(tokens[np.repeat(train, np.diff(edge)) > 0], return_counts=True) for _, train, edge, tokens in _stored(batches))
 
 
 class Tree:
@@ -100,7 +122,7 @@ class Tree:
         self.symbol = np.where(frequent, np.cumsum(frequent) - 1, -1)
         self.symbols = int(frequent.sum())
         self.root = (self.head_count[frequent] + 0.5) / self.floor
-        self.symbol_count = self.head_count[frequent]
+        self.symbol_count, self.symbol_hash = self.head_count[frequent], self.head[frequent]
         #: Of each level: sorted keys of its contexts (first symbol, number of the rest), and their states.
         self.keys: list[np.ndarray] = []
         self.states: list[np.ndarray] = []
@@ -119,6 +141,12 @@ class Tree:
         place = np.where(self.head[at] == tokens, at, -1)
         return place, np.where(place >= 0, self.symbol[place], -1)
 
+    def symbols_of(self, tokens: np.ndarray) -> np.ndarray:
+        if not self.symbols:
+            return np.full(len(tokens), -1)
+        at = np.minimum(np.searchsorted(self.symbol_hash, tokens), self.symbols - 1)
+        return np.where(self.symbol_hash[at] == tokens, at, -1)
+
     def contexts(self, symbol: np.ndarray, inside: np.ndarray, at: np.ndarray | None = None) -> list[np.ndarray]:
         """For each level, the number of the context before each token (only those at ``at``), or -1. inside: words before it in its text."""
         at = np.arange(len(symbol)) if at is None else at
@@ -214,12 +242,12 @@ def _count_level(shared):
         tree: Tree = shared.value
 
         def parts():
-            for _, raw, off in blocks(batches):
-                tokens, edge = _tokens(raw, off)
-                _, symbol = tree.look_up(tokens)
+            for _, train, edge, tokens in _stored(batches):
+                symbol = tree.symbols_of(tokens)
                 inside = np.arange(len(tokens)) - np.repeat(edge[:-1], np.diff(edge))
-                context = tree.contexts(symbol, inside)[-1]
-                own = (context >= 0) & (symbol >= 0)
+                at = np.flatnonzero((np.repeat(train, np.diff(edge)) > 0) & (symbol >= 0) & (inside >= len(tree.keys)))
+                context, symbol = tree.contexts(symbol, inside, at)[-1], symbol[at]
+                own = context >= 0
                 yield np.unique(context[own] * tree.symbols + symbol[own], return_counts=True)
 
         yield from _rows(parts())
@@ -228,7 +256,7 @@ def _count_level(shared):
 
 
 def common(texts: DataFrame) -> tuple[Tree, DataFrame]:
-    """Common contexts with their counts, and the table (k, n) of all word counts, from training rows (text)."""
+    """Common contexts with their counts, and the table (k, n) of all word counts, from what ``_store`` has made of the texts."""
     spark = texts.sparkSession
     words = stage(texts.mapInArrow(_count_words, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")), "words", "uncompressed")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -286,6 +314,16 @@ def _chained(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(h * BASE + word)
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key the number of its group, and one member of each group."""
+    order = np.argsort(keys)
+    keys, head = keys[order], np.ones(len(keys), bool)
+    head[1:] = keys[1:] != keys[:-1]
+    where = np.empty(len(keys), np.int64)
+    where[order] = np.cumsum(head) - 1
+    return where, order[head]
+
+
 def _pack(kind: int, columns: dict[str, np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
     """A row for each bucket that has some of the tokens."""
     order = np.argsort(bucket, kind="stable")
@@ -325,18 +363,16 @@ def _deal(shared, part: int, slices: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: Tree = shared.value
         held, size = [], 0
-        for rows, raw, off in blocks(batches):
-            tokens, edge = _tokens(raw, off)
-            row = np.repeat(np.arange(rows.num_rows), np.diff(edge))
+        for uid, train, edge, tokens in _stored(batches):
+            row = np.repeat(np.arange(len(uid)), np.diff(edge))
             inside = np.minimum(np.arange(len(tokens)) - edge[row], DEPTH)
             last = np.where(inside > 0, np.roll(tokens, 1), np.uint64(0))
             at = np.flatnonzero(mix(last) % np.uint64(slices) == part)
             if not len(at):
                 continue
-            place, symbol = tree.look_up(tokens)
-            row, place, own = row[at], place[at], inside[at]
-            t = {"uid": rows.column("uid").to_numpy(zero_copy_only=False).astype(np.int64)[row], "w": tokens[at], "inside": own.astype(np.uint8)}
-            t["train"] = rows.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)[row]
+            symbol, (place, _) = tree.symbols_of(tokens), tree.look_up(tokens[at])
+            row, own = row[at], inside[at]
+            t = {"uid": uid[row], "w": tokens[at], "inside": own.astype(np.uint8), "train": train[row]}
             t |= {b: np.where(own >= level, tokens[at - level], np.uint64(0)) for level, b in enumerate(BEFORE, 1)}
             t |= dict.fromkeys(COUNTS, np.full(len(at), -1))
             t["n0"] = np.where(place >= 0, tree.head_count[place], -1) if len(tree.head) else t["n0"]
@@ -381,15 +417,18 @@ def _count_grams(shared, buckets: int):
                 k, n = words["k"][order], words["n"][order]
                 at = np.minimum(np.searchsorted(k, t["w"][rare]), len(k) - 1)
                 t["n0"][rare] = np.where(k[at] == t["w"][rare], n[at], 0)
-            gram, grams = t["w"], []
+            # lone: no other token has this gram, so none has a longer one
+            gram, grams, lone = t["w"], [], np.zeros(len(t["w"]), bool)
             for level in range(1, DEPTH + 1):
                 gram = _chained(gram, t[BEFORE[level - 1]])
                 at = np.flatnonzero((t["depth"] >= level) & (t[f"n{level}"] < 0))
                 if len(at):
-                    _, first, where = np.unique(gram[at], return_index=True, return_inverse=True)
+                    one, at = at[lone[at]], at[~lone[at]]
+                    where, first = _groups(gram[at])
                     n = np.bincount(where, t["train"][at]).astype(np.int64)
-                    t[f"n{level}"][at] = n[where]
-                    first = at[first[n > 0]]
+                    t[f"n{level}"][at], t[f"n{level}"][one] = n[where], t["train"][one]
+                    lone[at] = np.bincount(where)[where] == 1
+                    first = np.concatenate((at[first[n > 0]], one[t["train"][one] > 0]))
                     grams.append({"level": np.full(len(first), level), "context": tree.up(t["context"][first], t["depth"][first], level), **{c: t[c][first] for c in COUNTS}})
             key, context = mix(t["uid"].view(np.uint64)), np.zeros(len(t["w"]), np.uint64)
             for level, b in enumerate(BEFORE, 1):
@@ -444,6 +483,8 @@ def _score(shared):
         train, depth, inside = t["train"], t["depth"], t["inside"]
         base = (t["n0"] + 0.5) / tree.floor
         p, context = base, np.zeros(len(base), np.uint64)
+        # lone: no other token has this context, so none has a longer one
+        lone = np.zeros(len(base), bool)
         for level, b in enumerate(BEFORE, 1):
             p = p.copy()
             context = _chained(context, t[b])
@@ -451,17 +492,24 @@ def _score(shared):
             if len(hot):
                 p[hot] = tree.smoothed(level, tree.up(t["context"][hot], depth[hot], level), t[f"n{level}"][hot], p[hot])
             at = np.flatnonzero((depth < level) & (inside >= level))
+            many = at[~lone[at]]
+            where, _ = _groups(context[many])
+            lone[many] = np.bincount(where)[where] == 1
+            one = at[lone[at] & (train[at] > 0)]
+            own = -np.log(p[one]) > math.log(tree.distinct + 1)
+            p[one[own]] = (1 + PRIOR * p[one[own]]) / (1 + PRIOR)
+            where, at = where[~lone[many]], many[~lone[many]]
             if not len(at):
                 continue
             learnt = train[at].astype(np.float64)
-            _, where = np.unique(context[at], return_inverse=True)
-            _, gram = np.unique(_chained(context[at], t["w"][at]), return_inverse=True)
+            gram, _ = _groups(_chained(context[at], t["w"][at]))
             n = np.bincount(gram, learnt)[gram]
             c, have = np.bincount(where, learnt), np.rint(np.bincount(where, learnt / np.maximum(n, 1)))
             gain = np.bincount(where, learnt * (np.log(np.maximum(n, 1)) - np.log(p[at]))) - c * np.log(np.maximum(c, 1))
             kept = (c > 0) & (gain > have * math.log(tree.distinct + 1) + 0.5 * np.log(np.maximum(c, 1)))
             p[at] = np.where(kept[where], (n + PRIOR * p[at]) / (c[where] + PRIOR), p[at])
-        uid, row = np.unique(t["uid"], return_inverse=True)
+        row, first = _groups(t["uid"])
+        uid = t["uid"][first]
         sums = lambda x: np.bincount(row, x, minlength=len(uid))
         n_tokens, n_known = (sums(x).astype(np.int64) for x in (np.ones(len(row)), t["n0"] > 0))
         return pa.table([uid, n_tokens, n_known, sums(np.log10(base)), sums(np.log10(p))], names=[f.split()[0] for f in SCORED.split(", ")])
@@ -499,23 +547,25 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     sc = spark.sparkContext
     held_out = F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(5)) == 1
-    tree, words = common(texts.where(~held_out).select("text"))
-    # some five bytes a token
-    tokens = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5
+    path = scratch(spark, "tokens")
+    stored = put(texts.select("uid", "text", held_out.eqNullSafe(False).alias("train")).mapInArrow(_store, STORED), path, "uncompressed")
+    tree, words = common(stored)
+    tokens = stored.agg(F.sum("m")).first()[0] or 0
     slices = min(SLICES, 1 + tokens // SLICE)
     buckets = 1 + tokens // slices // BUCKET
     rare = words.where(F.col("n") < HEAD * tree.total)
     shared, parts = sc.broadcast(tree), []
     plain = sc.broadcast(tree.stateless())
     for part in range(slices):
-        dealt = texts.select("uid", "text", (~held_out).alias("train")).mapInArrow(_deal(shared, part, slices, buckets), PACKED).unionByName(rare.mapInArrow(_deal_words(buckets), PACKED))
-        path = scratch(spark, "grams")
-        counted = put(dealt.groupBy("bucket").applyInArrow(_count_grams(plain, buckets), PACKED), path, "uncompressed", "kind", tidy=True)
+        dealt = stored.mapInArrow(_deal(shared, part, slices, buckets), PACKED).unionByName(rare.mapInArrow(_deal_words(buckets), PACKED))
+        grams = scratch(spark, "grams")
+        counted = put(dealt.groupBy("bucket").applyInArrow(_count_grams(plain, buckets), PACKED), grams, "uncompressed", "kind", tidy=True)
         states = sc.broadcast(_grown(tree, counted.where(F.col("kind") == GRAMS)))
         scored = counted.where(F.col("kind") == TOKENS).groupBy("bucket").applyInArrow(_score(states), SCORED).groupBy("uid")
         parts.append(put(scored.agg(*[F.sum(f.split()[0]).alias(f.split()[0]) for f in SCORED.split(", ")[1:]]), scratch(spark, "scores"), tidy=True))
         states.destroy()
-        drop(spark, path)
+        drop(spark, grams)
+    drop(spark, path)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
