@@ -39,7 +39,7 @@ END = np.uint64(0x0E4D0E4D0E4D0E4D)
 #: Distinct counts that a task gathers before it passes them on.
 GATHER = 2_000_000
 #: Tokens of a bucket, which one task handles at once; those from which on there is another slice, and slices at most.
-BUCKET, SLICE, SLICES = 500_000, 8_000_000, 6
+BUCKET, SLICE, SLICES = 500_000, 8_000_000, 8
 
 
 def _tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,13 +295,15 @@ def common(texts: DataFrame) -> tuple[Tree, DataFrame]:
 # --- tokens dealt to buckets: columns of many tokens make one packed value of a row
 
 PACKED = "kind int, bucket int, n int, data binary"
-TOKENS, WORDS, GRAMS = 0, 1, 2
+LAID = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
+TOKENS, WORDS, GRAMS, SUMMED = 0, 1, 2, 3
 COUNTS = [f"n{level}" for level in range(DEPTH + 1)]
 BEFORE = [f"t{level}" for level in range(1, DEPTH + 1)]
 #: depth: levels of common contexts before the token, of which ``context`` numbers the longest; inside: words before it, DEPTH at most; counts are -1 where unknown.
 FIELDS = {
     TOKENS: {"uid": "i8", "w": "u8", **dict.fromkeys(BEFORE, "u8"), "context": "i4", "train": "u1", "depth": "u1", "inside": "u1", **dict.fromkeys(COUNTS, "i8")},
     WORDS: {"k": "u8", "n": "i8"},
+    SUMMED: {"uid": "i8", "n_tokens": "i4", "n_known": "i4", "base": "f8", "score": "f8"},
     GRAMS: {"level": "u1", "context": "i4", **dict.fromkeys(COUNTS, "i8")},
 }
 
@@ -370,7 +372,11 @@ def _deal(shared, part: int, slices: int, buckets: int):
             at = np.flatnonzero(mix(last) % np.uint64(slices) == part)
             if not len(at):
                 continue
-            symbol, (place, _) = tree.symbols_of(tokens), tree.look_up(tokens[at])
+            near = np.zeros(len(tokens), bool)
+            for level in range(DEPTH + 1):
+                near[at - level] = True
+            symbol, (place, _) = np.full(len(tokens), -1), tree.look_up(tokens[at])
+            symbol[near] = tree.symbols_of(tokens[near])
             row, own = row[at], inside[at]
             t = {"uid": uid[row], "w": tokens[at], "inside": own.astype(np.uint8), "train": train[row]}
             t |= {b: np.where(own >= level, tokens[at - level], np.uint64(0)) for level, b in enumerate(BEFORE, 1)}
@@ -438,7 +444,7 @@ def _count_grams(shared, buckets: int):
             if grams:
                 grams = {f: np.concatenate([g[f] for g in grams]) for f in FIELDS[GRAMS]}
                 out.append(_pack(GRAMS, grams, np.zeros(len(grams["level"]), np.int64)))
-        return pa.Table.from_batches(out, table.schema)
+        return pa.Table.from_batches(out, LAID)
 
     return run
 
@@ -474,8 +480,16 @@ def _sum_grams(shared, level: int):
 SCORED = "uid bigint, n_tokens bigint, n_known bigint, base double, score double"
 
 
-def _score(shared):
-    """Probabilities of a bucket's tokens, summed by text; contexts that aren't common lie whole in it."""
+def _sum_texts(table: pa.Table) -> pa.Table:
+    """Sums of the texts of a bucket over all that was summed of them before."""
+    t = _unpack(table, SUMMED)
+    row, first = _groups(t["uid"])
+    sums = [np.bincount(row, t[f]).astype(kind) for f, kind in (("n_tokens", "i8"), ("n_known", "i8"), ("base", "f8"), ("score", "f8"))]
+    return pa.table([t["uid"][first], *sums], names=[f.split()[0] for f in SCORED.split(", ")])
+
+
+def _score(shared, buckets: int):
+    """Probabilities of a bucket's tokens, summed by text and dealt by it; contexts that aren't common lie whole in the bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         tree: Tree = shared.value
@@ -510,9 +524,9 @@ def _score(shared):
             p[at] = np.where(kept[where], (n + PRIOR * p[at]) / (c[where] + PRIOR), p[at])
         row, first = _groups(t["uid"])
         uid = t["uid"][first]
-        sums = lambda x: np.bincount(row, x, minlength=len(uid))
-        n_tokens, n_known = (sums(x).astype(np.int64) for x in (np.ones(len(row)), t["n0"] > 0))
-        return pa.table([uid, n_tokens, n_known, sums(np.log10(base)), sums(np.log10(p))], names=[f.split()[0] for f in SCORED.split(", ")])
+        known = t["n0"] > 0
+        out = {"uid": uid, "n_tokens": np.bincount(row), **{f: np.bincount(row, x) for f, x in (("n_known", known), ("base", np.log10(base)), ("score", np.log10(p)))}}
+        return pa.Table.from_batches([_pack(SUMMED, out, _bucket(uid.view(np.uint64), buckets))])
 
     return run
 
@@ -561,8 +575,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         grams = scratch(spark, "grams")
         counted = put(dealt.groupBy("bucket").applyInArrow(_count_grams(plain, buckets), PACKED), grams, "uncompressed", "kind", tidy=True)
         states = sc.broadcast(_grown(tree, counted.where(F.col("kind") == GRAMS)))
-        scored = counted.where(F.col("kind") == TOKENS).groupBy("bucket").applyInArrow(_score(states), SCORED).groupBy("uid")
-        parts.append(put(scored.agg(*[F.sum(f.split()[0]).alias(f.split()[0]) for f in SCORED.split(", ")[1:]]), scratch(spark, "scores"), tidy=True))
+        scored = counted.where(F.col("kind") == TOKENS).groupBy("bucket").applyInArrow(_score(states, buckets), PACKED)
+        parts.append(put(scored.groupBy("bucket").applyInArrow(_sum_texts, SCORED), scratch(spark, "scores"), tidy=True))
         states.destroy()
         drop(spark, grams)
     drop(spark, path)
