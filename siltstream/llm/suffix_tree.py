@@ -39,7 +39,7 @@ END = np.uint64(0x0E4D0E4D0E4D0E4D)
 #: Distinct counts that a task gathers before it passes them on.
 GATHER = 2_000_000
 #: Tokens of a bucket, which one task handles at once; those from which on there is another slice, and slices at most.
-BUCKET, SLICE, SLICES = 500_000, 8_000_000, 8
+BUCKET, SLICE, SLICES = 250_000, 8_000_000, 8
 
 
 def _tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
