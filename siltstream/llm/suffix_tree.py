@@ -8,7 +8,7 @@ word with count n after a state with count c is (n + PRIOR * p) / (c + PRIOR), w
 by the longest retained suffix of what stands before it.
 
 The model has no least share and no cap. Tokens are dealt so that what is counted meets: by the first of their grams (the word,
-then with ever more of its context) of which the count is unknown, and then by the first context that isn't common. Contexts,
+then with ever more of its context) of which the count is unknown, if there is one, and then by the first context that isn't common. Contexts,
 next words and words above the ``HOT_`` shares and ``HEAD`` are counted beforehand and broadcast, as one task should not hold all of
 theirs; the shares bound what is broadcast and change no result. The words before a token choose its slice, and slices are taken one
 after the other, so that only one slice's tokens lie on disk.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstream.llm.rows import BASE, LOWER, SPACED, blocks, mix, with_key, with_uid, word_hashes, word_spans
-from siltstream.plans.shared import drop, put, scratch, stage
+from siltstream.plans.shared import drop, put, scratch
 
 DEPTH = 3
 #: The model's least shares of contexts, words that contexts tell apart, and transitions: none.
@@ -36,10 +36,12 @@ HOT_CONTEXT, HOT_SYMBOL, HOT_TRANSITION, HEAD = 5e-5, 5e-6, 1e-6, 5e-7
 #: Pseudo-tokens with which a state's suffix smooths it.
 PRIOR = 20.0
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
+#: Codes of words: those in the head have their number there, others their hash with this bit.
+FAR = np.uint64(1 << 63)
 #: Distinct counts that a task gathers before it passes them on.
 GATHER = 2_000_000
 #: Tokens of a bucket, which one task handles at once; those from which on there is another slice, and slices at most.
-BUCKET, SLICE, SLICES = 250_000, 8_000_000, 8
+BUCKET, SLICE, SLICES = 250_000, 8_000_000, 4
 
 
 def _tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,20 +111,50 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _rows(np.unique(tokens[np.repeat(train, np.diff(edge)) > 0], return_counts=True) for _, train, edge, tokens in _stored(batches))
 
 
+NUMBERED = "n int, m int, texts binary, places binary, far binary"
+
+
+def _number(shared):
+    """Stored tokens by their place in the head (-1: none), and apart the hashes of those that have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: Tree = shared.value
+        for batch in batches:
+            for one in range(batch.num_rows):
+                row = batch.slice(one, 1)
+                tokens = next(_stored(iter([row])))[3]
+                place = tree.look_up(tokens)
+                packed = [pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True)], pa.binary()) for x in (place.astype(np.int32), tokens[place < 0])]
+                yield pa.RecordBatch.from_arrays([row.column("n"), row.column("m"), row.column("texts"), *packed], [f.split()[0] for f in NUMBERED.split(", ")])
+
+    return run
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(uid, train, edge, places, hashes of tokens without a place) of each block."""
+    for batch in batches:
+        for n, m, texts, places, far in zip(batch.column("n").to_pylist(), batch.column("m").to_pylist(), *(batch.column(c) for c in ("texts", "places", "far")), strict=True):
+            raw = pa.decompress(texts.as_buffer(), 17 * n, codec="zstd")
+            edge = np.concatenate(([0], np.cumsum(np.frombuffer(raw, np.int64, n, 8 * n))))
+            place = np.frombuffer(pa.decompress(places.as_buffer(), 4 * m, codec="zstd"), np.int32, m)
+            rest = int((place < 0).sum())
+            hashes = np.frombuffer(pa.decompress(far.as_buffer(), 8 * rest, codec="zstd"), np.uint64, rest) if rest else np.zeros(0, np.uint64)
+            yield np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint8, n, 16 * n), edge, place, hashes
+
+
 class Tree:
-    """Common contexts with the counts that are known of them, and their states. Symbols are numbered by hash; -1 is any other word, state -1 the root."""
+    """Common contexts with the counts that are known of them, and their states. Words of the head are numbered from the most frequent on, symbols are the first of them; -1 is any other word, state -1 the root."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        order = np.argsort(hashes)
+        order = np.lexsort((hashes, -counts))
         self.total, self.distinct = total, distinct
-        self.head, self.head_count = hashes[order], counts[order]
+        self.word_count = counts[order]
+        #: Hashes of the head in order, and the place of each.
+        self.place = np.argsort(hashes[order])
+        self.head = hashes[order][self.place]
         self.floor = total + 0.5 * (distinct + 1)
-        frequent = self.head_count >= HOT_SYMBOL * total
-        #: Of each head word its symbol, or -1.
-        self.symbol = np.where(frequent, np.cumsum(frequent) - 1, -1)
-        self.symbols = int(frequent.sum())
-        self.root = (self.head_count[frequent] + 0.5) / self.floor
-        self.symbol_count, self.symbol_hash = self.head_count[frequent], self.head[frequent]
+        self.symbols = int((counts >= HOT_SYMBOL * total).sum())
+        self.root = (self.word_count[: self.symbols] + 0.5) / self.floor
         #: Of each level: sorted keys of its contexts (first symbol, number of the rest), and their states.
         self.keys: list[np.ndarray] = []
         self.states: list[np.ndarray] = []
@@ -133,46 +165,58 @@ class Tree:
         self.parent, self.beta = np.zeros(0, np.int64), np.zeros(0)
         self.edges, self.edge_p = np.zeros(0, np.int64), np.zeros(0)
 
-    def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Head place (-1: none) and symbol of each token."""
+    def look_up(self, tokens: np.ndarray) -> np.ndarray:
+        """Place in the head of each token, -1: none."""
         if not len(self.head):
-            return np.full(len(tokens), -1), np.full(len(tokens), -1)
+            return np.full(len(tokens), -1)
         at = np.minimum(np.searchsorted(self.head, tokens), len(self.head) - 1)
-        place = np.where(self.head[at] == tokens, at, -1)
-        return place, np.where(place >= 0, self.symbol[place], -1)
+        return np.where(self.head[at] == tokens, self.place[at], -1)
 
-    def symbols_of(self, tokens: np.ndarray) -> np.ndarray:
-        if not self.symbols:
-            return np.full(len(tokens), -1)
-        at = np.minimum(np.searchsorted(self.symbol_hash, tokens), self.symbols - 1)
-        return np.where(self.symbol_hash[at] == tokens, at, -1)
-
-    def contexts(self, symbol: np.ndarray, inside: np.ndarray, at: np.ndarray | None = None) -> list[np.ndarray]:
-        """For each level, the number of the context before each token (only those at ``at``), or -1. inside: words before it in its text."""
-        at = np.arange(len(symbol)) if at is None else at
-        out, before = [], np.zeros(len(at), np.int64)
-        size = 1
+    def symbol_of(self, place: np.ndarray) -> np.ndarray:
+        return np.where(place < self.symbols, place, -1).astype(np.int64)
+
+    def contexts(self, symbol: np.ndarray, inside: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """For each level, the number of the context before each token of ``at``, or -1. inside: words before each of those in its text."""
+        out, open_, before, size = [], np.arange(len(at)), np.zeros(len(at), np.int64), 1
         for level, keys in enumerate(self.keys, 1):
-            left = symbol[at - level]
-            ok = (inside[at] >= level) & (left >= 0) & (before >= 0)
-            if not len(keys):
-                before = np.full(len(at), -1)
+            left = symbol[at[open_] - level]
+            own = (inside[open_] >= level) & (left >= 0)
+            open_, before, left = open_[own], before[own], left[own]
+            number = np.full(len(at), -1)
+            if len(keys) and len(open_):
+                if level == 1:
+                    dense = np.full(self.symbols, -1)
+                    dense[keys] = np.arange(len(keys))
+                    before = dense[left]
+                else:
+                    key = left * size + before
+                    where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    before = np.where(keys[where] == key, where, -1)
+                number[open_] = before
+                open_, before = open_[before >= 0], before[before >= 0]
             else:
-                key = left * size + before
-                where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                before = np.where(ok & (keys[where] == key), where, -1)
-            out.append(before)
+                open_ = before = np.zeros(0, np.int64)
+            out.append(number)
             size = max(1, len(keys))
         return out
 
     def known(self, level: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Counts of the transitions that are listed, else -1."""
         keys, n = self.listed[level - 1]
-        if not len(keys):
-            return np.full(len(context), -1)
-        key = context * self.symbols + symbol
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where((context >= 0) & (symbol >= 0) & (keys[at] == key), n[at], -1)
+        out = np.full(len(context), -1)
+        own = np.flatnonzero((context >= 0) & (symbol >= 0))
+        if len(keys) and len(own):
+            key = context[own] * self.symbols + symbol[own]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            out[own] = np.where(keys[at] == key, n[at], -1)
+        return out
+
+    def count_of(self, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Counts of words, n for those that aren't in the head."""
+        near = np.flatnonzero(code < FAR)
+        out = n.astype(np.int64)
+        out[near] = self.word_count[code[near].view(np.int64)]
+        return out
 
     def up(self, context: np.ndarray, depth: np.ndarray, level: int) -> np.ndarray:
         """Of contexts numbered in their own level (depth), their suffixes' numbers in ``level``; depth is at least that."""
@@ -183,11 +227,11 @@ class Tree:
         return context
 
     def stateless(self) -> Tree:
-        """A copy without states and head, to be grown."""
+        """A copy without states and the head's hashes, to be grown."""
         out = copy.copy(self)
         out.states, out.parent, out.beta = [], np.zeros(0, np.int64), np.zeros(0)
         out.edges, out.edge_p = np.zeros(0, np.int64), np.zeros(0)
-        out.head = out.head_count = out.symbol = None
+        out.head = out.place = None
         return out
 
     def smoothed(self, level: int, context: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -242,11 +286,11 @@ def _count_level(shared):
         tree: Tree = shared.value
 
         def parts():
-            for _, train, edge, tokens in _stored(batches):
-                symbol = tree.symbols_of(tokens)
-                inside = np.arange(len(tokens)) - np.repeat(edge[:-1], np.diff(edge))
+            for _, train, edge, place, _ in _numbered(batches):
+                symbol = tree.symbol_of(place)
+                inside = np.arange(len(place)) - np.repeat(edge[:-1], np.diff(edge))
                 at = np.flatnonzero((np.repeat(train, np.diff(edge)) > 0) & (symbol >= 0) & (inside >= len(tree.keys)))
-                context, symbol = tree.contexts(symbol, inside, at)[-1], symbol[at]
+                context, symbol = tree.contexts(symbol, inside[at], at)[-1], symbol[at]
                 own = context >= 0
                 yield np.unique(context[own] * tree.symbols + symbol[own], return_counts=True)
 
@@ -255,18 +299,21 @@ def _count_level(shared):
     return run
 
 
-def common(texts: DataFrame) -> tuple[Tree, DataFrame]:
-    """Common contexts with their counts, and the table (k, n) of all word counts, from what ``_store`` has made of the texts."""
+def common(texts: DataFrame, path: str) -> tuple[Tree, DataFrame, DataFrame]:
+    """Common contexts with their counts, the table (k, n) of all word counts, and the numbered tokens, written to path, from what ``_store`` has made of the texts."""
     spark = texts.sparkSession
-    words = stage(texts.mapInArrow(_count_words, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")), "words", "uncompressed")
+    words = put(texts.mapInArrow(_count_words, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")), scratch(spark, "words"), "uncompressed", tidy=True)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     head = words.where(F.col("n") >= HEAD * total).toPandas()
     tree = Tree(head["k"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64), int(total), int(distinct))
-    strings = [(s,) for s in np.flatnonzero(tree.symbol_count >= HOT_CONTEXT * total).tolist()] if total else []
-    end = int(tree.look_up(np.array([END]))[1][0])
+    shared = spark.sparkContext.broadcast(tree)
+    texts = put(texts.mapInArrow(_number(shared), NUMBERED), path, "uncompressed")
+    shared.destroy()
+    strings = [(s,) for s in np.flatnonzero(tree.word_count[: tree.symbols] >= HOT_CONTEXT * total).tolist()] if total else []
+    end = int(tree.look_up(np.array([END]))[0])
     strings = [s for s in strings if s != (end,)]
     number: dict[tuple[int, ...], int] = {(): 0}
-    counts = {s: int(tree.symbol_count[s[0]]) for s in strings}
+    counts = {s: int(tree.word_count[s[0]]) for s in strings}
     for _ in range(DEPTH):
         strings = [s for s in strings if s[1:] in number]
         if not strings:
@@ -289,23 +336,28 @@ def common(texts: DataFrame) -> tuple[Tree, DataFrame]:
         longer = n >= HOT_CONTEXT * total
         counts = {(*strings[c], s): int(k) for c, s, k in zip(context[longer].tolist(), symbol[longer].tolist(), n[longer].tolist(), strict=True) if s != end}
         strings = list(counts)
-    return tree, words
+    return tree, words, texts
 
 
 # --- tokens dealt to buckets: columns of many tokens make one packed value of a row
 
 PACKED = "kind int, bucket int, n int, data binary"
 LAID = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
-TOKENS, WORDS, GRAMS, SUMMED = 0, 1, 2, 3
+TOKENS, WORDS, GRAMS, SUMMED, COUNTED = 0, 1, 2, 3, 4
 COUNTS = [f"n{level}" for level in range(DEPTH + 1)]
 BEFORE = [f"t{level}" for level in range(1, DEPTH + 1)]
-#: depth: levels of common contexts before the token, of which ``context`` numbers the longest; inside: words before it, DEPTH at most; counts are -1 where unknown.
+#: How columns are packed: codes of words, integers, integers in runs, ascending integers, and numbers as they are.
+CODE, INT, RUN, UP, FLOAT = range(5)
+#: depth: levels of common contexts before the token, of which ``context`` numbers the longest; inside: words before it, DEPTH at most; t: words before
+#: it, 0 within the common context; counts are -1 where unknown, n0 counts only words that aren't in the head.
+_TOKEN = {"uid": RUN, "train": RUN, "w": CODE, **dict.fromkeys(BEFORE, CODE), "context": INT, "depth": INT, "inside": INT, **dict.fromkeys(COUNTS, INT)}
 FIELDS = {
-    TOKENS: {"uid": "i8", "w": "u8", **dict.fromkeys(BEFORE, "u8"), "context": "i4", "train": "u1", "depth": "u1", "inside": "u1", **dict.fromkeys(COUNTS, "i8")},
-    WORDS: {"k": "u8", "n": "i8"},
-    SUMMED: {"uid": "i8", "n_tokens": "i4", "n_known": "i4", "base": "f8", "score": "f8"},
-    GRAMS: {"level": "u1", "context": "i4", **dict.fromkeys(COUNTS, "i8")},
-}
+    TOKENS: _TOKEN,
+    COUNTED: _TOKEN,
+    WORDS: {"k": CODE, "n": INT},
+    SUMMED: {"uid": UP, "n_known": INT, "base": FLOAT, "score": FLOAT},
+    GRAMS: {"level": INT, "context": INT, **dict.fromkeys(COUNTS, INT)},
+}
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -326,74 +378,152 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return where, order[head]
 
 
+def _fit(x: np.ndarray) -> np.ndarray:
+    """Unsigned values in as few bytes as hold them."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(next((t for t, top in ((np.uint8, 1 << 8), (np.uint16, 1 << 16), (np.uint32, 1 << 32)) if most < top), np.uint64))
+
+
+def _narrow(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """The values less the least of them, and the least."""
+    x = x.astype(np.int64, copy=False)
+    least = int(x.min()) if len(x) else 0
+    return _fit((x - np.int64(least)).view(np.uint64)), least
+
+
 def _pack(kind: int, columns: dict[str, np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket that has some of the tokens."""
-    order = np.argsort(bucket, kind="stable")
+    """A row for each bucket that has some of the tokens: of each array its length, bytes a value and least value, then the arrays."""
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
     bucket = bucket[order]
     cut = np.concatenate((np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]))
-    columns = [columns[f].astype(t, copy=False)[order] for f, t in FIELDS[kind].items()]
-    data = [pa.compress(b"".join([c[x:y].tobytes() for c in columns]), codec="zstd", asbytes=True) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(data), kind, np.int32)), pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(data, pa.binary())], ["kind", "bucket", "n", "data"])
+    arrays = []  # values, least value of each row, ends of rows
+    for f, how in FIELDS[kind].items():
+        x = columns[f][order]
+        if how == CODE:
+            far = np.flatnonzero(x >= FAR)
+            near = x.view(np.int64) + 1
+            near[far] = 0
+            arrays += [(*_narrow(near), cut), (x[far], 0, np.searchsorted(far, cut))]
+        elif how == RUN:
+            head = np.ones(len(x), bool)
+            head[1:] = x[1:] != x[:-1]
+            head[cut[:-1]] = True
+            at = np.flatnonzero(head)
+            ends = np.searchsorted(at, cut)
+            arrays += [(*_narrow(x[at]), ends), (*_narrow(np.diff(at, append=len(x))), ends)]
+        elif how == UP:
+            step = np.diff(x, prepend=x[:1])
+            step[cut[:-1]] = 0
+            arrays.append((_fit(step.view(np.uint64)), x[cut[:-1]], cut))
+        elif how == INT:
+            arrays.append((*_narrow(x), cut))
+        else:
+            arrays.append((x.astype(np.float64, copy=False), 0, cut))
+    head = np.zeros((len(cut) - 1, len(arrays), 3), np.int64)
+    for i, (x, least, ends) in enumerate(arrays):
+        head[:, i, 0], head[:, i, 1], head[:, i, 2] = np.diff(ends), x.itemsize, least
+    ends = [e.tolist() for _, _, e in arrays]
+    data, size = [], []
+    for row in range(len(cut) - 1):
+        raw = b"".join([head[row].tobytes(), *[x[e[row] : e[row + 1]].tobytes() for (x, _, _), e in zip(arrays, ends, strict=True)]])
+        size.append(len(raw))
+        data.append(pa.compress(raw, codec="zstd", asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(data), kind, np.int32)), pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(size, pa.int32()), pa.array(data, pa.binary())], LAID.names)
 
 
 def _unpack(table: pa.Table | pa.RecordBatch, kind: int) -> dict[str, np.ndarray]:
-    fields = {f: np.dtype(t) for f, t in FIELDS[kind].items()}
-    width = sum(t.itemsize for t in fields.values())
-    parts = {f: [np.zeros(0, t)] for f, t in fields.items()}
-    for k, n, data in zip(table.column("kind").to_pylist(), table.column("n").to_pylist(), table.column("data"), strict=True):
+    fields = FIELDS[kind]
+    kept: dict[str, list[np.ndarray]] = {f: [np.zeros(0, np.uint64 if how == CODE else np.float64 if how == FLOAT else np.int64)] for f, how in fields.items()}
+    arrays = sum(2 if how in (CODE, RUN) else 1 for how in fields.values())
+    for k, size, data in zip(table.column("kind").to_pylist(), table.column("n").to_pylist(), table.column("data"), strict=True):
         if k != kind:
             continue
-        raw, at = pa.decompress(data.as_buffer(), n * width, codec="zstd"), 0
-        for f, t in fields.items():
-            parts[f].append(np.frombuffer(raw, t, n, at))
-            at += n * t.itemsize
-    return {f: np.concatenate(x) for f, x in parts.items()}
+        raw = pa.decompress(data.as_buffer(), size, codec="zstd")
+        head, at = np.frombuffer(raw, np.int64, 3 * arrays).tolist(), 24 * arrays
+        read = []
+        for i in range(0, 3 * arrays, 3):
+            read.append((np.frombuffer(raw, f"u{head[i + 1]}", head[i], at), head[i + 2]))
+            at += head[i] * head[i + 1]
+        parts = iter(read)
+        for f, how in fields.items():
+            x, least = next(parts)
+            if how == FLOAT:
+                kept[f].append(x.view(np.float64))
+                continue
+            x = x.astype(np.int64)
+            if how == UP:
+                x = np.cumsum(x)
+            x += least
+            if how == RUN:
+                times, few = next(parts)
+                x = np.repeat(x, times.astype(np.int64) + few)
+            elif how == CODE:
+                far = x == 0
+                x = (x - 1).view(np.uint64)
+                x[far] = next(parts)[0]
+            kept[f].append(x)
+    return {f: np.concatenate(x) for f, x in kept.items()}
+
+
+def _context_key(context: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
+    """Of common contexts a key that other contexts are chained to."""
+    return mix((context.astype(np.int64) * (DEPTH + 1) + depth + 1).view(np.uint64))
+
+
+def _by_context(t: dict[str, np.ndarray], buckets: int) -> np.ndarray:
+    """Buckets by the first context that isn't common; tokens without one can lie anywhere."""
+    key = mix(t["uid"][:1].view(np.uint64)) + (np.arange(len(t["w"])) >> 12).view(np.uint64)
+    for level, b in enumerate(BEFORE, 1):
+        at = np.flatnonzero((t["depth"] + 1 == level) & (t["inside"] >= level))
+        key[at] = _chained(_context_key(t["context"][at], level - 1), t[b][at])
+    return _bucket(key, buckets)
 
 
 def _deal(shared, part: int, slices: int, buckets: int):
-    """The tokens of a slice, dealt by the first gram of which the count is unknown."""
+    """The tokens of a slice, dealt by the first gram of which the count is unknown, or at once by context where there is none."""
 
-    def dealt(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+    def dealt(held: list[dict[str, np.ndarray]], tree: Tree) -> Iterator[pa.RecordBatch]:
         t = {f: np.concatenate([h[f] for h in held]) for f in held[0]}
-        key, gram = mix(t["uid"].view(np.uint64)), [t["w"]]
-        for b in BEFORE:
-            gram.append(_chained(gram[-1], t[b]))
-        for level in range(DEPTH, -1, -1):
-            key = np.where((t["depth"] >= level) & (t[f"n{level}"] < 0), gram[level], key)
-        return _pack(TOKENS, t, _bucket(key, buckets))
+        open_ = t["w"] >= FAR
+        key = t["w"].copy()
+        for level in range(1, DEPTH + 1):
+            at = np.flatnonzero((t["depth"] >= level) & (t[f"n{level}"] < 0) & ~open_)
+            key[at] = _chained(_context_key(tree.up(t["context"][at], t["depth"][at], level), level), t["w"][at])
+            open_[at] = True
+        for kind, own in ((TOKENS, np.flatnonzero(open_)), (COUNTED, np.flatnonzero(~open_))):
+            if len(own):
+                some = {f: x[own] for f, x in t.items()}
+                yield _pack(kind, some, _bucket(key[own], buckets) if kind == TOKENS else _by_context(some, buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: Tree = shared.value
         held, size = [], 0
-        for uid, train, edge, tokens in _stored(batches):
-            row = np.repeat(np.arange(len(uid)), np.diff(edge))
-            inside = np.minimum(np.arange(len(tokens)) - edge[row], DEPTH)
-            last = np.where(inside > 0, np.roll(tokens, 1), np.uint64(0))
+        for uid, train, edge, place, far in _numbered(batches):
+            code = place.astype(np.int64).view(np.uint64)
+            code[place < 0] = far | FAR
+            first = np.zeros(len(code), bool)
+            first[edge[:-1]] = True
+            last = np.where(first, np.uint64(0), np.roll(code, 1))
             at = np.flatnonzero(mix(last) % np.uint64(slices) == part)
             if not len(at):
                 continue
-            near = np.zeros(len(tokens), bool)
-            for level in range(DEPTH + 1):
-                near[at - level] = True
-            symbol, (place, _) = np.full(len(tokens), -1), tree.look_up(tokens[at])
-            symbol[near] = tree.symbols_of(tokens[near])
-            row, own = row[at], inside[at]
-            t = {"uid": uid[row], "w": tokens[at], "inside": own.astype(np.uint8), "train": train[row]}
-            t |= {b: np.where(own >= level, tokens[at - level], np.uint64(0)) for level, b in enumerate(BEFORE, 1)}
-            t |= dict.fromkeys(COUNTS, np.full(len(at), -1))
-            t["n0"] = np.where(place >= 0, tree.head_count[place], -1) if len(tree.head) else t["n0"]
-            t["context"], t["depth"] = np.full(len(at), -1, np.int32), np.zeros(len(at), np.uint8)
-            for level, context in enumerate(tree.contexts(symbol, inside, at), 1):
-                t["context"] = np.where(context >= 0, context, t["context"]).astype(np.int32)
-                t["depth"] = np.where(context >= 0, level, t["depth"]).astype(np.uint8)
+            row = np.searchsorted(edge, at, side="right") - 1
+            own, symbol = np.minimum(at - edge[row], DEPTH), tree.symbol_of(place)
+            t = {"uid": uid[row], "train": train[row], "w": code[at], "inside": own.astype(np.uint8), "n0": np.where(place[at] < 0, -1, 0).astype(np.int8)}
+            t |= {"context": np.full(len(at), -1, np.int32), "depth": np.zeros(len(at), np.uint8), **dict.fromkeys(COUNTS[1:], np.full(len(at), -1))}
+            for level, context in enumerate(tree.contexts(symbol, own, at), 1):
+                found = context >= 0
+                t["context"][found] = context[found]
+                t["depth"][found] = level
                 t[f"n{level}"] = tree.known(level, context, symbol[at])
+            t |= {b: np.where((own >= level) & (t["depth"] < level), code[at - level], np.uint64(0)) for level, b in enumerate(BEFORE, 1)}
             held.append(t)
             size += len(at)
-            if size > BUCKET:
-                yield dealt(held)
+            if size > 2 * BUCKET:
+                yield from dealt(held, tree)
                 held, size = [], 0
         if held:
-            yield dealt(held)
+            yield from dealt(held, tree)
 
     return run
 
@@ -402,7 +532,7 @@ def _deal_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                k = batch.column("k").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                k = batch.column("k").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) | FAR
                 yield _pack(WORDS, {"k": k, "n": batch.column("n").to_numpy(zero_copy_only=False)}, _bucket(k, buckets))
 
     return run
@@ -416,31 +546,27 @@ def _count_grams(shared, buckets: int):
         t, words = _unpack(table, TOKENS), _unpack(table, WORDS)
         out = []
         if len(t["w"]):
-            rare = np.flatnonzero(t["n0"] < 0)
+            rare = np.flatnonzero(t["w"] >= FAR)
             t["n0"][rare] = 0
-            if len(words["k"]):
+            if len(words["k"]) and len(rare):
                 order = np.argsort(words["k"])
                 k, n = words["k"][order], words["n"][order]
                 at = np.minimum(np.searchsorted(k, t["w"][rare]), len(k) - 1)
                 t["n0"][rare] = np.where(k[at] == t["w"][rare], n[at], 0)
             # lone: no other token has this gram, so none has a longer one
-            gram, grams, lone = t["w"], [], np.zeros(len(t["w"]), bool)
+            grams, lone = [], np.zeros(len(t["w"]), bool)
             for level in range(1, DEPTH + 1):
-                gram = _chained(gram, t[BEFORE[level - 1]])
                 at = np.flatnonzero((t["depth"] >= level) & (t[f"n{level}"] < 0))
                 if len(at):
                     one, at = at[lone[at]], at[~lone[at]]
-                    where, first = _groups(gram[at])
+                    where, first = _groups(_chained(_context_key(tree.up(t["context"][at], t["depth"][at], level), level), t["w"][at]))
                     n = np.bincount(where, t["train"][at]).astype(np.int64)
                     t[f"n{level}"][at], t[f"n{level}"][one] = n[where], t["train"][one]
                     lone[at] = np.bincount(where)[where] == 1
                     first = np.concatenate((at[first[n > 0]], one[t["train"][one] > 0]))
-                    grams.append({"level": np.full(len(first), level), "context": tree.up(t["context"][first], t["depth"][first], level), **{c: t[c][first] for c in COUNTS}})
-            key, context = mix(t["uid"].view(np.uint64)), np.zeros(len(t["w"]), np.uint64)
-            for level, b in enumerate(BEFORE, 1):
-                context = _chained(context, t[b])
-                key = np.where((t["depth"] + 1 == level) & (t["inside"] >= level), context, key)
-            out.append(_pack(TOKENS, t, _bucket(key, buckets)))
+                    counts = {c: t[c][first] for c in COUNTS[1:]} | {"n0": tree.count_of(t["w"][first], t["n0"][first])}
+                    grams.append({"level": np.full(len(first), level), "context": tree.up(t["context"][first], t["depth"][first], level), **counts})
+            out.append(_pack(COUNTED, t, _by_context(t, buckets)))
             if grams:
                 grams = {f: np.concatenate([g[f] for g in grams]) for f in FIELDS[GRAMS]}
                 out.append(_pack(GRAMS, grams, np.zeros(len(grams["level"]), np.int64)))
@@ -484,29 +610,42 @@ def _sum_texts(table: pa.Table) -> pa.Table:
     """Sums of the texts of a bucket over all that was summed of them before."""
     t = _unpack(table, SUMMED)
     row, first = _groups(t["uid"])
-    sums = [np.bincount(row, t[f]).astype(kind) for f, kind in (("n_tokens", "i8"), ("n_known", "i8"), ("base", "f8"), ("score", "f8"))]
+    sums = [np.zeros(len(first), np.int64), np.bincount(row, t["n_known"]).astype(np.int64), *(np.bincount(row, t[f]) for f in ("base", "score"))]
     return pa.table([t["uid"][first], *sums], names=[f.split()[0] for f in SCORED.split(", ")])
 
 
+def _sum_head(shared):
+    """Of each text its number of tokens, and what its words of the head make of the base score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: Tree = shared.value
+        value = np.log10(np.append(tree.word_count + 0.5, tree.floor) / tree.floor)  # the last, 0, is that of words not in the head
+        for uid, _, edge, place, _ in _numbered(batches):
+            row, n = np.repeat(np.arange(len(uid)), np.diff(edge)), len(uid)
+            sums = [np.diff(edge), np.bincount(row, place >= 0, n).astype(np.int64), np.bincount(row, value[place], n), np.zeros(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid, *sums)], [f.split()[0] for f in SCORED.split(", ")])
+
+    return run
+
+
 def _score(shared, buckets: int):
     """Probabilities of a bucket's tokens, summed by text and dealt by it; contexts that aren't common lie whole in the bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         tree: Tree = shared.value
-        t = _unpack(table, TOKENS)
+        t = _unpack(table, COUNTED)
         train, depth, inside = t["train"], t["depth"], t["inside"]
-        base = (t["n0"] + 0.5) / tree.floor
-        p, context = base, np.zeros(len(base), np.uint64)
+        base = (tree.count_of(t["w"], t["n0"]) + 0.5) / tree.floor
+        p, context = base.copy(), _context_key(t["context"], depth)
         # lone: no other token has this context, so none has a longer one
         lone = np.zeros(len(base), bool)
         for level, b in enumerate(BEFORE, 1):
-            p = p.copy()
-            context = _chained(context, t[b])
             hot = np.flatnonzero(depth >= level)
             if len(hot):
                 p[hot] = tree.smoothed(level, tree.up(t["context"][hot], depth[hot], level), t[f"n{level}"][hot], p[hot])
             at = np.flatnonzero((depth < level) & (inside >= level))
             many = at[~lone[at]]
+            context[many] = _chained(context[many], t[b][many])
             where, _ = _groups(context[many])
             lone[many] = np.bincount(where)[where] == 1
             one = at[lone[at] & (train[at] > 0)]
@@ -523,9 +662,9 @@ def _score(shared, buckets: int):
             kept = (c > 0) & (gain > have * math.log(tree.distinct + 1) + 0.5 * np.log(np.maximum(c, 1)))
             p[at] = np.where(kept[where], (n + PRIOR * p[at]) / (c[where] + PRIOR), p[at])
         row, first = _groups(t["uid"])
-        uid = t["uid"][first]
-        known = t["n0"] > 0
-        out = {"uid": uid, "n_tokens": np.bincount(row), **{f: np.bincount(row, x) for f, x in (("n_known", known), ("base", np.log10(base)), ("score", np.log10(p)))}}
+        uid, rare = t["uid"][first], np.flatnonzero(t["w"] >= FAR)
+        of_rare = lambda x: np.bincount(row[rare], x, len(uid))
+        out = {"uid": uid, "n_known": of_rare(t["n0"][rare] > 0).astype(np.int64), "base": of_rare(np.log10(base[rare])), "score": np.bincount(row, np.log10(p))}
         return pa.Table.from_batches([_pack(SUMMED, out, _bucket(uid.view(np.uint64), buckets))])
 
     return run
@@ -561,25 +700,30 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     sc = spark.sparkContext
     held_out = F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(5)) == 1
-    path = scratch(spark, "tokens")
+    path, numbered = scratch(spark, "tokens"), scratch(spark, "numbered")
     stored = put(texts.select("uid", "text", held_out.eqNullSafe(False).alias("train")).mapInArrow(_store, STORED), path, "uncompressed")
-    tree, words = common(stored)
+    tree, words, stored = common(stored, numbered)
+    drop(spark, path)
     tokens = stored.agg(F.sum("m")).first()[0] or 0
     slices = min(SLICES, 1 + tokens // SLICE)
     buckets = 1 + tokens // slices // BUCKET
     rare = words.where(F.col("n") < HEAD * tree.total)
-    shared, parts = sc.broadcast(tree), []
     plain = sc.broadcast(tree.stateless())
+    parts = [put(stored.mapInArrow(_sum_head(plain), SCORED), scratch(spark, "scores"))]
     for part in range(slices):
-        dealt = stored.mapInArrow(_deal(shared, part, slices, buckets), PACKED).unionByName(rare.mapInArrow(_deal_words(buckets), PACKED))
-        grams = scratch(spark, "grams")
-        counted = put(dealt.groupBy("bucket").applyInArrow(_count_grams(plain, buckets), PACKED), grams, "uncompressed", "kind", tidy=True)
-        states = sc.broadcast(_grown(tree, counted.where(F.col("kind") == GRAMS)))
-        scored = counted.where(F.col("kind") == TOKENS).groupBy("bucket").applyInArrow(_score(states, buckets), PACKED)
+        tables = [scratch(spark, "dealt"), scratch(spark, "grams")]
+        dealt = put(stored.mapInArrow(_deal(plain, part, slices, buckets), PACKED), tables[0], "uncompressed", "kind")
+        of = lambda d, kind: d.where(F.col("kind") == kind)
+        unknown = of(dealt, TOKENS).unionByName(rare.mapInArrow(_deal_words(buckets), PACKED))
+        counted = put(unknown.groupBy("bucket").applyInArrow(_count_grams(plain, buckets), PACKED), tables[1], "uncompressed", "kind", tidy=True)
+        drop(spark, f"{tables[0]}/kind={TOKENS}")
+        states = sc.broadcast(_grown(tree, of(counted, GRAMS)))
+        scored = of(dealt, COUNTED).unionByName(of(counted, COUNTED)).groupBy("bucket").applyInArrow(_score(states, buckets), PACKED)
         parts.append(put(scored.groupBy("bucket").applyInArrow(_sum_texts, SCORED), scratch(spark, "scores"), tidy=True))
         states.destroy()
-        drop(spark, grams)
-    drop(spark, path)
+        for table in tables:
+            drop(spark, table)
+    drop(spark, numbered)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

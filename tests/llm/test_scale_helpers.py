@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from siltstream.llm import simhash, suffix_sort
+from siltstream.llm import simhash, suffix_sort, suffix_tree
 from siltstream.llm.rows import BYTE, prefix_hash
 from siltstream.llm.sharding import equal_capacities, min_cost_flow
 from siltstream.llm.suffix_tree import Tree
@@ -77,3 +78,27 @@ def test_tree_distributions_sum_to_one():
         p = tree.prob(np.full(5, s), np.arange(5)).sum()
         p += rest if s < 0 else tree.beta[s] * rest
         assert p == pytest.approx(1)
+
+
+def test_dealt_tokens_are_narrow_and_known_ones_skip_the_count():
+    """What is packed comes back, whatever its values; a token of which all counts are known is dealt by its context at once, in few bytes."""
+    r = np.random.default_rng(4)
+    n, top = 3000, np.iinfo(np.int64)
+    t = {f: r.integers(0, 9, n) for f in suffix_tree.FIELDS[suffix_tree.TOKENS]}
+    t |= {"uid": np.sort(r.integers(top.min, top.max, n)), "w": np.where(r.random(n) < 0.3, r.integers(1 << 63, (1 << 64) - 1, n, np.uint64), r.integers(0, 1 << 40, n).astype(np.uint64)), "n1": r.integers(-1, 1 << 50, n)}
+    t |= {b: t[b].astype(np.uint64) for b in suffix_tree.BEFORE}
+    bucket = r.integers(0, 70, n)
+    order = np.argsort(bucket, kind="stable")
+    for kind, columns in ((suffix_tree.TOKENS, t), (suffix_tree.SUMMED, {"uid": np.append([top.min], t["uid"][1:]), "n_known": t["n2"], "base": r.random(n), "score": r.random(n)})):
+        back = suffix_tree._unpack(suffix_tree._pack(kind, columns, bucket), kind)
+        assert all((back[f] == x[order]).all() for f, x in columns.items())
+    tree = Tree(np.arange(1, 501, dtype=np.uint64), np.full(500, 40), 20_000, 500)
+    place = r.integers(0, 500, 20_000).astype(np.int32)
+    texts = np.arange(200).tobytes() + np.full(200, 100).tobytes() + np.ones(200, np.uint8).tobytes()
+    row = [pa.array([200], pa.int32()), pa.array([20_000], pa.int32()), *(pa.array([pa.compress(x, codec="zstd", asbytes=True)], pa.binary()) for x in (texts, place.tobytes(), b""))]
+    stored = pa.RecordBatch.from_arrays(row, [f.split()[0] for f in suffix_tree.NUMBERED.split(", ")])
+    shared = type("Shared", (), {"value": tree})
+    dealt = pa.Table.from_batches(suffix_tree._deal(shared, 0, 1, 4)(iter([stored])))
+    assert set(dealt["kind"].to_pylist()) == {suffix_tree.COUNTED}
+    assert len(suffix_tree._unpack(dealt, suffix_tree.COUNTED)["w"]) == 20_000
+    assert sum(len(x) for x in dealt["data"].to_pylist()) < 10 * 20_000
